@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .quality_rules import ORACLE_SQL as _QUALITY_SQL
+from .quality_rules import op6_quality_rules
 from .secrets import op4_secrets
 from .token_counts import op8_token_counts
+from .urls import op10_url_filters
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_secrets": op4_secrets,
+    "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _QUALITY_SQL}
