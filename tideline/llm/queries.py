@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .html import op1_html_text
 from .quality_rules import ORACLE_SQL as _QUALITY_SQL
 from .quality_rules import op6_quality_rules
 from .secrets import op4_secrets
@@ -10,6 +11,7 @@ from .token_counts import op8_token_counts
 from .urls import op10_url_filters
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
     "op4_secrets": op4_secrets,
     "op6_quality_rules": op6_quality_rules,
