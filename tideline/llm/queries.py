@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .html import op1_html_text
+from .perplexity import op5_quality_classifier
 from .quality_rules import ORACLE_SQL as _QUALITY_SQL
 from .quality_rules import op6_quality_rules
 from .secrets import op4_secrets
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
     "op4_secrets": op4_secrets,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op10_url_filters": op10_url_filters,
