@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .html import op1_html_text
+from .language import op9_language_id
 from .perplexity import op5_quality_classifier
 from .quality_rules import ORACLE_SQL as _QUALITY_SQL
 from .quality_rules import op6_quality_rules
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,
 }
 
