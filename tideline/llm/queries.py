@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op2_bpe
 from .html import op1_html_text
 from .language import op9_language_id
+from .near_dedup import op3_near_dedup
 from .perplexity import op5_quality_classifier
 from .quality_rules import ORACLE_SQL as _QUALITY_SQL
 from .quality_rules import op6_quality_rules
@@ -15,6 +16,7 @@ from .urls import op10_url_filters
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_bpe": op2_bpe,
+    "op3_near_dedup": op3_near_dedup,
     "op4_secrets": op4_secrets,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
