@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .decontaminate import op7_decontamination
 from .html import op1_html_text
 from .language import op9_language_id
 from .near_dedup import op3_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,

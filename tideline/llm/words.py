@@ -11,6 +11,9 @@ import numpy as np
 U = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation: separators where punctuation shouldn't tell words apart.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,12 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def words(raw: np.ndarray, off: np.ndarray, lower: bool = True):
-    """(row, start, end, hash) of each word, in order. ``off``: the rows' offsets into ``raw``."""
+def words(raw: np.ndarray, off: np.ndarray, lower: bool = True, between: np.ndarray = SPACE):
+    """(row, start, end, hash) of each word, in order. ``off``: the rows' offsets into ``raw``; ``between``: separators."""
     if len(raw) == 0:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, np.zeros(0, dtype=U)
-    solid = ~SPACE[raw]
+    solid = ~between[raw]
     full = off[:-1] < off[1:]
     first, last = off[:-1][full], off[1:][full] - 1
     opens = solid.copy()
