@@ -27,4 +27,13 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
 }
 
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
+
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _QUALITY_SQL}
