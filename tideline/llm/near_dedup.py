@@ -5,7 +5,7 @@ sequence as one; no words: empty, linked with nothing). Documents are linked whe
 union, and the links' connected components are the groups.
 
 1. One pass over whole texts: set size, a 128-bit digest of the set, ``PERMUTATIONS`` minima, of which the low
-   ``BITS`` bits are kept and packed, and ``BANDS`` band keys of ``ROWS`` full minima each. Documents with equal digests
+   ``BITS`` bits are kept and packed, and band keys of ``ROWS`` full minima each. Documents with equal digests
    are one class; all that follows works on classes, so copies never meet in pairs.
 2. Classes that share a band key form a bucket. Each bucket's hub is its member with the most company over all bands
    (in a family of edited copies, the original). Only (hub, member) pairs are formed: as many as band rows.
@@ -18,7 +18,8 @@ union, and the links' connected components are the groups.
    the pairs. So no link between candidates is lost and nothing is capped, while a family of n copies costs about n.
 5. Links of both steps give the components.
 
-A pair at the threshold 0.8 shares none of 32 bands of 4 rows with probability 5e-8 (at 0.85: 5e-11).
+There are as many bands as make the probability that a pair at the threshold shares none at most ``MISSED``: 27 bands
+of 4 rows at 0.8, 19 at 0.85. Texts move once to meet the classes whose full sets are asked for, whatever their number.
 
 Rows with a null doc_id are linked with nothing and kept; rows that repeat a doc_id are compared like others and
 get that doc_id's least component; null texts count as empty.
@@ -27,6 +28,7 @@ get that doc_id's least component; null texts count as empty.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,15 @@ from .common import bare, batches_of, read, stored, text_buffers
 from .components import components
 from .words import STEP, U, mix, shingle_hashes, words
 
-PERMUTATIONS, BITS, BANDS, ROWS = 256, 4, 32, 4
+PERMUTATIONS, BITS, ROWS = 256, 4, 4
+#: Most that a link at the threshold may be missed with, which sets the number of bands.
+MISSED = 1e-6
 SIGMAS, BLOCK = 5.0, 512
 
 _rng = np.random.RandomState(6502)
 _MUL = _rng.randint(0, 2**31, (PERMUTATIONS, 1), dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.randint(0, 2**32, (PERMUTATIONS, 1), dtype=np.int64).astype(np.uint32)
-_BAND = mix(np.arange(1, BANDS + 1, dtype=U) * STEP[60])
+_BAND = mix(np.arange(1, PERMUTATIONS // ROWS + 1, dtype=U) * STEP[60])
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -61,9 +65,14 @@ def packed(least: np.ndarray) -> bytes:
     return (v[0::2] | (v[1::2] << np.uint8(BITS))).tobytes()
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(U)
-    return mix((rows * STEP[:ROWS]).sum(axis=1, dtype=U) + _BAND).view(np.int64)
+def bands_for(percent: int) -> int:
+    """Bands with which two sets at the threshold share no band with probability MISSED at most."""
+    return min(PERMUTATIONS // ROWS, math.ceil(math.log(MISSED) / math.log(1 - min(0.999, percent / 100) ** ROWS)))
+
+
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    rows = least[: bands * ROWS].reshape(bands, ROWS).astype(U)
+    return mix((rows * STEP[:ROWS]).sum(axis=1, dtype=U) + _BAND[:bands]).view(np.int64)
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,7 +115,7 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def features(docs: DataFrame, k: int) -> DataFrame:
+def features(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
     """(doc_id, n_shingles, cls, sig, bands) of every row of ``docs(doc_id, text)``; cls is null for an empty set."""
 
     def run(batches):
@@ -123,7 +132,7 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                         if len(known) > 20_000:
                             known.clear()
                         m = minima(s)
-                        known[key] = packed(m), band_keys(m)
+                        known[key] = packed(m), band_keys(m, n_bands)
                     got = known[key]
                     cls.append(key)
                     sig.append(got[0])
@@ -269,7 +278,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``."""
     least = least_estimate(percent)
     own = bare(docs, doc_id="bigint", text="string")
-    seen = stored(features(own, k), "minhash")
+    seen = stored(features(own, k, bands_for(percent)), "minhash")
     classes = stored(seen.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
 
     # buckets of two or more, their hubs
@@ -283,9 +292,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     signatures = classes.select("cls", "sig")
     pairs = stored(_hub_pairs(buckets, signatures, least), "pairs")
-    # an estimate is all that stands between a member and its pair, so these are also the sets that step 4 may need
     involved = pairs.select("cls").union(pairs.select(F.col("hub").alias("cls"))).distinct()
-    links = stored(_confirmed(pairs, _sets_of(own, classes, involved, k), percent), "links")
+    sets = _sets_of(own, classes, involved, k, "merge")
+    links = stored(_confirmed(pairs, sets, percent), "links")
     first = components(links)
 
     # buckets of three or more with several components: members other than the hub
@@ -295,14 +304,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = stored(left.join(mixed, "key").join(signatures, "cls"), "left")
     open_ = stored(_open_members(left, least), "open")
     narrowed = left.join(open_, ["key", "cls"])
-    sets = _sets_of(own, classes, open_.select("cls").distinct(), k)
+    fresh = _sets_of(own, classes, open_.select("cls").distinct().join(sets, "cls", "left_anti"), k)
+    sets = sets.unionByName(fresh)
     more = _block_links(narrowed.join(sets, "cls"), least, percent)
     final = components(stored(links.unionByName(more), "links"))
     return labelled(seen, classes, final)
 
 
-def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    return stored(full_sets(docs, stored(classes.join(needed, "cls").select("doc_id", "cls"), "needed"), k), "sets")
+def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int, hint: str | None = None) -> DataFrame:
+    wanted = stored(classes.join(needed, "cls").select("doc_id", "cls"), "needed")
+    return stored(full_sets(docs, wanted.hint(hint) if hint else wanted, k), "sets")
 
 
 def labelled(seen: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
