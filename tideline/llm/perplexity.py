@@ -66,7 +66,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     """(doc_id, pool, perplexity, threshold, kept) of every row of ``docs(doc_id, text, lang)``."""
     own = bare(docs, doc_id="bigint", text="string", lang="string")
     good = stored(trusted(labels), "trusted")
-    model = stored(kneser_ney(stored(count_grams(own.join(good, "doc_id", "left_semi")), "grams")), "kneser-ney")
+    learned = own.join(good.hint("merge"), "doc_id", "left_semi")  # the trusted grow with the corpus: no broadcast at any size
+    model = stored(kneser_ney(stored(count_grams(learned), "grams")), "kneser-ney")
     scored = stored(perplexities(own, model), "perplexity")
     limits = scored.join(good, "doc_id", "left_semi").groupBy("pool").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     joined = scored.join(F.broadcast(limits), "pool", "left")  # a row for each pool
