@@ -11,7 +11,16 @@ from ..types import ColumnType, coerced
 from .codecs import decode
 from .selectors import parse_selector, select
 
-MESSAGE = T.StructType.fromDDL("key binary, value binary, headers map<string, string>, timestamp timestamp, partition int, offset bigint")
+MESSAGE = T.StructType(
+    [
+        T.StructField("key", T.BinaryType()),
+        T.StructField("value", T.BinaryType()),
+        T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("timestamp", T.TimestampType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
+    ]
+)
 RATE_OPTIONS = {"kafka": "maxOffsetsPerTrigger", "files": "maxFilesPerTrigger", "generator": "rowspertrigger"}
 
 
