@@ -264,7 +264,7 @@ class Engine:
             if b.where:
                 source = source.where(F.expr(spark_text(b.where, kind_in(source))))
             fresh = C.reaggregated(source, touched, groups, [(f"{f}({a})", n) for f, a, n in calls])
-            shape = fresh.schema["row"].dataType
+            shape = T.StructType([T.StructField(f.name, f.dataType) for f in fresh.schema["row"].dataType])
             state = self.store(f"{t.name}__groups{index}", shape)
             keys = (touched.select(C.key_of(*names).alias("k")) if names else self.spark.range(1).select(C.key_of().alias("k"))).distinct()
             moved = keys.join(fresh.withColumnRenamed("row", "curr"), "k", "left").join(state.read().withColumnRenamed("row", "prev"), "k", "left").select("k", "prev", "curr").where("prev is not null or curr is not null")

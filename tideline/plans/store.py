@@ -104,3 +104,9 @@ class KeyedTable:
 
     def drop(self) -> None:
         self.files.remove(self.folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, which driver and executors share; a folder in /tmp where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (folder or "/tmp/tideline-checkpoints").rstrip("/")

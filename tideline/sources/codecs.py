@@ -24,7 +24,8 @@ def decode_integer(raw: Column, size: int) -> Column:
     """A big-endian two's complement number; other lengths give NULL."""
     unsigned = F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)")
     limit = 1 << (8 * size)
-    value = F.when(unsigned >= limit // 2, unsigned - limit).otherwise(unsigned)
+    number = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    value = F.when(unsigned >= number(limit // 2), unsigned - number(limit)).otherwise(unsigned)
     return F.when(F.octet_length(raw) == size, value.cast("bigint"))
 
 
