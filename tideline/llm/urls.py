@@ -1,7 +1,9 @@
 """Operator 10: URL filters: rule lists, and gradient-boosted trees on lexical features where no rule fits.
 
-Host, path, rules and features are columns. The trees are trained from labelled URLs: by default those that a rule
-decides. At most ``SAMPLE`` labelled rows (those with the smallest hashes of their address) train the model, on the
+Host, path, rules and features are columns. The trees are trained from labelled URLs: by default each row has the label
+of its rule, and a row that no rule names counts as allowed with the weight ``UNLISTED``, since lists name what to
+block and leave out what is fine (trained on the listed alone, a suffix with nothing but block rules would lose all of
+its other URLs). At most ``SAMPLE`` labelled rows (those with the smallest hashes of their address) train the model, on the
 driver; its trees then become one column expression that scores all rows inside the JVM. The suffix statistics (share
 and blocked share of an address suffix) come from grouped aggregation over all rows.
 
@@ -20,6 +22,7 @@ from .common import bare, read, stored
 #: Labelled rows that train the model at most.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST = 30, 3, 0.2, 32, 20
+UNLISTED = 0.5
 #: Suffixes that are joined as a broadcast at most; beyond, the join shuffles.
 BROADCAST_SUFFIXES = 10_000
 
@@ -66,7 +69,7 @@ def with_features(urls: DataFrame) -> DataFrame:
         .withColumn("entropy", F.round(entropy, 6))
         .withColumn("parameters", F.when(F.locate("?", url) > 0, count(url, "&") + 1).otherwise(0))
     )
-    counts = df.groupBy("suffix").agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("_ruled") == "block").cast("bigint")).alias("_b"), F.count("_ruled").alias("_l"))
+    counts = df.groupBy("suffix").agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("_ruled") == "block").cast("bigint")).alias("_b"), F.count(F.lit(1)).alias("_l"))
     counts = stored(counts, "suffixes")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     stats = counts.select("suffix", (F.col("_n") / F.lit(max(total, 1))).alias("suffix_share"), ((F.coalesce("_b", F.lit(0)) + 1) / (F.col("_l") + 2)).alias("suffix_blocked"))
@@ -107,18 +110,20 @@ def _score(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= cut, _score(low, x), _score(high, x))
 
 
-def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> tuple[float, list]:
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = TREES, depth: int = DEPTH) -> tuple[float, list]:
     """Logistic gradient boosting over quantile bins: (start, trees). A tree: a leaf or (feature, cut, at most, above)."""
     if len(y) == 0 or y.min() == y.max():
         return (-10.0 if len(y) == 0 or y[0] == 0 else 10.0), []
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     edges = [e[e < c.max()] for e, c in zip(edges, x.T, strict=True)]
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
-    start = float(np.log(y.mean() / (1 - y.mean())))
+    weight = np.ones(len(y)) if weight is None else weight
+    share = float((y * weight).sum() / weight.sum())
+    start = float(np.log(share / (1 - share)))
     margin, out = np.full(len(y), start), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        tree = _tree(binned, edges, p - y, p * (1 - p), np.arange(len(y)), depth)
+        tree = _tree(binned, edges, (p - y) * weight, p * (1 - p) * weight, np.arange(len(y)), depth)
         out.append(tree)
         margin = margin + _score(tree, x)
     return start, out
@@ -144,13 +149,13 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, s
     """
     df = with_features(with_rules(bare(pages, page_id="bigint", url="string").withColumnRenamed("url", "_url"), rules))
     if labels is None:
-        known = df.where("_ruled is not null").withColumn("_y", (F.col("_ruled") == "block").cast("int"))
+        known = df.withColumn("_y", F.coalesce((F.col("_ruled") == "block").cast("int"), F.lit(0))).withColumn("_weight", F.when(F.col("_ruled").isNull(), UNLISTED).otherwise(1.0))
     else:
-        known = df.join(bare(labels, page_id="bigint", blocked="int").where("blocked is not null").dropDuplicates(["page_id"]).withColumnRenamed("blocked", "_y"), "page_id")
+        known = df.join(bare(labels, page_id="bigint", blocked="int").where("blocked is not null").dropDuplicates(["page_id"]).withColumnRenamed("blocked", "_y"), "page_id").withColumn("_weight", F.lit(1.0))
     order = [F.xxhash64("_url"), F.col("page_id")]
-    rows = known.orderBy(*order).limit(sample).select(*[F.col(c).cast("double") for c in FEATURES], "_y").collect()  # at most ``sample`` rows
-    table = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(FEATURES) + 1)
-    margin = as_column(train(table[:, :-1], table[:, -1]))
+    rows = known.orderBy(*order).limit(sample).select(*[F.col(c).cast("double") for c in FEATURES], "_y", "_weight").collect()  # at most ``sample`` rows
+    table = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(FEATURES) + 2)
+    margin = as_column(train(table[:, :-2], table[:, -2], table[:, -1]))
     judged = df.withColumn("p_block", 1 / (1 + F.exp(-margin)))
     verdict = F.coalesce("_ruled", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("p_block", 6).alias("p_block"))
