@@ -165,14 +165,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns. Texts are measured twice rather than shuffled."""
-    narrow = stored(measures(bare(docs, doc_id="bigint", text="string", lang="string")).drop("text"), "quality")
-    chosen = stored(thresholds(narrow, labels, alpha, delta), "cutoffs")
+    """The rows of ``docs`` that pass, with their own columns. Measured once: rows and measures are written and reread."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    wide = docs.select(row, F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang"))
-    # the filter refers to a row number, so that it stays above the measures instead of repeating them in itself
-    measured = measures(wide).withColumn("_n", F.monotonically_increasing_id())
-    return passes(measured, chosen).where("kept and _n >= 0").select("_row.*")
+    wide = docs.select(row, F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang"))
+    measured = stored(measures(wide).drop("text"), "quality")
+    chosen = stored(thresholds(measured.drop("_row"), labels, alpha, delta), "cutoffs")
+    return passes(measured, chosen).where("kept").select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
