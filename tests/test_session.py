@@ -2,10 +2,7 @@ import pytest
 
 from tideline.errors import EngineError
 from tideline.session import Session
-from tideline.sources.messages import parsed, read_messages
 from tideline.sources.selectors import parse_selector
-from tideline.streaming.runner import start_source
-from tideline.types import ColumnType
 
 SOURCE = """create source pay(payment_id varchar, customer bigint, amount decimal(10, 2), currency varchar, fraud double, ts timestamp(6), primary key (payment_id)) with (
   brokername = "b", topicname = "t", headerencoding = "stringbytes", keyencoding = "json", valueencoding = "json",
@@ -16,15 +13,24 @@ def fed(spark, folder, total=120, rate=50):
     s = Session(spark, str(folder / "s"), buckets=2)
     s.execute(SOURCE)
     s.execute("create materialized view by_cur as select currency, sum(amount) as total, count(*) as n from pay group by currency")
-    options = s.engine.table("pay").options
-    columns = [(c, ColumnType.parse(t), x) for (c, t), x in zip(options["types"].items(), options["selectors"], strict=True)]
-    rows = parsed(read_messages(spark, "generator", {"name": "payments", "total": str(total), "rowspertrigger": str(rate)}), columns)
-    q = start_source(s.engine, "pay", rows, str(folder / "checkpoint"))
+    s.execute(f"source set max rate pay {rate}")
+    q = s.start("pay", s.messages("pay", "generator", {"name": "payments", "total": str(total)}), str(folder / "checkpoint"))
     q.processAllAvailable()
     q.stop()
     return s
 
 
+def test_a_source_can_wait_for_its_first_view(spark, tmp_path):
+    s = Session(spark, str(tmp_path / "s"), buckets=2)
+    s.execute(SOURCE.replace('topicname = "t"', 'topicname = "t", startwithfirstmv = true'))
+    assert s.start("pay", s.messages("pay", "generator", {"name": "payments", "total": "10"}), str(tmp_path / "c")) is None
+    s.execute("create materialized view n as select count(*) as n from pay")
+    q = s.streams[("default", "pay")]
+    q.processAllAvailable()
+    q.stop()
+    assert s.execute("select n from n").first().n == 10
+
+
 def test_statements(spark, tmp_path):
     s = fed(spark, tmp_path)
     assert [(r.currency, r.n) for r in s.execute("select * from by_cur order by currency").collect()] == [(c, 30) for c in ("aud", "eur", "gbp", "usd")]
