@@ -104,7 +104,7 @@ def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _sets(raw: np.ndarray, off: np.ndarray, k: int):
     """(row, sorted distinct shingles) of every row."""
-    for i, j in batches_of(off):
+    for i, j in batches_of(off, 1 << 19):
         row, _, _, h = words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
         hashes, bounds = shingle_hashes(row, h, k, j - i)
         for r in range(j - i):
@@ -129,7 +129,7 @@ def features(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
                 if len(s):
                     key = _digest(s)
                     if key not in known:
-                        if len(known) > 20_000:
+                        if len(known) > 5_000:
                             known.clear()
                         m = minima(s)
                         known[key] = packed(m), band_keys(m, n_bands)
@@ -182,8 +182,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yield batch.filter(pa.array([is_link(np.frombuffer(x, U), np.frombuffer(y, U), percent) for x, y in zip(a, b, strict=True)], pa.bool_())).select([0, 1])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                a, b = part.column(2).to_pylist(), part.column(3).to_pylist()
+                yield part.filter(pa.array([is_link(np.frombuffer(x, U), np.frombuffer(y, U), percent) for x, y in zip(a, b, strict=True)], pa.bool_())).select([0, 1])
 
     return both.select("hub", "cls", "s", "hub_s").mapInArrow(run, "hub binary, cls binary").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
 
