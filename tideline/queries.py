@@ -80,6 +80,7 @@ _sql("agg_group_ordinal", "select o_orderstatus, o_orderpriority, count(*) as n
 _sql("agg_group_alias", "select p_size % 5 as bucket, count(*) as n from part group by bucket")
 _sql("agg_all_null_sum", "select event_type, sum(case when value < 0 then value else null end) as s, count(*) as n from events group by event_type")
 _sql("agg_distinct", "select l_returnflag, count(distinct l_suppkey) as suppliers, cast(sum(distinct l_suppkey) as bigint) as total from lineitem group by l_returnflag")
+_sql("agg_group_concat", "select p_size, group_concat(distinct p_brand) as brands from part group by p_size", "select p_size, string_agg(distinct p_brand, ',' order by p_brand) as brands from part group by p_size")
 _sql("union_all_casts", "select c_custkey as k, c_name as name, c_acctbal as v from customer union all select s_suppkey, s_name, s_suppkey from supplier", "select c_custkey as k, c_name as name, c_acctbal as v from customer union all select s_suppkey, s_name, s_suppkey::double from supplier")
 _sql("union_distinct", "select c_nationkey as n from customer union select s_nationkey from supplier")
 
@@ -490,6 +491,20 @@ def ext_udf(spark, d):
     return _table(spark, d, "part").select("p_partkey", square_plus_one("p_size").alias("y"))
 
 
+@_frame("ext_udtf", "select o_orderkey, p as part from orders, unnest(string_split(o_orderpriority, '-')) as t(p) where o_orderkey < 500")
+def ext_udtf(spark, d):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="part string")
+    class Parts:
+        def eval(self, text: str):
+            for p in (text or "").split("-"):
+                yield (p,)
+
+    spark.udtf.register("parts_of", Parts)
+    return spark.sql("select o_orderkey, part from {o}, lateral parts_of(o_orderpriority)", o=_table(spark, d, "orders").where("o_orderkey < 500"))
+
+
 @_frame("ext_salted_sums", "select o_orderstatus, sum(o_custkey)::bigint as total from orders group by o_orderstatus")
 def ext_salted(spark, d):
     return X.salted_counts(_table(spark, d, "orders"), ["o_orderstatus"], [("o_custkey", "total")])
