@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bare, batches_of, read, stored, text_buffers
+from .common import bare, batches_of, discard, read, stored, text_buffers
 from .components import components
 from .words import STEP, U, mix, shingle_hashes, words
 
@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signatures = classes.select("cls", "sig")
     pairs = stored(_hub_pairs(buckets, signatures, least), "pairs")
     involved = pairs.select("cls").union(pairs.select(F.col("hub").alias("cls"))).distinct()
-    sets = _sets_of(own, classes, involved, k, "merge")
-    links = stored(_confirmed(pairs, sets, percent), "links")
+    known = _sets_of(own, classes, involved, k, "merge")
+    links = stored(_confirmed(pairs, known, percent), "links")
     first = components(links)
 
     # buckets of three or more with several components: members other than the hub
@@ -306,16 +306,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     left = stored(left.join(mixed, "key").join(signatures, "cls"), "left")
     open_ = stored(_open_members(left, least), "open")
     narrowed = left.join(open_, ["key", "cls"])
-    fresh = _sets_of(own, classes, open_.select("cls").distinct().join(sets, "cls", "left_anti"), k)
-    sets = sets.unionByName(fresh)
+    fresh = _sets_of(own, classes, open_.select("cls").distinct().join(known, "cls", "left_anti"), k)
+    sets = known.unionByName(fresh)
     more = _block_links(narrowed.join(sets, "cls"), least, percent)
-    final = components(stored(links.unionByName(more), "links"))
-    return labelled(seen, classes, final)
+    every = stored(links.unionByName(more), "links")
+    final = components(every)
+    out = labelled(seen, classes, final)
+    discard(members, buckets, pairs, links, first, left, open_, known, fresh, every, final, classes)
+    return out
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int, hint: str | None = None) -> DataFrame:
     wanted = stored(classes.join(needed, "cls").select("doc_id", "cls"), "needed")
-    return stored(full_sets(docs, wanted.hint(hint) if hint else wanted, k), "sets")
+    out = stored(full_sets(docs, wanted.hint(hint) if hint else wanted, k), "sets")
+    discard(wanted)
+    return out
 
 
 def labelled(seen: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
