@@ -32,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bare, batches_of, discard, read, stored, text_buffers
@@ -193,10 +193,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Deals the members of each bucket to pairs of blocks: (key, x, y, side, comp, *columns), sorted by (key, x, y).
 
-    Members are numbered by component; a block holds BLOCK of them. Two blocks of one same component don't meet.
+    A component of BLOCK members or more has blocks of its own, by the members' hashes; the bucket's other components
+    share blocks, each whole in one. Blocks hold some BLOCK members. Two blocks of one same component don't meet.
     """
-    order = Window.partitionBy("key").orderBy("comp", "cls")
-    numbered = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    rest = sizes.where(F.col("n") < BLOCK).groupBy("key").agg(F.sum("n").alias("m"))
+    dealt = sizes.join(rest, "key", "left").select("key", "comp", (F.col("n") >= BLOCK).alias("_own"), F.ceil(F.when(F.col("n") >= BLOCK, F.col("n")).otherwise(F.col("m")) / BLOCK).alias("_parts"))
+    own = F.xxhash64("comp", F.pmod(F.xxhash64("cls"), "_parts"))
+    numbered = rows.join(dealt, ["key", "comp"]).withColumn("block", F.when(F.col("_own"), own).otherwise(F.pmod(F.xxhash64("comp"), "_parts")))
     spans = numbered.groupBy("key", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     other = spans.select("key", F.col("block").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     meet = spans.join(other, "key").where("block <= other and not (low = high and low2 = high2 and low = low2)")
@@ -335,3 +339,18 @@ def labelled(seen: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+#: All pairs that share a shingle, and the closure of their links: for small tables.
+ORACLE_SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+s as (select distinct doc_id, sh from (
+        select doc_id, array_to_string(ws[i:i + 2], ' ') as sh from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)
+        union all select doc_id, array_to_string(ws, ' ') from w where len(ws) in (1, 2))),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+e as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+g as (select a, b from e union all select b, a from e),
+r(doc_id, component) as (select doc_id, doc_id from w union select g.b, r.component from r join g on g.a = r.doc_id),
+l as (select doc_id, min(component) as component_id from r group by doc_id)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept from w join l on w.doc_id = l.doc_id left join n on n.doc_id = w.doc_id"""

@@ -6,6 +6,7 @@ from .bpe import op2_bpe
 from .decontaminate import op7_decontamination
 from .html import op1_html_text
 from .language import op9_language_id
+from .near_dedup import ORACLE_SQL as _DEDUP_SQL
 from .near_dedup import op3_near_dedup
 from .perplexity import op5_quality_classifier
 from .quality_rules import ORACLE_SQL as _QUALITY_SQL
@@ -36,4 +37,4 @@ def _pipeline(spark, sf_dir):
 
 QUERIES["pipeline"] = _pipeline
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_near_dedup": _DEDUP_SQL, "op6_quality_rules": _QUALITY_SQL}
