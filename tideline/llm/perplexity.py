@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .charlm import POOLS, count_grams, dense, gram_rows, kneser_ney, model_arrays, pool_of
-from .common import bare, read, stored, text_buffers
+from .common import bare, discard, read, stored, text_buffers
 
 QUANTILE = 0.995
 
@@ -67,8 +67,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     own = bare(docs, doc_id="bigint", text="string", lang="string")
     good = stored(trusted(labels), "trusted")
     learned = own.join(good.hint("merge"), "doc_id", "left_semi")  # the trusted grow with the corpus: no broadcast at any size
-    model = stored(kneser_ney(stored(count_grams(learned), "grams")), "kneser-ney")
+    grams = stored(count_grams(learned), "grams")
+    model = stored(kneser_ney(grams), "kneser-ney")
     scored = stored(perplexities(own, model), "perplexity")
+    discard(grams, model)
     limits = scored.join(good, "doc_id", "left_semi").groupBy("pool").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     joined = scored.join(F.broadcast(limits), "pool", "left")  # a row for each pool
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
