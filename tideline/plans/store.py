@@ -91,7 +91,8 @@ class KeyedTable:
             version = f"{self.folder}/v{batch}-{uuid.uuid4().hex[:8]}"
             old = self.read(touched).join(changes.select("k"), "k", "left_anti")
             new = old.unionByName(changes.where("curr is not null").select("k", F.col("curr").cast(self.schema).alias("row")))
-            new.withColumn("bucket", self._bucket()).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(version)
+            # rebalanced: adaptive execution splits a large bucket over tasks and puts small ones together
+            new.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(version)
             for b in touched:
                 path = f"{version}/bucket={b}"
                 fs, p = self.files._at(path)
