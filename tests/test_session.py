@@ -89,3 +89,19 @@ def test_codecs(spark):
     assert tuple(got) == (-2, 7, -(2**63), 1.5, "x", None)
     with pytest.raises(EngineError):
         decode(F.col("a"), "csv")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tideline.__main__ import main, statements
+
+    assert [s.strip() for s in statements("select ';' as a; show tables ;")] == ["select ';' as a", "show tables", ""]
+    assert main(["--folder", str(tmp_path / "s"), SOURCE + "; show tables; select * from nope"]) == 1
+    out = capsys.readouterr()
+    assert "pay" in out.out and "E1002" in out.err
+
+
+def test_names_are_case_insensitive_and_aliases_show(spark, tmp_path):
+    s = Session(spark, str(tmp_path / "s"))
+    s.execute(SOURCE.replace("create source pay", "CREATE SOURCE Pay"))
+    assert s.execute("SELECT Payment_ID AS x, amount + 1, count(*) FROM PAY GROUP BY payment_id, amount").columns == ["x", "amount + 1", "count(*)"]
+    assert [r[0] for r in s.execute("DESCRIBE PAY").collect()][0] == "payment_id"

@@ -50,6 +50,7 @@ class Engine:
         saved = json.loads(text) if text else {"tables": [], "batch": 0, "streams": {}}
         self.tables = {t["name"]: Table(**t) for t in saved["tables"]}
         self.batch, self.streams = saved["batch"], saved["streams"]
+        self._plans: dict[tuple, object] = {}
         self.sink_writers: dict[str, Callable[[DataFrame, int], None]] = {}
 
     def save(self) -> None:
@@ -234,30 +235,38 @@ class Engine:
             out = out.where(F.expr(having))
         return out.select(*[F.expr(e).alias(n) for e, n in items])
 
+    def _compiled(self, what: str, b: Select, build):
+        """Compiled once for each branch; the tables under a view can't change while it is there."""
+        key = (what, repr(b), self.table(b.table).schema)
+        if key not in self._plans:
+            self._plans[key] = build(b)
+        return self._plans[key]
+
     # -- incremental -------------------------------------------------------------------------------------------------
     def _through(self, t: Table, index: int, b: Select, changes: DataFrame, batch: int) -> DataFrame:
         """Changes of a view's branch from those of its parent."""
         if b.where:
-            changes = C.filtered(changes, spark_text(b.where, kind_in(self._empty(b.table))))
+            changes = C.filtered(changes, self._compiled("where", b, lambda b: spark_text(b.where, kind_in(self._empty(b.table)))))
         if self._aggregates(b):
             changes = self._group_changes(t, index, b, changes, batch)
         else:
-            changes = C.projected(changes, self._plain(b))
+            changes = C.projected(changes, self._compiled("plain", b, self._plain))
         shape = t.struct()
         for side in ("prev", "curr"):
             changes = changes.withColumn(side, F.when(F.col(side).isNotNull(), F.struct(*[F.col(f"{side}.`{f}`").cast(s.dataType).alias(s.name) for f, s in zip(changes.schema[side].dataType.names, shape, strict=True)])))
         return C.branch(changes, index) if len(parse_select(t.query).branches) > 1 else changes
 
     def _group_changes(self, t: Table, index: int, b: Select, changes: DataFrame, batch: int) -> DataFrame:
-        groups, calls, items, having = self._grouped(b)
-        names = [n for _, n in groups]
+        groups, calls, items, having = self._compiled("grouped", b, self._grouped)
+        names, touched_buckets = [n for _, n in groups], None
         invertible = all(f in ("sum", "count") and not a.startswith("distinct ") for f, a, _ in calls)
         if invertible:
             added = C.deltas(changes, groups, calls)
             shape = T.StructType([T.StructField(f, added.schema[f].dataType) for f in added.columns if f != "k"])
             state = self.store(f"{t.name}__groups{index}", shape)
             added = self._written(added, f"{t.name}__deltas{index}", batch)
-            moved = C.merged(state.read(state.touched(added)), added, names, calls, self.keep_empty)
+            touched_buckets = state.touched(added)
+            moved = C.merged(state.read(touched_buckets), added, names, calls, self.keep_empty)
         else:
             touched = C.signed(changes).select(*[F.expr(e).alias(n) for e, n in groups]) if names else self.spark.range(1)
             source = self.store(b.table).rows()
@@ -269,7 +278,7 @@ class Engine:
             keys = (touched.select(C.key_of(*names).alias("k")) if names else self.spark.range(1).select(C.key_of().alias("k"))).distinct()
             moved = keys.join(fresh.withColumnRenamed("row", "curr"), "k", "left").join(state.read().withColumnRenamed("row", "prev"), "k", "left").select("k", "prev", "curr").where("prev is not null or curr is not null")
         moved = self._written(moved, f"{t.name}__groups{index}", batch)
-        state.commit(moved, batch)
+        state.commit(moved, batch, touched_buckets)
         if having:
             moved = C.filtered(moved, self._sums(having, calls, invertible))
         return C.projected(moved, [(self._sums(e, calls, invertible), n) for e, n in items])
@@ -294,7 +303,7 @@ class Engine:
         batch, out = self._next(), None
         for i, b in enumerate(q.branches):
             parent = self.table(b.table)
-            if parent.options.get("transient"):
+            if parent.options.get("transient") or not self.store(parent.name).manifest()["buckets"]:
                 continue
             rows = self.store(parent.name).read()
             changes = rows.select("k", F.lit(None).cast(parent.struct()).alias("prev"), F.col("row").alias("curr"))
@@ -332,8 +341,9 @@ class Engine:
         else:
             state = self.store(t.name)
             rows = self._written(rows, f"{t.name}__batch", batch)
-            changes = self._written(C.against(rows, state.read(state.touched(rows))), t.name, batch)
-            state.commit(changes, batch)
+            touched = state.touched(rows)
+            changes = self._written(C.against(rows, state.read(touched)), t.name, batch)
+            state.commit(changes, batch, touched)
         self._propagate({t.name: changes}, batch)
         self._forget(batch)
 

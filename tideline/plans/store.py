@@ -81,12 +81,12 @@ class KeyedTable:
     def touched(self, keyed: DataFrame) -> list[int]:
         return [r[0] for r in keyed.select(self._bucket().alias("b")).distinct().collect()]  # at most one for each bucket
 
-    def commit(self, changes: DataFrame, batch: int) -> None:
-        """Apply ``changes(k, prev, curr)`` as batch ``batch``."""
+    def commit(self, changes: DataFrame, batch: int, touched: list[int] | None = None) -> None:
+        """Apply ``changes(k, prev, curr)`` as batch ``batch``. ``touched``: the buckets of its keys, where known."""
         manifest = self.manifest()
         if batch <= manifest["batch"]:
             return
-        touched = self.touched(changes)
+        touched = self.touched(changes) if touched is None else touched
         if touched:
             version = f"{self.folder}/v{batch}-{uuid.uuid4().hex[:8]}"
             old = self.read(touched).join(changes.select("k"), "k", "left_anti")
