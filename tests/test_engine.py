@@ -128,6 +128,20 @@ def test_sink_sends_the_last_row_of_each_key(spark, tmp_path):
         e.create_sink("a", "select count(*) from s")
 
 
+def test_old_versions_go(spark, tmp_path, monkeypatch):
+    from tideline.plans import store
+
+    monkeypatch.setattr(store, "KEPT", 2)
+    e = Engine(spark, str(tmp_path / "e"), buckets=1)
+    e.create_source("s", SCHEMA, ["id"])
+    for b in range(7):
+        e.ingest("s", spark.createDataFrame([(1, "x", b)], SCHEMA), b)
+    assert rows_of(e.read("s")) == [(1, "x", 6)]
+    left = [p for p in (tmp_path / "e/tables/s").glob("v*/bucket=0")]
+    assert len(left) == 3  # the current one and two before
+    assert len(list((tmp_path / "e/changes/s").glob("b*"))) <= 5
+
+
 def test_common_types():
     from tideline.types import common_type
 

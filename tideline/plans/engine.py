@@ -380,9 +380,8 @@ class Engine:
 
     def _forget(self, batch: int, keep: int = 4) -> None:
         """Old batches' changes go, a few stay for replays."""
-        if batch > keep:
-            for name in [*self.tables, *[f"{t}__{k}{i}" for t in self.tables for k, i in (("groups", 0), ("deltas", 0), ("batch", ""))]]:
-                self.files.remove(f"{self.folder}/changes/{name}/b{batch - keep}")
+        for folder in self.files.folders(f"{self.folder}/changes") if batch > keep else []:
+            self.files.remove(f"{folder}/b{batch - keep}")
 
     # -- retention ---------------------------------------------------------------------------------------------------
     def reap(self, source: str) -> None:

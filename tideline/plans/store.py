@@ -48,6 +48,14 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def folders(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return [x.getPath().toString() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+#: Commits for which replaced buckets stay, for queries that still read them.
+KEPT = 8
+
 
 class KeyedTable:
     """(k, row) with one row for each key."""
@@ -93,6 +101,10 @@ class KeyedTable:
             new = old.unionByName(changes.where("curr is not null").select("k", F.col("curr").cast(self.schema).alias("row")))
             # rebalanced: adaptive execution splits a large bucket over tasks and puts small ones together
             new.withColumn("bucket", self._bucket()).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(version)
+            stale = manifest.setdefault("stale", [])
+            stale.append([manifest["buckets"][str(b)] for b in touched if str(b) in manifest["buckets"]])
+            for path in stale.pop(0) if len(stale) > KEPT else []:
+                self.files.remove(path)
             for b in touched:
                 path = f"{version}/bucket={b}"
                 fs, p = self.files._at(path)
