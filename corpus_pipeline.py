@@ -28,10 +28,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id stay; of rows that repeat a doc_id one stays.
     """
-    gone = near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(stored(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    found = stored(near_duplicates(docs, k=5, percent=80), "groups")
+    gone = found.where(~F.col("kept")).select("doc_id")
+    twice = stored(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("n > 1"), "repeated")
+    once = stored(gone.union(twice.select("doc_id")).distinct().withColumnRenamed("doc_id", "__gone"), "gone")
+    left = docs.join(once, F.col("doc_id") == F.col("__gone"), "left_anti")
+    if twice.limit(1).count():  # one row for each of these ids; all other texts move once
+        again = docs.join(twice.where("kept").select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_semi")
+        left = left.unionByName(again.dropDuplicates(["doc_id"]))
+    return left
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,8 +202,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, it
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with their own columns; rows with a null doc_id stay."""
-    found = stored(contaminated(docs, benchmark, share).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").cast("bigint") == F.col("_found"), "left_anti")
+    found = stored(contaminated(docs, benchmark, share).select(F.col("doc_id").alias("__found")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").cast("bigint") == F.col("__found"), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
