@@ -32,54 +32,54 @@ def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
     return {piece: -math.log(r + 2) - norm for piece, r in ranks.items()}
 
 
+#: A piece's score as a whole number: billionths of its log-probability times SHIFT, less one. So a greater sum is a
+#: more probable split, and among equals the one of fewer tokens, whose number stands in the sum's last digits.
+SHIFT = 1 << 32
+
+
 class TrieCounter:
     """Best splits of prefixes, one node for each distinct prefix of the inserted pre-tokens."""
 
     def __init__(self, scores: dict[bytes, float], most: int = NODES):
-        self.scores, self.most = scores, most
-        self.longest = max(map(len, scores))
+        self.most = most
         self.computed = 0  # nodes whose score was computed, for tests
-        # reversed pieces: which piece lengths can end in given bytes, to stop a backward search early
-        self.tails = set()
-        for piece in scores:
-            for i in range(len(piece)):
-                self.tails.add(piece[i:])
+        # each piece's score, and None for bytes that only end a piece: what is in neither ends no piece, nor does more
+        self.pieces: dict[bytes, int | None] = {}
+        for piece, score in scores.items():
+            self.pieces[piece] = round(score * 1e9) * SHIFT - 1
+            for i in range(1, len(piece)):
+                self.pieces.setdefault(piece[i:], None)
         self.clear()
 
     def clear(self) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
+        self.best: list[int] = [0]
         self.counts: dict[str, int] = {}
 
     def insert(self, token: bytes) -> int:
-        """Tokens of a pre-token; new nodes are computed on the way down."""
-        node, path = 0, [0]
-        for end, byte in enumerate(token, 1):
-            child = self.next[node].get(byte)
+        """Tokens of a pre-token; new nodes are computed on the way down, each from its own prefixes."""
+        nexts, best, pieces = self.next, self.best, self.pieces
+        children, values, end = nexts[0], [0], 0
+        for byte in token:
+            end += 1
+            child = children.get(byte)
             if child is None:
-                child = len(self.next)
-                self.next[node][byte] = child
-                self.next.append({})
-                self.best.append(self._score(token, end, path))
-            path.append(child)
-            node = child
-        return -self.best[node][1]
-
-    def _score(self, token: bytes, end: int, path: list[int]) -> tuple[float, int]:
-        """(score, minus tokens) of the best split of token[:end]; path[i] is the node of token[:i]."""
-        self.computed += 1
-        best = (-math.inf, 0)
-        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            piece = token[start:end]
-            if piece not in self.tails:  # no piece ends in these bytes, so none ends in more
-                break
-            score = self.scores.get(piece)
-            if score is not None:
-                before = self.best[path[start]]
-                got = (round(before[0] + score, 9), before[1] - 1)
-                if got > best:
-                    best = got
-        return best
+                top = None
+                for start in range(end - 1, -1, -1):
+                    score = pieces.get(token[start:end], 0)
+                    if score == 0:
+                        break
+                    if score is not None:
+                        total = values[start] + score
+                        if top is None or total > top:
+                            top = total
+                child = children[byte] = len(nexts)
+                nexts.append({})
+                best.append(top)
+                self.computed += 1
+            children = nexts[child]
+            values.append(best[child])
+        return -values[-1] % SHIFT
 
     def count(self, token: str) -> int:
         n = self.counts.get(token)
