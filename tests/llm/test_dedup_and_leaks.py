@@ -165,3 +165,24 @@ def test_a_passage_in_every_document_is_found_in_all(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("start "), F.lit(item), F.concat(F.lit(" end"), "id")).alias("text"))
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     assert decontaminate.contaminated(df, b).count() == 300
+
+
+def test_every_copy_that_scores_enough_is_found(spark):
+    """Heavily edited copies, halves, a half that most documents share, and the pairs that plain alignment finds."""
+    rnd = random.Random(3)
+    pool = ["the", "of", "and"] + [f"{rnd.choice('abcdefgh')}{i}" for i in range(300)]
+    items = [[rnd.choice(pool) for _ in range(n)] for n in (3, 4, 6, 12, 15, 20, 28, 35, 48, 59)]
+    docs = []
+    for item in items:
+        n = len(item)
+        for share in (0.2, 0.25, 0.3):
+            for _ in range(3):
+                docs.append([rnd.choice([[], ["new"], [w, "more"]]) if rnd.random() < share else [w] for w in item])
+        docs += [[[w] for w in item[: (n + 1) // 2]], [[w] for w in item[n // 2 :]], [[w, "x"] for w in item], [[w] if i % 3 else ["y"] for i, w in enumerate(item)]]
+    docs = [[rnd.choice(pool) for _ in range(rnd.randint(0, 30))] + sum(d, []) + [rnd.choice(pool) for _ in range(rnd.randint(0, 30))] for d in docs]
+    docs += [[*items[7][:10], rnd.choice(pool)] for _ in range(60)]
+    want = {(i, k): s for i, d in enumerate(docs) for k, item in enumerate(items) if (s := plain_score(item, d)) >= max(0.8 * len(item), 6)}
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): round(r.score * 2 * len(items[r.item_id])) for r in decontaminate.contaminated(df, b).collect()}
+    assert got == want

@@ -1,12 +1,13 @@
 """Operator 7: benchmark decontamination.
 
-Seeds are the 3-word shingles of the benchmark's items (A-Z in lower case, words as runs
-without white space and ASCII punctuation). A first
-pass over all texts counts each seed's documents; of each item the rarest half is kept (at least ``LEAST_SEEDS``).
-Rarity is relative within an item, so an item that thousands of documents contain keeps its seeds. A second pass joins
-seeds to the texts' shingles and, around the places where an item's seeds occur, aligns the item with the text by
-Smith-Waterman over words (match 2, mismatch -1, gap -1). An item is found in a document if the best local alignment
-scores at least ``SHARE`` of a whole copy's score, which edited, reordered or shortened copies do as well.
+Words are runs without white space and ASCII punctuation, A-Z in lower case. An item is found in a document if the
+best local alignment over words (Smith-Waterman: match 2, mismatch -1, gap -1) scores at least ``SHARE`` of a whole
+copy's score and at least that of ``K`` words, which edited, reordered or shortened copies do as well.
+
+Every such copy is aligned, by a filter that loses none. Seeds are all pairs of an item's words that are neighbours or
+have one word between them, and the same pairs of the text. Of the steps from one match of an alignment to the next, let
+g have one error at most: these are seeds, and all others cost two at least, so the score is 2 g + 2 at most. A text is
+aligned with an item around the places where enough seeds for the least score stand as close as its errors allow.
 
 The benchmark is the query set: it is held in blocks of ``ITEM_BLOCK`` items, each broadcast on its own, and each
 block passes over all documents, so its size has no limit.
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bare, batches_of, read, stored, text_buffers
-from .words import PUNCTUATION, U, shingle_hashes, words
+from .words import PUNCTUATION, STEP, U, mix, words
 
-K, LEAST_SEEDS, SHARE = 3, 8, 0.4
+K, SHARE = 3, 0.4
 ITEM_BLOCK = 20_000
+MOST_PLACES = 1 << 22  # seeds of items at places of texts that are looked at together, unless one text has more
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -47,9 +49,16 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _windows(places: np.ndarray, offsets: np.ndarray, length: int, n: int) -> list[tuple[int, int]]:
-    """Parts of a text of n words that may hold an item, around seeds at ``places`` (``offsets`` within the item)."""
-    slack = length // 2 + 4
+def least_score(lengths, share: float):
+    """Score from which an item of so many words counts as found."""
+    return np.maximum(share * MATCH * lengths, MATCH * K)
+
+
+def _windows(places: np.ndarray, offsets: np.ndarray, length: int, n: int, slack: int) -> list[tuple[int, int]]:
+    """Parts of a text of n words that may hold an item, around seeds at ``places`` (``offsets`` within the item).
+
+    ``slack``: gaps that an alignment may have.
+    """
     starts = np.maximum(places - offsets - slack, 0)
     ends = np.minimum(places - offsets + length + slack, n)
     order = np.argsort(starts, kind="stable")
@@ -62,6 +71,16 @@ def _windows(places: np.ndarray, offsets: np.ndarray, length: int, n: int) -> li
     return [(a, b) for a, b in out]
 
 
+def _pairs(h: np.ndarray, bounds: np.ndarray):
+    """(hash, row, place of its first word) of each pair of a row's words with one word between them at most."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    found = []
+    for step in (1, 2):
+        first = np.flatnonzero(row[:-step] == row[step:])
+        found.append((mix(h[first] * STEP[0] + h[first + step] * STEP[1]), row[first], first - bounds[row[first]]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 class Items:
     """A block of the benchmark: word hashes and seeds."""
 
@@ -73,21 +92,14 @@ class Items:
         row, _, _, h = words(raw, off, between=PUNCTUATION)
         cuts = np.searchsorted(row, np.arange(len(rows) + 1))
         self.words = [h[cuts[i] : cuts[i + 1]] for i in range(len(rows))]
-        seeds, bounds = shingle_hashes(row, h, K, len(rows))
-        item = np.repeat(np.arange(len(rows)), np.diff(bounds))
-        place = np.arange(len(seeds)) - bounds[item]
-        order = np.argsort(seeds, kind="stable")
+        self.lengths = np.diff(cuts)
+        seeds, item, place = _pairs(h, cuts)
+        order = np.flatnonzero(self.lengths[item] >= K)
+        order = order[np.argsort(seeds[order], kind="stable")]
         self.seeds, self.item, self.place = seeds[order], item[order], place[order]
-
-    def rarest(self, frequency: np.ndarray) -> None:
-        """Keep of each item the rarer half of its seeds. ``frequency``: documents of each of ``self.seeds``."""
-        keep = np.zeros(len(self.seeds), dtype=bool)
-        order = np.lexsort((self.place, frequency, self.item))
-        start = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank = np.arange(len(order)) - start[self.item[order]]
-        counts = np.bincount(self.item, minlength=len(self.ids))
-        keep[order] = rank < np.maximum(LEAST_SEEDS, (counts[self.item[order]] + 1) // 2)
-        self.seeds, self.item, self.place = self.seeds[keep], self.item[keep], self.place[keep]
+        self.short: dict[tuple[int, ...], list[int]] = {}
+        for i in np.flatnonzero((self.lengths > 0) & (self.lengths < K)).tolist():
+            self.short.setdefault(tuple(self.words[i].tolist()), []).append(i)
 
 
 def _sieve(seeds: np.ndarray) -> np.ndarray:
@@ -104,75 +116,72 @@ def _hits(hashes: np.ndarray, seeds: np.ndarray, sieve: np.ndarray) -> np.ndarra
     return maybe[seeds[at] == hashes[maybe]]
 
 
-def _shingled(batch: pa.RecordBatch):
-    """Per chunk of rows: first row, number of rows, word hashes, their bounds, shingle hashes, their bounds."""
+def _paired(batch: pa.RecordBatch):
+    """Per chunk of rows: first row, word hashes, their bounds."""
     raw, off = text_buffers(batch.column(1))
     for i, j in batches_of(off):
         row, _, _, h = words(raw[off[i] : off[j]], off[i : j + 1] - off[i], between=PUNCTUATION)
-        hashes, bounds = shingle_hashes(row, h, K, j - i)
-        yield i, j - i, h, np.searchsorted(row, np.arange(j - i + 1)), hashes, bounds
-
-
-def seed_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """Documents that hold each of the block's seeds."""
-    distinct = np.unique(items.seeds)
-    if not len(distinct):
-        return np.zeros(0, dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(distinct)
-
-    def run(batches):
-        seeds = shared.value
-        sieve, total = _sieve(seeds), np.zeros(len(seeds), dtype=np.int64)
-        for batch in batches:
-            for _, n, _, _, hashes, bounds in _shingled(batch):
-                hit = _hits(hashes, seeds, sieve)
-                if len(hit):
-                    row = np.searchsorted(bounds, hit, side="right") - 1
-                    pairs = np.unique(row * len(seeds) + np.searchsorted(seeds, hashes[hit]))
-                    total += np.bincount(pairs % len(seeds), minlength=len(seeds))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["seed", "n"])
-
-    rows = docs.mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # at most a row for each seed of the block
-    counts = np.zeros(len(distinct), dtype=np.int64)
-    for seed, n in rows:
-        counts[seed] = n
-    return counts[np.searchsorted(distinct, items.seeds)]
+        yield i, h, np.searchsorted(row, np.arange(j - i + 1))
+
+
+def _places(items: Items, sieve: np.ndarray, h: np.ndarray, cuts: np.ndarray, share: float):
+    """Arrays (row, item, place in the text, place in the item) of the seeds that may belong to a found copy, sorted."""
+    hashes, rows, starts = _pairs(h, cuts)
+    hit = _hits(hashes, items.seeds, sieve)
+    hit = hit[np.argsort(rows[hit], kind="stable")]
+    low, high = np.searchsorted(items.seeds, hashes[hit]), np.searchsorted(items.seeds, hashes[hit], side="right")
+    ends = np.cumsum(high - low)
+    least = least_score(items.lengths, share)
+    need = np.ceil(least / MATCH - 1 - 1e-9).astype(np.int64)
+    span = np.floor((1 + MATCH) * items.lengths - least).astype(np.int64)
+    a = 0
+    while a < len(hit):  # whole texts
+        b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MOST_PLACES)), a + 1)
+        b = int(np.searchsorted(rows[hit], rows[hit[b - 1]], side="right")) if b < len(hit) else len(hit)
+        times = high[a:b] - low[a:b]
+        which = np.repeat(low[a:b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        row, where = np.repeat(rows[hit[a:b]], times), np.repeat(starts[hit[a:b]], times)
+        item, offset = items.item[which], items.place[which]
+        order = np.lexsort((where, item, row))
+        row, item, where, offset = row[order], item[order], where[order], offset[order]
+        fresh = np.ones(len(row), dtype=bool)  # a place counts once
+        fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (where[1:] != where[:-1])
+        at, number = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        last = np.arange(len(at)) + need[item[at]] - 1
+        to = at[np.minimum(last, len(at) - 1)]
+        full = np.flatnonzero((last < len(at)) & (row[to] == row[at]) & (item[to] == item[at]) & (where[to] - where[at] <= span[item[at]]))
+        change = np.zeros(len(at) + 1, dtype=np.int64)
+        np.add.at(change, full, 1)
+        np.add.at(change, last[full] + 1, -1)
+        stay = np.cumsum(change)[number] > 0
+        yield row[stay], item[stay], where[stay], offset[stay]
+        a = b
 
 
 def _aligned(docs: DataFrame, items: Items, share: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items.ids, items.words, items.seeds, items.item, items.place))
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
-        ids, item_words, seeds, item, place = shared.value
-        sieve = _sieve(seeds)
+        items = shared.value
+        sieve = _sieve(items.seeds)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for i, n, h, cuts, hashes, bounds in _shingled(batch):
-                hit = _hits(hashes, seeds, sieve) if len(seeds) else np.zeros(0, dtype=np.int64)
-                if not len(hit):
-                    continue
-                low, high = np.searchsorted(seeds, hashes[hit]), np.searchsorted(seeds, hashes[hit], side="right")
-                times = high - low
-                which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                at = np.repeat(hit, times)
-                row = np.searchsorted(bounds, at, side="right") - 1
-                where, items_hit, offsets = at - bounds[row], item[which], place[which]
-                order = np.lexsort((where, items_hit, row))
-                row, where, items_hit, offsets = row[order], where[order], items_hit[order], offsets[order]
-                turn = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (items_hit[1:] != items_hit[:-1]))))
-                for a, b in zip(turn, np.append(turn[1:], len(row)), strict=True):
-                    r, m = int(row[a]), int(items_hit[a])
-                    text, query = h[cuts[r] : cuts[r + 1]], item_words[m]
-                    if len(query) < K and len(text) != len(query):
-                        continue
-                    best = (0, 0)
-                    for x, y in _windows(where[a:b], offsets[a:b], len(query), len(text)):
-                        score, end = smith_waterman(query, text[x:y])
-                        best = max(best, (score, x + end))
-                    if best[0] >= share * MATCH * len(query):
-                        out.append((doc_ids[i + r], ids[m], best[0] / (MATCH * len(query)), best[1]))
+            for i, h, cuts in _paired(batch):
+                if items.short:
+                    for r in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(cuts) < K)).tolist():
+                        out += [(doc_ids[i + r], items.ids[m], 1.0, int(items.lengths[m])) for m in items.short.get(tuple(h[cuts[r] : cuts[r + 1]].tolist()), [])]
+                for row, item, where, offsets in _places(items, sieve, h, cuts, share):
+                    turn = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])))) if len(row) else []
+                    for a, b in zip(turn, [*turn[1:], len(row)], strict=False):
+                        r, m = int(row[a]), int(item[a])
+                        text, query = h[cuts[r] : cuts[r + 1]], items.words[m]
+                        best, least = (0, 0), least_score(len(query), share)
+                        for x, y in _windows(where[a:b], offsets[a:b], len(query), len(text), int(MATCH * len(query) - least)):
+                            score, end = smith_waterman(query, text[x:y])
+                            best = max(best, (score, x + end))
+                        if best[0] >= least:
+                            out.append((doc_ids[i + r], items.ids[m], best[0] / (MATCH * len(query)), best[1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64())],
                 names=["doc_id", "item_id", "score", "end_word"],
@@ -188,9 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, it
     out, block = None, []
 
     def add(block):
-        items = Items(block)
-        items.rarest(seed_frequencies(own, items))
-        found = _aligned(own, items, share)
+        found = _aligned(own, Items(block), share)
         return found if out is None else out.unionAll(found)
 
     for row in numbered.orderBy("item_id", "text").toLocalIterator():  # the query set, a partition at a time
