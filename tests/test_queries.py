@@ -43,6 +43,21 @@ def test_equals_its_twin(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str)
 
 
+def test_joins_and_table_functions_over_whole_tables(spark):
+    """By brute force: every order, customer, supplier and range takes part."""
+    rows = {t: [r.asDict() for r in spark.read.parquet(f"{DATA}/{t}.parquet").collect()] for t in ("customer", "supplier", "orders", "part")}
+    names = {c["c_custkey"]: c["c_name"] for c in rows["customer"]}
+    suppliers = {s["s_suppkey"] for s in rows["supplier"]}
+    want = {
+        "ext_join_right_all": [(o["o_orderkey"], names.get(o["o_custkey"])) for o in rows["orders"]],
+        "ext_join_full_all": [(c if c in names else None, c if c in suppliers else None) for c in names.keys() | suppliers],
+        "ext_join_range_all": [(p["p_partkey"], r["p_size"]) for p in rows["part"] for r in rows["part"] if r["p_size"] <= p["p_retailprice"] % 60 < r["p_size"] + 5],
+        "ext_udtf_all": [(o["o_orderkey"], x) for o in rows["orders"] for x in o["o_orderpriority"].split("-")],
+    }
+    for name, pairs in want.items():
+        assert sorted(map(tuple, QUERIES[name](spark, DATA).collect()), key=str) == sorted(pairs, key=str), name
+
+
 def test_entry_imports_without_the_corpus_operators(spark, monkeypatch):
     import importlib
     import sys

@@ -346,6 +346,18 @@ def ext_join_full(spark, d):
     return c.join(s, c.c_custkey == s.s_suppkey, "full").select("c_custkey", "s_suppkey")
 
 
+@_frame("ext_join_right_all", "select o_orderkey, c_name from customer right join orders on c_custkey = o_custkey")
+def ext_join_right_all(spark, d):
+    c, o = _table(spark, d, "customer"), _table(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "right").select("o_orderkey", "c_name")
+
+
+@_frame("ext_join_full_all", "select c_custkey, s_suppkey from customer full join supplier on c_custkey = s_suppkey")
+def ext_join_full_all(spark, d):
+    c, s = _table(spark, d, "customer"), _table(spark, d, "supplier")
+    return c.join(s, c.c_custkey == s.s_suppkey, "full").select("c_custkey", "s_suppkey")
+
+
 @_frame("ext_join_using", "select n_nationkey, n_name, count(*) as n from nation join (select c_nationkey as n_nationkey from customer) using (n_nationkey) group by n_nationkey, n_name")
 def ext_join_using(spark, d):
     c = _table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
@@ -371,6 +383,13 @@ def ext_join_range(spark, d):
     return X.range_join(p.select("p_partkey", (F.col("p_retailprice") % 60).alias("x")), ranges, "x", "lo", "hi", 5).select("p_partkey", "lo")
 
 
+@_frame("ext_join_range_all", "select p_partkey, b.lo from part join (select p_size as lo, p_size + 5 as hi from part) b on p_retailprice % 60 >= b.lo and p_retailprice % 60 < b.hi")
+def ext_join_range_all(spark, d):
+    p = _table(spark, d, "part")
+    ranges = p.select(F.col("p_size").alias("lo"), (F.col("p_size") + 5).alias("hi"))
+    return X.range_join(p.select("p_partkey", (F.col("p_retailprice") % 60).alias("x")), ranges, "x", "lo", "hi", 5).select("p_partkey", "lo")
+
+
 @_frame("ext_join_asof", "select a.event_id, b.event_id as before_id from (select * from events where event_type = 'purchase') a asof left join (select * from events where event_type = 'click') b on a.user_id = b.user_id and a.event_id >= b.event_id")
 def ext_join_asof(spark, d):
     ev = _table(spark, d, "events").select("event_id", "user_id", "event_type")
@@ -505,6 +524,20 @@ def ext_udtf(spark, d):
     return spark.sql("select o_orderkey, part from {o}, lateral parts_of(o_orderpriority)", o=_table(spark, d, "orders").where("o_orderkey < 500"))
 
 
+@_frame("ext_udtf_all", "select o_orderkey, p as part from orders, unnest(string_split(o_orderpriority, '-')) as t(p)")
+def ext_udtf_all(spark, d):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="part string")
+    class Parts:
+        def eval(self, text: str):
+            for p in (text or "").split("-"):
+                yield (p,)
+
+    spark.udtf.register("parts_of", Parts)
+    return spark.sql("select o_orderkey, part from {o}, lateral parts_of(o_orderpriority)", o=_table(spark, d, "orders"))
+
+
 @_frame("ext_salted_sums", "select o_orderstatus, sum(o_custkey)::bigint as total from orders group by o_orderstatus")
 def ext_salted(spark, d):
     return X.salted_counts(_table(spark, d, "orders"), ["o_orderstatus"], [("o_custkey", "total")])
