@@ -179,6 +179,15 @@ def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
 
 
+def test_both_passes_decide_inside_an_article():
+    links, keywords = "<div><a href=x>one two three</a> <a href=y>four five six</a></div>", "<p>" + "Berlin Madrid Paris London Rome " * 5 + "</p>"
+    paragraphs = f"<p>{LONG}</p>" * 3
+    assert html.main_text(f"<article><h1>Head</h1>{paragraphs}{links}<p>Tell friends</p>{links}{paragraphs}<p>End.</p></article>") == "\n".join(["Head", *[LONG] * 6, "End."])
+    assert html.main_text(f"<article>{paragraphs}{keywords}{paragraphs}</article>") == "\n".join([LONG] * 6)
+    foreign = "Litwo ojczyzno moja ty jestes jak zdrowie ile trzeba cenic ten tylko sie dowie kto stracil"
+    assert html.main_text(f"<article><h1>Tytul</h1><p>{foreign}</p></article>") == f"Tytul\n{foreign}"
+
+
 def test_long_and_deep_pages():
     deep = "<article>" + "<div>" * 3000 + "<p>text here" + "</div>" * 3000 + "</article>"
     assert html.main_text(deep) == "text here"

@@ -6,7 +6,9 @@ elements whose class or id says advert, notice, comments and the like) are bad;
 blocks with enough stop words are good; the rest is ambiguous. Pass 2 gives each ambiguous block the label of the
 nearest decided block before or after it (a tie: good only if both are). Where a page marks its article (``article``
 or ``main``), blocks outside are bad and the ends of the article count as good neighbours, so that its short paragraphs
-and headings stay.
+and headings stay. Inside it both passes decide as elsewhere, with two differences: containers set into it (asides,
+comments, forms) are no neighbours of its text, and missing stop words count only if a block of the article has enough of
+them, since otherwise its language may be none of the lists'.
 
 Scripts, styles, comments and the head are no text. Character references are decoded, white space inside a block
 becomes one space, blocks are trimmed, empty ones dropped, and joined in page order by one newline. Null html gives
@@ -169,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, marked: bool) -> int:
+def first_pass(block: Block, marked: bool, low: float = LOW_STOPS) -> int:
     if block.bad or (marked and not block.article):
         return BAD
     n = len(block.text)
@@ -181,27 +183,27 @@ def first_pass(block: Block, marked: bool) -> int:
     density = sum(w in ALL_STOP_WORDS for w in words) / len(words)
     if density >= HIGH_STOPS:
         return GOOD
-    if density < LOW_STOPS and not marked:
+    if density < low:
         return BAD
     return OPEN
 
 
-def second_pass(labels: list[int], groups: list[int]) -> list[int]:
-    """Labels without OPEN: each such block takes the nearest decided neighbour's within its article."""
+def second_pass(labels: list[int], groups: list[int], apart: list[bool]) -> list[int]:
+    """Labels without OPEN: each such block takes the nearest decided neighbour's within its article, blocks ``apart`` left out."""
     n, out = len(labels), list(labels)
     before: list[tuple[int, int]] = []
     last = (-1, 0)
     for i in range(n):
         if i and groups[i] != groups[i - 1]:
             last = (i - 1, 0)
-        if labels[i] != OPEN and not (groups[i] and labels[i] == BAD):
+        if labels[i] != OPEN and not apart[i]:
             last = (i, labels[i])
         before.append(last)
     last = (n, 0)
     for i in range(n - 1, -1, -1):
         if i < n - 1 and groups[i] != groups[i + 1]:
             last = (i + 1, 0)
-        if labels[i] != OPEN and not (groups[i] and labels[i] == BAD):
+        if labels[i] != OPEN and not apart[i]:
             last = (i, labels[i])
         if labels[i] == OPEN:
             edge = GOOD if groups[i] else BAD
@@ -216,7 +218,11 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = blocks_of(page)
     marked = any(b.article and not b.bad for b in blocks)
-    labels = second_pass([first_pass(b, marked) for b in blocks], [b.article if marked else 0 for b in blocks])
+    labels = [first_pass(b, marked) for b in blocks]
+    if marked:
+        known = {b.article for b, label in zip(blocks, labels, strict=True) if label == GOOD}
+        labels = [label if b.article in known else first_pass(b, marked, 0) for b, label in zip(blocks, labels, strict=True)]
+    labels = second_pass(labels, [b.article if marked else 0 for b in blocks], [marked and b.bad and b.article > 0 for b in blocks])
     return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == GOOD)
 
 
