@@ -188,6 +188,15 @@ def test_both_passes_decide_inside_an_article():
     assert html.main_text(f"<article><h1>Tytul</h1><p>{foreign}</p></article>") == f"Tytul\n{foreign}"
 
 
+@pytest.mark.parametrize("tag", "noscript template svg canvas object audio video button select datalist".split())
+def test_an_unclosed_element_keeps_the_rest_of_the_page(tag):
+    assert html.main_text(f"<{tag}><article><p>kept</p><{tag}><p>too</article>") == "kept\ntoo"
+    assert html.main_text(f"<article><p>kept</p><{tag}>gone</{tag}><p>too</article>") == "kept\ntoo"
+    assert html.main_text(f"<{tag}><article><p>kept</p><{tag}>gone</{tag}><p>too</article>") == "kept\ntoo"
+    assert html.main_text(f"<article><p>kept</p><{tag}><{tag}>gone</{tag}>gone</{tag}><p>too</article>") == "kept\ntoo"
+    assert html.main_text("<article><p>kept</p><script>no</article>") == "kept"
+
+
 def test_long_and_deep_pages():
     deep = "<article>" + "<div>" * 3000 + "<p>text here" + "</div>" * 3000 + "</article>"
     assert html.main_text(deep) == "text here"

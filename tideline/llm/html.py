@@ -33,6 +33,8 @@ BLOCK_TAGS = frozenset(
 )
 CONTAINERS = frozenset("nav header footer aside form menu dialog".split())
 RAW_TAGS = frozenset("script style noscript template textarea iframe noembed noframes xmp svg title canvas object audio video button select datalist".split())
+#: Of these, the ones whose content HTML parses as raw text: without an end tag they reach to the page's end.
+TEXT_TAGS = frozenset("script style textarea iframe noembed noframes xmp title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class or id names that mark boilerplate; names are cut at anything but letters and at changes of case.
 BAD_NAMES = frozenset(
@@ -74,6 +76,18 @@ def _bad_attributes(attributes: str, names: frozenset[str] = BAD_NAMES) -> bool:
     return False
 
 
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each closed element of this tag ends, by the end of its start tag."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I):
+        if not m[1] and not m[2].endswith("/"):
+            opened.append(m.end())
+        elif m[1] and opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 class Block:
     __slots__ = ("text", "linked", "bad", "article")
 
@@ -88,6 +102,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []  # pieces of the current block, whether in a link
     links = articles = breaks = 0
     skip: str | None = None
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal breaks
@@ -108,7 +123,12 @@ def blocks_of(page: str) -> list[Block]:
 
     at = 0
     while True:
-        if skip:  # raw text up to its end tag
+        if skip:  # left out up to its end tag
+            if skip not in TEXT_TAGS:  # without an end tag of its own, only the start tag goes
+                if skip not in ends:
+                    ends[skip] = _ends(page, skip)
+                at, skip = ends[skip].get(at, at), None
+                continue
             m = re.compile(rf"</{skip}\s*>", re.I).search(page, at)
             if not m:
                 break
