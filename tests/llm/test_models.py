@@ -207,6 +207,18 @@ def test_trees_learn_and_compile(spark):
     assert urls.url_filter(pages.limit(0)).count() == 0
 
 
+def test_a_rare_class_trains_among_many_rows(spark):
+    """A sample far smaller than the table still holds the rare class, whatever the copies of one URL."""
+    rnd = random.Random(6)
+    good = [f"http://blog.site{i}.org/a/story" for i in range(1500)] + ["http://news.site.org/a/page"] * 1500
+    bad = [f"http://cheap-{rnd.randint(100, 999)}-win-{rnd.randint(100, 999)}.top/{rnd.randint(10**8, 10**9)}?a={i}&b=2&c=3" for i in range(160)]
+    pages = spark.createDataFrame(list(enumerate(good + bad)), "page_id bigint, url string")
+    labels = pages.where("page_id < 3080").selectExpr("page_id", "int(page_id >= 3000) as blocked")
+    got = {r.page_id: r.verdict for r in urls.url_filter(pages, [], labels, sample=200).collect()}
+    assert sum(got[i] == "block" for i in range(3080, 3160)) >= 76
+    assert sum(got[i] == "block" for i in range(3000)) <= 30
+
+
 def test_compiled_trees_score_as_trained(spark):
     rnd = np.random.RandomState(3)
     x = rnd.rand(500, len(urls.FEATURES)).round(3)

@@ -3,8 +3,8 @@
 Host, path, rules and features are columns. The trees are trained from labelled URLs: by default each row has the label
 of its rule, and a row that no rule names counts as allowed with the weight ``UNLISTED``, since lists name what to
 block and leave out what is fine (trained on the listed alone, a suffix with nothing but block rules would lose all of
-its other URLs). At most ``SAMPLE`` labelled rows (those with the smallest hashes of their address) train the model, on the
-driver; its trees then become one column expression that scores all rows inside the JVM. The suffix statistics (share
+its other URLs). At most ``SAMPLE`` distinct URLs train the model, on the driver: of each
+class (block, allow, unlisted) an equal part, those with the smallest hashes, weighted to all rows of the class. Its trees then become one column expression that scores all rows inside the JVM. The suffix statistics (share
 and blocked share of an address suffix) come from grouped aggregation over all rows.
 
 A null URL, or one without ``://``, has an empty host and path, no rule, and the verdict of the model on an empty
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, read, stored
+from .common import bare, discard, read, stored
 
 #: Labelled rows that train the model at most.
 SAMPLE = 20_000
@@ -152,9 +152,17 @@ def url_filter(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, s
         known = df.withColumn("_y", F.coalesce((F.col("_ruled") == "block").cast("int"), F.lit(0))).withColumn("_weight", F.when(F.col("_ruled").isNull(), UNLISTED).otherwise(1.0))
     else:
         known = df.join(bare(labels, page_id="bigint", blocked="int").where("blocked is not null").dropDuplicates(["page_id"]).withColumnRenamed("blocked", "_y"), "page_id").withColumn("_weight", F.lit(1.0))
-    order = [F.xxhash64("_url"), F.col("page_id")]
-    rows = known.orderBy(*order).limit(sample).select(*[F.col(c).cast("double") for c in FEATURES], "_y", "_weight").collect()  # at most ``sample`` rows
-    table = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(FEATURES) + 2)
+    kinds = [F.col("_y") == 1, (F.col("_y") == 0) & (F.col("_weight") == 1), F.col("_weight") != 1]  # block, allow, unlisted
+    urls = known.withColumn("_kind", F.when(kinds[0], 0).when(kinds[1], 1).otherwise(2)).groupBy("_url", "_kind").agg(F.count(F.lit(1)).alias("_n"), *[F.first(F.col(c).cast("double")).alias(c) for c in FEATURES], F.first("_y").alias("_y"), F.first("_weight").alias("_weight"))
+    urls = stored(urls, "urls")
+    full, table = {k: n for k, n in urls.groupBy("_kind").agg(F.sum("_n")).collect()}, np.zeros((0, len(FEATURES) + 2))
+    for kind in sorted(full):  # at most ``sample`` rows; each class weighs what all its rows do
+        rows = urls.where(F.col("_kind") == kind).orderBy(F.xxhash64("_url"), "_url").limit(max(1, sample // len(full))).select(*FEATURES, "_y", "_weight", "_n").collect()
+        part = np.array([tuple(r) for r in rows], dtype=float)
+        part[:, -2] *= part[:, -1] * full[kind] / part[:, -1].sum()
+        table = np.concatenate([table, part[:, :-1]])
+    discard(urls)
+    table[:, -1] *= min(1.0, sample / max(1, sum(full.values())))
     margin = as_column(train(table[:, :-2], table[:, -2], table[:, -1]))
     judged = df.withColumn("p_block", 1 / (1 + F.exp(-margin)))
     verdict = F.coalesce("_ruled", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
