@@ -19,6 +19,10 @@ CASES = {
     "sqrt(-1)": None, "acos(2)": None, "ln(0)": None, "microsecond(t)": 654321, "case i when 7 then 'x' else 'y' end": "x", "null <=> null": True, "hex(255)": "FF", "unhex('4D7953514C')": "MySQL",
     "from_base64(to_base64('abc'))": "abc", "oct(12)": "14", "char(77, 121)": "My", "format(12332.1234, 2)": "12,332.12", "locate('bar', 'foobarbar', 5)": 7, "locate('x', null)": None, "from_unixtime(1583025060.654321, '%Y')": "2020",
     "cast('12' as signed)": 12, "repeat('ab', -1)": "", "ifnull(n, 'z')": "z", "position('b' in 'abc')": 2, "i is true": True, "n is null": True, "-i": -7, "bin(5)": "101", "log(2, 8)": 3.0, "isnull(n)": 1, "left(s, 2)": "hé", "right('abc', 0)": "",
+    "date_format(t, '%D %w %U %u %V %v %X %x')": "1st 0 09 09 09 09 2020 2020", "week('2008-02-20')": 7, "week('2008-02-20', 1)": 8, "week('2008-12-31', 1)": 53, "week('2000-01-01', 0)": 0, "week('2000-01-01', 2)": 52, "yearweek('1987-01-01')": 198652,
+    "week('2021-01-03', 5)": 0, "week('2021-01-04', 7)": 1, "format(2.5, 0)": "3", "format(0.125, 2)": "0.13", "format(-0.125, 1 + 1)": "-0.13", "char(300)": "\x01,", "char(null)": "", "unhex('zz')": None, "from_base64('*')": None, "elt(2.4, 'a', 'b')": "b", "elt(1.5, 'a', 'b')": "b",
+    "to_days('2007-10-07')": 733321, "period_add(200801, 2)": 200803, "period_diff(200802, 200703)": 11, "to_seconds('2009-11-29')": 63426672000, "sec_to_time(2378)": "00:39:38", "time_to_sec('22:23:00')": 80580, "maketime(12, 15, 30)": "12:15:30", "timediff('2008-12-31 23:59:59', '2008-12-30 01:01:02')": "46:58:57",
+    "timestampdiff(month, '2003-02-01', '2003-05-01')": 3, "extract(minute from t)": 11, "dayname(t)": "Sunday", "monthname(t)": "March", "s regexp '^h'": True, "s not regexp 'l+o$'": False, "json_quote('a\"b')": '"a\\"b"', "json_array(1, 'a')": '[1,"a"]', "s collate utf8mb4_general_ci = 'HéLLO'": True,
     "crc32('MySQL')": 3259397556, "space(2)": "  ", "find_in_set('b', 'a,b')": 2, "1 + 2 * 3": 7, "2 = 2 or 1 / 0": True, "sign(-3)": -1, "mod(7, 3)": 1, "reverse('abc')": "cba", "year(t)": 2020,
 }
 

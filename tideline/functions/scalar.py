@@ -95,15 +95,25 @@ FORMAT_LETTERS = {
     "Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "l": "h",
     "i": "mm", "s": "ss", "S": "ss", "f": "SSSSSS", "p": "a", "j": "DDD", "M": "MMMM", "b": "MMM", "W": "EEEE", "a": "E", "T": "HH:mm:ss", "r": "hh:mm:ss a",
 }
+#: Letters that stand for a week (or its year) and the mode in which weeks count: (mode, whether the year).
+WEEK_LETTERS = {"U": (0, False), "u": (1, False), "V": (2, False), "v": (3, False), "X": (2, True), "x": (3, True)}
 
 
-def java_format(pattern: str) -> str:
-    out, plain, i = [], "", 0
+def _format_parts(pattern: str) -> list[tuple[str, str]]:
+    """("java", pattern) and ("letter", letter that Java lacks) in order."""
+    out: list[tuple[str, str]] = []
+    plain, i = "", 0
+
+    def java(text: str):
+        if out and out[-1][0] == "java":
+            out[-1] = ("java", out[-1][1] + text)
+        else:
+            out.append(("java", text))
 
     def close():
         nonlocal plain
         if plain:
-            out.append("'" + plain.replace("'", "''") + "'" if any(c.isalpha() or c in "'[]{}#" for c in plain) else plain)
+            java("'" + plain.replace("'", "''") + "'" if any(c.isalpha() or c in "'[]{}#" for c in plain) else plain)
             plain = ""
 
     while i < len(pattern):
@@ -111,14 +121,24 @@ def java_format(pattern: str) -> str:
             i += 1
             if pattern[i] in FORMAT_LETTERS:
                 close()
-                out.append(FORMAT_LETTERS[pattern[i]])
+                java(FORMAT_LETTERS[pattern[i]])
+            elif pattern[i] in WEEK_LETTERS or pattern[i] in "Dw":
+                close()
+                out.append(("letter", pattern[i]))
             else:
                 plain += pattern[i]
         else:
             plain += pattern[i]
         i += 1
     close()
-    return "".join(out)
+    return out
+
+
+def java_format(pattern: str) -> str:
+    parts = _format_parts(pattern)
+    if any(kind == "letter" for kind, _ in parts):
+        raise EngineError(ARGUMENTS, f"format {pattern!r}: week numbers and ordinals can't be read back")
+    return "".join(text for _, text in parts)
 
 
 def _literal(text: str, what: str) -> str:
@@ -131,8 +151,54 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-_def("date_format")(lambda t, p: f"date_format({t}, {_quoted(java_format(_literal(p, 'date_format')))})")
-_def("unix_timestamp")(lambda t="current_timestamp()": f"cast(unix_micros(cast({t} as timestamp)) / 1000000BD as decimal(20, 6))")
+def _stamp(t: str) -> str:
+    return f"cast({t} as timestamp)"
+
+
+def _week(t: str, mode: int) -> tuple[str, str]:
+    """(year, week) of a date, as SQL. Bits of the mode: weeks start on Monday; they count from 1, so that days before
+    the first week belong to the year before; and, if that differs from the first bit, the first week has four days of
+    the year at least, else it starts in it."""
+    d = f"cast({t} as date)"
+    monday, from_one = bool(mode & 1), bool(mode & 2)
+    four = monday != bool(mode & 4)
+
+    def start(jan: str) -> str:  # the first day of week 1, counted from January 1
+        w = f"weekday({jan})" if monday else f"(dayofweek({jan}) - 1)"
+        return f"(case when {w} <= 3 then - {w} else 7 - {w} end)" if four else f"pmod(7 - {w}, 7)"
+
+    jan = f"trunc({d}, 'YEAR')"
+    n = f"(dayofyear({d}) - 1)"
+    week = f"cast(floor(({n} - {start(jan)}) / 7.0D) + 1 as int)"
+    if not from_one:
+        return f"year({d})", week
+    before, after = f"add_months({jan}, -12)", f"add_months({jan}, 12)"
+    last = f"cast(floor((datediff({jan}, {before}) - 1 - {start(before)}) / 7.0D) + 1 as int)"
+    over = f"{n} >= datediff({after}, {jan}) + {start(after)}"
+    year = f"(case when {week} = 0 then year({d}) - 1 when {over} then year({d}) + 1 else year({d}) end)"
+    return year, f"(case when {week} = 0 then {last} when {over} then 1 else {week} end)"
+
+
+@_def("date_format")
+def _date_format(t, p):
+    out = []
+    for kind, text in _format_parts(_literal(p, "date_format")):
+        if kind == "java":
+            out.append(f"date_format({t}, {_quoted(text)})")
+        elif text == "w":
+            out.append(f"cast(dayofweek({t}) - 1 as string)")
+        elif text == "D":
+            d = f"day({t})"
+            out.append(f"concat({d}, case when {d} between 11 and 13 then 'th' when {d} % 10 = 1 then 'st' when {d} % 10 = 2 then 'nd' when {d} % 10 = 3 then 'rd' else 'th' end)")
+        else:
+            mode, of_year = WEEK_LETTERS[text]
+            out.append(f"lpad(cast({_week(t, mode)[0 if of_year else 1]} as string), {4 if of_year else 2}, '0')")
+    if not out:
+        return f"if({t} is null, null, '')"
+    return out[0] if len(out) == 1 else f"concat({', '.join(out)})"
+
+
+_def("unix_timestamp")(lambda t="current_timestamp()": f"cast(unix_micros({_stamp(t)}) / 1000000BD as decimal(20, 6))")
 
 
 @_def("from_unixtime")
@@ -141,13 +207,130 @@ def _from_unixtime(n, p=None):
     return t if p is None else FUNCTIONS["date_format"](t, p)
 
 
-@_def("timestamp")
-def _timestamp(t, time=None):
-    t = f"cast({t} as timestamp)"
-    if time is None:
-        return t
-    part = lambda i: f"cast(split_part({time}, ':', {i}) as double)"
-    return f"timestamp_micros(unix_micros({t}) + cast(round(({part(1)} * 3600 + {part(2)} * 60 + {part(3)}) * 1000000) as bigint))"
+def _seconds(time: str) -> str:
+    """Seconds of a time of day as text (hours, minutes, seconds; a sign before them counts for all)."""
+    part = lambda i: f"cast(split_part(ltrim('-', {time}), ':', {i}) as double)"
+    return f"(if(startswith({time}, '-'), -1, 1) * ({part(1)} * 3600 + {part(2)} * 60 + {part(3)}))"
+
+
+def _shifted(t: str, seconds: str) -> str:
+    return f"timestamp_micros(unix_micros({_stamp(t)}) + cast(round({seconds} * 1000000) as bigint))"
+
+
+def _time_of(seconds: str) -> str:
+    """A number of seconds as a time of day or span, text of hours, minutes and seconds."""
+    s = f"abs({seconds})"
+    return f"concat(if({seconds} < 0, '-', ''), lpad(cast(cast({s} as bigint) div 3600 as string), 2, '0'), ':', lpad(cast(cast({s} as bigint) div 60 % 60 as string), 2, '0'), ':', lpad(cast(cast({s} as bigint) % 60 as string), 2, '0'))"
+
+
+_def("timestamp")(lambda t, time=None: _stamp(t) if time is None else _shifted(t, _seconds(time)))
+_def("addtime")(lambda t, time: _shifted(t, _seconds(time)))
+_def("subtime")(lambda t, time: _shifted(t, f"- {_seconds(time)}"))
+_def("sec_to_time")(_time_of)
+_def("time_to_sec")(lambda t: f"cast({_seconds(t)} as bigint)")
+_def("maketime")(lambda h, m, s: f"if({m} between 0 and 59 and {s} between 0 and 59, {_time_of(f'({h} * 3600 + {m} * 60 + {s})')}, null)")
+_def("timediff")(lambda a, b: _time_of(f"((unix_micros({_stamp(a)}) - unix_micros({_stamp(b)})) div 1000000)"))
+_def("time")(lambda t: f"date_format({t}, 'HH:mm:ss')")
+_def("curtime", "current_time")(lambda: "date_format(current_timestamp(), 'HH:mm:ss')")
+_def("utc_time")(lambda: "date_format(to_utc_timestamp(current_timestamp(), current_timezone()), 'HH:mm:ss')")
+_def("utc_date")(lambda: "cast(to_utc_timestamp(current_timestamp(), current_timezone()) as date)")
+_def("utc_timestamp")(lambda: "to_utc_timestamp(current_timestamp(), current_timezone())")
+_def("now", "sysdate", "current_timestamp", "localtime", "localtimestamp")(lambda: "current_timestamp()")
+_def("curdate", "current_date")(lambda: "current_date()")
+_def("date")(lambda t: f"cast({t} as date)")
+_def("dayname")(lambda t: f"date_format({t}, 'EEEE')")
+_def("monthname")(lambda t: f"date_format({t}, 'MMMM')")
+_def("dayofweek")(lambda t: f"dayofweek({t})")
+_def("dayofyear")(lambda t: f"dayofyear({t})")
+_def("weekday")(lambda t: f"weekday({t})")
+_def("weekofyear")(lambda t: f"weekofyear({t})")
+_def("quarter")(lambda t: f"quarter({t})")
+_def("last_day")(lambda t: f"last_day({t})")
+_def("datediff")(lambda a, b: f"datediff({a}, {b})")
+_def("to_days")(lambda t: f"(datediff({t}, date'1970-01-01') + 719528)")
+_def("from_days")(lambda n: f"date_add(date'1970-01-01', cast({n} - 719528 as int))")
+_def("to_seconds")(lambda t: f"(unix_micros({_stamp(t)}) div 1000000 + 62167219200)")
+_def("makedate")(lambda y, d: f"if({d} < 1, null, date_add(make_date({y}, 1, 1), cast({d} - 1 as int)))")
+_def("convert_tz")(lambda t, a, b: f"cast(convert_timezone({a}, {b}, cast({t} as timestamp_ntz)) as timestamp)")
+_def("str_to_date")(lambda s, p: f"try_to_timestamp({s}, {_quoted(java_format(_literal(p, 'str_to_date')))})")
+
+
+def _mode(text: str) -> int:
+    if not text.isdigit() or int(text) > 7:
+        raise EngineError(ARGUMENTS, f"week: the mode is a number from 0 to 7, not {text}")
+    return int(text)
+
+
+_def("week")(lambda t, mode="0": _week(t, _mode(mode))[1])
+
+
+@_def("yearweek")
+def _yearweek(t, mode="0"):
+    year, week = _week(t, _mode(mode) | 2)
+    return f"({year} * 100 + {week})"
+
+
+def _months(p: str) -> str:
+    """Months of a period YYYYMM or YYMM, years below 70 being 20YY."""
+    y = f"({p} div 100)"
+    return f"((case when {y} < 70 then {y} + 2000 when {y} < 100 then {y} + 1900 else {y} end) * 12 + {p} % 100 - 1)"
+
+
+_def("period_add")(lambda p, n: f"(({_months(p)} + {n}) div 12 * 100 + ({_months(p)} + {n}) % 12 + 1)")
+_def("period_diff")(lambda a, b: f"({_months(a)} - {_months(b)})")
+
+# Units of intervals, as months or seconds.
+MONTHS = {"month": 1, "quarter": 3, "year": 12}
+SECONDS = {"microsecond": 1e-6, "second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def interval(n: str, unit: str) -> str:
+    if unit in MONTHS:
+        return f"make_ym_interval(0, cast(round({n}) as int) * {MONTHS[unit]})"
+    if unit not in SECONDS:
+        raise EngineError(ARGUMENTS, f"unknown unit {unit!r}")
+    number = n if unit == "second" else f"round({n})"  # only seconds have fractions
+    return f"make_dt_interval(0, 0, 0, cast({number} * {SECONDS[unit]:.6f}BD as decimal(18, 6)))"
+
+
+_def("timestampadd")(lambda unit, n, t: f"({_stamp(t)} + {interval(n, unit.strip('()').lower())})")
+_def("timestampdiff")(lambda unit, a, b: f"timestampdiff({unit}, {a}, {b})")
+
+
+@_def("date_add", "adddate")
+def _date_add(t, step):
+    return f"({_stamp(t)} + {step if step.startswith('make_') else interval(step, 'day')})"
+
+
+@_def("date_sub", "subdate")
+def _date_sub(t, step):
+    return f"({_stamp(t)} - {step if step.startswith('make_') else interval(step, 'day')})"
+
+
+# -- JSON -------------------------------------------------------------------------------------------------------------
+def _at_path(j: str, path: str) -> str:
+    return f"try_variant_get(try_parse_json({j}), {path}, 'variant')"
+
+
+def _json(x: str) -> str:
+    """A value as JSON text."""
+    return f"regexp_extract(to_json(array({x})), '(?s)^.(.*).$', 1)"
+
+
+_def("json_extract")(lambda j, path: f"to_json({_at_path(j, path)})")
+_def("json_unquote")(lambda j: f"if(startswith({j}, '\"'), try_variant_get(try_parse_json({j}), '$', 'string'), {j})")
+_def("json_valid")(lambda j: f"if({j} is null, null, cast(try_parse_json({j}) is not null as int))")
+_def("json_quote")(_json)
+_def("json_array")(lambda *a: "concat('[', " + ", ',', ".join(_json(x) for x in a) + ("" if not a else ", ") + "']')")
+_def("json_length")(lambda j, path="'$'": f"coalesce(json_array_length(to_json({_at_path(j, path)})), size(json_object_keys(to_json({_at_path(j, path)}))), if({_at_path(j, path)} is null, null, 1))")
+_def("json_keys")(lambda j: f"to_json(json_object_keys({j}))")
+
+
+@_def("json_object")
+def _json_object(*a):
+    if len(a) % 2:
+        raise EngineError(ARGUMENTS, "json_object wants keys and values in turn")
+    return "to_json(named_struct(" + ", ".join(a) + "), map('ignoreNullFields', 'false'))"
 
 
 # -- text -------------------------------------------------------------------------------------------------------------
@@ -158,14 +341,25 @@ def _bytes(x: str) -> str:
 _def("ascii")(lambda x: f"case when cast({x} as string) = '' then 0 else cast(conv(left({_bytes(x)}, 2), 16, 10) as int) end")
 _def("ord")(lambda x: f"case when cast({x} as string) = '' then 0 else cast(conv({_bytes(f'left(cast({x} as string), 1)')}, 16, 10) as bigint) end")
 _def("length", "octet_length")(lambda x: f"octet_length(cast({x} as string))")
-_def("elt")(lambda n, *a: "case " + " ".join(f"when {n} = {i} then {x}" for i, x in enumerate(a, 1)) + " end")
+_def("elt")(lambda n, *a: f"case cast(round({n}) as bigint) " + " ".join(f"when {i} then {x}" for i, x in enumerate(a, 1)) + " end")
 _def("field")(lambda x, *a: "case " + " ".join(f"when {x} = {y} then {i}" for i, y in enumerate(a, 1)) + " else 0 end")
 _def("find_in_set")(lambda x, y: f"find_in_set({x}, {y})")
-_def("format")(lambda x, d, locale=None: f"format_number({x}, cast(greatest({d}, 0) as int))")
-_def("from_base64")(lambda x: f"decode(unbase64({x}), 'UTF-8')")
+
+
+@_def("format")
+def _format(x, d, locale=None):
+    """Halves away from zero, as in ``round``, before the digits are cut."""
+    if d.isdigit():
+        return f"format_number(round({x}, {d}), {d})"
+    n = f"cast(greatest({d}, 0) as int)"
+    return f"format_number(signum({x}) * floor(abs({x}) * pow(10, {n}) + 0.5D) / pow(10, {n}), {n})"
+
+
+# Bytes that are no UTF-8 stay as they are in the text; what is no number in that base gives NULL.
+_def("from_base64")(lambda x: f"cast(try_to_binary(regexp_replace({x}, '[ \\\\t\\\\r\\\\n]', ''), 'base64') as string)")
 _def("to_base64")(lambda x: f"regexp_replace(base64(encode(cast({x} as string), 'UTF-8')), '\\\\r\\\\n', '\\n')")
 _def("hex", typed=True)(lambda x, kind=None: f"hex({x})")
-_def("unhex")(lambda x: f"decode(try_to_binary(case when length({x}) % 2 = 1 then concat('0', {x}) else {x} end, 'hex'), 'UTF-8')")
+_def("unhex")(lambda x: f"cast(try_to_binary(case when length({x}) % 2 = 1 then concat('0', {x}) else {x} end, 'hex') as string)")
 _def("insert")(lambda s, p, n, r: f"case when {_any_null((s, p, n, r))} then null when {p} < 1 or {p} > char_length({s}) then {s} when {n} < 0 or {p} + {n} > char_length({s}) then concat(left({s}, {p} - 1), {r}) else concat(left({s}, {p} - 1), {r}, substring({s}, {p} + {n})) end")
 _def("left")(lambda s, n: f"left({s}, greatest(cast({n} as int), 0))")
 _def("right")(lambda s, n: f"right({s}, greatest(cast({n} as int), 0))")
@@ -223,7 +417,15 @@ def _trim(s, what=None, side="BOTH"):
     return {"BOTH": tail % (head % s), "LEADING": head % s, "TRAILING": tail % s}[side]
 
 
-_def("char")(lambda *a: "concat_ws('', " + ", ".join(f"chr({x})" for x in a) + ")")
+
+
+@_def("char")
+def _char(*numbers):
+    """Each number's bytes, the highest first; NULL arguments are left out."""
+    digits = [f"hex(cast(round({x}) as bigint) & 4294967295)" for x in numbers]
+    return "cast(unhex(concat_ws('', " + ", ".join(f"if(length({h}) % 2 = 1, concat('0', {h}), {h})" for h in digits) + ")) as string)"
+
+
 _def("weight_string")(lambda x, *_: f"encode({x}, 'UTF-8')")
 _def("convert")(lambda x, charset=None: f"cast({x} as string)")
 
