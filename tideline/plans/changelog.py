@@ -9,11 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import PART
 
-def key_of(*columns: str, prefix: str = "") -> Column:
+#: Aggregates that repeated values don't change.
+ONCE = ("min", "max", "bit_and", "bit_or", "approx_count_distinct")
+
+
+#: How times stand in keys: to the microsecond, whatever the session's time zone.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timeZone": "UTC"}
+
+
+def key_of(*columns: str) -> Column:
     """Row identity from key columns; nulls count as a value."""
-    text = F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
-    return F.concat(F.lit(prefix), text) if prefix else text
+    return F.to_json(F.struct(*[F.col(c) for c in columns]), {"ignoreNullFields": "false", **_TIMES}) if columns else F.lit("{}")
 
 
 def latest(batch: DataFrame, keys: list[str], seq: list[str], visible: list[str], deleted: str | None = None) -> DataFrame:
@@ -99,19 +107,35 @@ def merged(state: DataFrame, added: DataFrame, groups: list[str], aggregates: li
     return joined.select("k", "prev", curr.alias("curr")).where("prev is not null or curr is not null")
 
 
-def reaggregated(current: DataFrame, touched: DataFrame, groups: list[tuple[str, str]], aggregates: list[tuple[str, str]]) -> DataFrame:
-    """(k, row) of the touched groups from all current rows: for aggregates that can't be reversed.
+def value_deltas(changes: DataFrame, groups: list[tuple[str, str]], values: list[tuple[str, str]]) -> DataFrame:
+    """(k, group columns, value columns, _rows): how many more (or less) rows a batch has of each group's values.
 
-    ``touched``: the group columns of changed rows; ``aggregates``: (expression, name).
+    ``k`` is the group's key, a separator and the values' key, so that a group's values stand in one bucket.
     """
-    names = [n for _, n in groups]
-    rows = current.select("*", *[F.expr(e).alias(f"_g{i}") for i, (e, _) in enumerate(groups)])
-    keys = touched.select(*[F.col(n).alias(f"_t{i}") for i, n in enumerate(names)]).distinct()
-    if groups:
-        on = None
-        for i in range(len(groups)):
-            c = F.col(f"_g{i}").eqNullSafe(F.col(f"_t{i}"))
-            on = c if on is None else on & c
-        rows = rows.join(keys, on, "left_semi")
-    out = rows.groupBy(*[F.col(f"_g{i}").alias(n) for i, n in enumerate(names)]).agg(*[F.expr(e).alias(n) for e, n in aggregates])
-    return out.select(key_of(*names).alias("k"), F.struct(*names, *[n for _, n in aggregates]).alias("row"))
+    names, given = [n for _, n in groups], [n for _, n in values]
+    rows = signed(changes).select("_sign", *[F.expr(e).alias(n) for e, n in [*groups, *values]])
+    added = rows.groupBy(*names, *given).agg(F.sum("_sign").cast("bigint").alias("_rows")).where("_rows <> 0")
+    return added.withColumn("k", F.concat(key_of(*names), F.lit(PART), key_of(*given)))
+
+
+def of_values(values: DataFrame, groups: list[str], aggregates: list[tuple[str, str, str]], given: dict[str, str]) -> DataFrame:
+    """(k, curr): groups' aggregates from their counted values ``values(k, row)``, k being the group's key.
+
+    ``aggregates``: (function, argument, name); ``given``: the column of each argument. Sums and counts weigh a value by
+    its rows, functions that repeats don't change take it once, and any other takes it as often as it occurs.
+    """
+    rows = values.select(F.substring_index("k", PART, 1).alias("k"), "row.*")
+    if not all(f in ("sum", "count", *ONCE) or a.startswith("distinct ") for f, a, _ in aggregates):
+        rows = rows.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int")))).drop("_one").withColumn("_rows", F.lit(1).cast("bigint"))
+    out = []
+    for f, a, n in aggregates:
+        distinct = "distinct " if a.startswith("distinct ") else ""
+        x = given.get(a)
+        if f == "count" and not distinct:
+            out.append(F.sum(F.when(F.col(x).isNotNull(), F.col("_rows")).otherwise(0) if x else F.col("_rows")).alias(n))
+        elif f == "sum" and not distinct:
+            out.append(F.sum(F.col(x) * F.col("_rows")).alias(n))
+        else:
+            out.append(F.expr(f"{f}({distinct}{x})").alias(n))
+    grouped = rows.groupBy("k", *groups).agg(*out, F.sum("_rows").alias("_rows"))
+    return grouped.select("k", F.struct(*groups, *[n for _, _, n in aggregates], "_rows").alias("curr"))

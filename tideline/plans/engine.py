@@ -1,14 +1,22 @@
 """Sources, materialized views and sinks kept up to date batch by batch.
 
 A batch of a source becomes changes (k, prev, curr) against the source's table; these run through the views that read it,
-in dependency order, as changes again. Each table commits once per batch. Changes are written before the commit, so a
-batch that is replayed after a failure meets the same changes and every table takes it exactly once.
+in dependency order, as changes again. Each table commits once per batch.
+
+Batches of all sources form one sequence. A batch is noted as pending before it writes anything, and its source's
+changes, written whole, are the point from which it counts: a pending batch is finished from them before any other
+batch starts, be it after an error, by another stream's thread or by an engine that opens the folder anew, and one that
+never came so far is forgotten, to be taken again when its stream replays it. Every step writes its result once under
+the batch's number, so finishing repeats nothing. One engine at a time owns a folder; a second one that writes to it
+gets an error from the numbered manifests.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,7 +29,7 @@ from ..functions.dialect import kind_in
 from ..types import common_type, name_of
 from . import changelog as C
 from .select import AGGREGATES, Query, Select, has_aggregate, parse_select, spark_text
-from .store import Files, KeyedTable
+from .store import PART, Files, KeyedTable, Versions, dealt
 
 
 @dataclass
@@ -40,21 +48,24 @@ class Table:
 
 
 class Engine:
-    """``folder``: in shared storage; holds the catalog, tables and the changes of the latest batches."""
+    """``folder``: in shared storage; holds the catalog, tables and the steps of a pending batch."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 16, zero_sum: bool = False, keep_empty: bool = False):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self.zero_sum, self.keep_empty = zero_sum, keep_empty
         self.files = Files(spark)
-        text = self.files.read(f"{self.folder}/catalog.json")
-        saved = json.loads(text) if text else {"tables": [], "batch": 0, "streams": {}}
+        self.catalog = Versions(self.files, f"{self.folder}/catalog")
+        text = self.catalog.read()
+        saved = json.loads(text) if text else {"tables": [], "batch": 0, "streams": {}, "pending": None}
         self.tables = {t["name"]: Table(**t) for t in saved["tables"]}
-        self.batch, self.streams = saved["batch"], saved["streams"]
+        self.batch, self.streams, self.pending = saved["batch"], saved["streams"], saved["pending"]
+        self.lock = threading.RLock()
         self._plans: dict[tuple, object] = {}
         self.sink_writers: dict[str, Callable[[DataFrame, int], None]] = {}
 
     def save(self) -> None:
-        self.files.write(f"{self.folder}/catalog.json", json.dumps({"tables": [vars(t) for t in self.tables.values()], "batch": self.batch, "streams": self.streams}))
+        saved = {"tables": [vars(t) for t in self.tables.values()], "batch": self.batch, "streams": self.streams, "pending": self.pending}
+        self.catalog.write(json.dumps(saved))
 
     # -- catalog -----------------------------------------------------------------------------------------------------
     def table(self, name: str) -> Table:
@@ -84,11 +95,17 @@ class Engine:
             raise EngineError(UNKNOWN_TABLE, f"{name} is no {kind.replace('_', ' ')}")
         if below := self.children(t.name):
             raise EngineError(HAS_CHILDREN, f"{name} has children: {', '.join(sorted(below))}")
-        self.files.remove(f"{self.folder}/tables/{t.name}")
-        for i in range(len(parse_select(t.query).branches) if t.query else 0):
-            self.files.remove(f"{self.folder}/tables/{t.name}__groups{i}")
         del self.tables[t.name]
+        self.sink_writers.pop(t.name, None)
+        self.streams.pop(t.name, None)
         self.save()
+        self._erase(t)
+
+    def _erase(self, t: Table) -> None:
+        self.files.remove(f"{self.folder}/tables/{t.name}")
+        for i in range(len(parse_select(t.query).branches) if t.query else 0):
+            for part in ("groups", "values"):
+                self.files.remove(f"{self.folder}/tables/{t.name}__{part}{i}")
 
     def _new(self, name: str) -> None:
         if name in self.tables:
@@ -98,20 +115,35 @@ class Engine:
         name = name.lower()
         self._new(name)
         t = Table(name, "source", schema.json(), keys, options=options)
-        self.tables[name] = t
-        if initial := options.get("initial_state"):
-            self._seed(t, initial)
-        self.save()
+        return self._added(t, lambda: self._seed(t, options["initial_state"]) if options.get("initial_state") else None)
+
+    def _added(self, t: Table, fill: Callable[[], None]) -> Table:
+        """Adds a table with what it starts with, or nothing at all."""
+        with self.lock:
+            self.finish()
+            self._erase(t)  # what a creation that failed may have left
+            self.tables[t.name] = t
+            try:
+                fill()
+            except BaseException:
+                del self.tables[t.name]
+                self._erase(t)
+                raise
+            finally:
+                self._forget(self.batch)
+            self.save()
         return t
 
     def _seed(self, t: Table, other: str) -> None:
         rows = self.read(other)
         if [f.dataType for f in rows.schema] != [f.dataType for f in t.struct()]:
-            del self.tables[t.name]
             raise EngineError(UNSUPPORTED, f"initial state: {other} has other columns than {t.name}")
         named = rows.toDF(*t.struct().names)
         key = C.key_of(*t.keys) if t.keys else C.key_of(*t.struct().names)
-        self.store(t.name).commit(named.select(key.alias("k"), F.lit(None).cast(t.struct()).alias("prev"), F.struct(*t.struct().names).alias("curr")), self._next())
+        seeded = named.select(key.alias("k"), F.lit(None).cast(t.struct()).alias("prev"), F.struct(*t.struct().names).alias("curr"))
+        batch, table = self._next(), self.store(t.name)
+        table.log(seeded, batch)
+        table.commit(batch)
 
     def _next(self) -> int:
         self.batch += 1
@@ -121,25 +153,32 @@ class Engine:
         name = name.lower()
         self._new(name)
         parsed = self._checked(parse_select(query))
-        t = Table(name, "materialized_view", self._schema(parsed).json(), query=query, parents=sorted({b.table for b in parsed.branches}), options={"initial_state": initial_state} if initial_state else {})
-        self.tables[name] = t
-        if initial_state:
-            self._seed(t, initial_state)
-        self._fill(t, parsed)
-        self.save()
-        return t
+        options = {"initial_state": initial_state} if initial_state else {}
+        t = Table(name, "materialized_view", self._schema(parsed).json(), query=query, parents=sorted({b.table for b in parsed.branches}), options=options)
+
+        def fill() -> None:
+            if initial_state:
+                self._seed(t, initial_state)
+            self._fill(t, parsed)
+
+        return self._added(t, fill)
 
     def create_sink(self, name: str, query: str, writer: Callable[[DataFrame, int], None] | None = None, **options) -> Table:
+        """``writer(changes, batch)`` sends changes of at most one row for each key; sent again under the same batch, they
+        replace what was sent. Options ``emit_after`` (seconds) and ``max_rows`` hold changes back: see ``_emit``."""
         name = name.lower()
         self._new(name)
         parsed = self._checked(parse_select(query))
         if any(self._aggregates(b) for b in parsed.branches):
             raise EngineError(UNSUPPORTED, "a sink's query can't aggregate")
-        self.tables[name] = Table(name, "sink", self._schema(parsed).json(), query=query, parents=sorted({b.table for b in parsed.branches}), options=options)
+        t = Table(name, "sink", self._schema(parsed).json(), query=query, parents=sorted({b.table for b in parsed.branches}), options=options)
         if writer:
             self.sink_writers[name] = writer
-        self.save()
-        return self.tables[name]
+        return self._added(t, lambda: None)
+
+    def columns(self, query: str) -> list[str]:
+        """The names of a view's or sink's columns."""
+        return self._schema(self._checked(parse_select(query))).names
 
     # -- compiling views ---------------------------------------------------------------------------------------------
     def _checked(self, q: Query) -> Query:
@@ -189,6 +228,21 @@ class Engine:
             groups.append((spark_text(toks, kind), f"_g{i}"))
         calls: list[tuple[str, str, str]] = []
 
+        def named(f: str, argument: str) -> str:
+            for call in calls:
+                if call[:2] == (f, argument):
+                    return call[2]
+            calls.append((f, argument, f"_a{len(calls)}"))
+            return calls[-1][2]
+
+        def value(f: str, argument: str) -> str:
+            if f != "avg" or argument.startswith("distinct "):
+                return named(f, argument)
+            result = self._empty(b.table).selectExpr(f"avg({argument}) as x").schema[0].dataType.simpleString()
+            total = named("sum", argument)
+            exact = f"cast({total} as double)" if result == "double" else total
+            return f"cast(try_divide({exact}, {named('count', argument)}) as {result})"
+
         def over_groups(toks, aliases: bool = False) -> str:
             text = spark_text([t for x in toks for t in (by_name[x[1].lower()] if aliases and x[0] == "name" and x[1].lower() in by_name and x[1].lower() not in self.table(b.table).struct().names else [x])], None)
             out, at = "", 0
@@ -197,15 +251,7 @@ class Engine:
                 while depth:
                     depth += {"(": 1, ")": -1}.get(text[end], 0)
                     end += 1
-                call = (m[1].lower(), text[m.end() : end - 1], "")
-                for known in calls:
-                    if known[:2] == call[:2]:
-                        call = known
-                        break
-                else:
-                    call = (*call[:2], f"_a{len(calls)}")
-                    calls.append(call)
-                out += _outside(text[at : m.start()], groups) + call[2]
+                out += _outside(text[at : m.start()], groups) + value(m[1].lower(), text[m.end() : end - 1])
                 at = end
             return out + _outside(text[at:], groups)
 
@@ -257,28 +303,47 @@ class Engine:
         return C.branch(changes, index) if len(parse_select(t.query).branches) > 1 else changes
 
     def _group_changes(self, t: Table, index: int, b: Select, changes: DataFrame, batch: int) -> DataFrame:
+        """Groups' changes from a batch's rows; only buckets of touched groups are read.
+
+        Sums and counts add what the batch brings. For other aggregates each group's argument values are kept with how
+        often they occur, so that a value which goes is known to be the last of its kind; these groups are then
+        aggregated from their values, the parent's rows are not read again.
+        """
         groups, calls, items, having = self._compiled("grouped", b, self._grouped)
-        names, touched_buckets = [n for _, n in groups], None
+        names = [n for _, n in groups]
         invertible = all(f in ("sum", "count") and not a.startswith("distinct ") for f, a, _ in calls)
         if invertible:
             added = C.deltas(changes, groups, calls)
             shape = T.StructType([T.StructField(f, added.schema[f].dataType) for f in added.columns if f != "k"])
             state = self.store(f"{t.name}__groups{index}", shape)
-            added = self._written(added, f"{t.name}__deltas{index}", batch)
-            touched_buckets = state.touched(added)
-            moved = C.merged(state.read(touched_buckets), added, names, calls, self.keep_empty)
+            if not state.has(batch):
+                added, touched = self._staged(added, f"{t.name}__deltas{index}", batch)
+                moved = C.merged(state.read(touched), added, names, calls, self.keep_empty)
         else:
-            touched = C.signed(changes).select(*[F.expr(e).alias(n) for e, n in groups]) if names else self.spark.range(1)
-            source = self.store(b.table).rows()
-            if b.where:
-                source = source.where(F.expr(spark_text(b.where, kind_in(source))))
-            fresh = C.reaggregated(source, touched, groups, [(f"{f}({a})", n) for f, a, n in calls])
-            shape = T.StructType([T.StructField(f.name, f.dataType) for f in fresh.schema["row"].dataType])
-            state = self.store(f"{t.name}__groups{index}", shape)
-            keys = (touched.select(C.key_of(*names).alias("k")) if names else self.spark.range(1).select(C.key_of().alias("k"))).distinct()
-            moved = keys.join(fresh.withColumnRenamed("row", "curr"), "k", "left").join(state.read().withColumnRenamed("row", "prev"), "k", "left").select("k", "prev", "curr").where("prev is not null or curr is not null")
-        moved = self._written(moved, f"{t.name}__groups{index}", batch)
-        state.commit(moved, batch, touched_buckets)
+            given: dict[str, str] = {}
+            for _, a, _ in calls:
+                if a != "*":
+                    given.setdefault(a, f"_x{len(given)}")
+            arguments = [(a.removeprefix("distinct "), x) for a, x in given.items()]
+            added = C.value_deltas(changes, groups, arguments)
+            fields = [*names, *given.values(), "_rows"]
+            values = self.store(f"{t.name}__values{index}", T.StructType([T.StructField(f, added.schema[f].dataType) for f in fields]))
+            fresh = C.of_values(values.read(), names, calls, given)
+            state = self.store(f"{t.name}__groups{index}", fresh.schema["curr"].dataType)
+            if not state.has(batch):
+                added, touched = self._staged(added, f"{t.name}__deltas{index}", batch)
+                if not values.has(batch):
+                    values.log(C.merged(values.read(touched), added, fields[:-1], []), batch)
+                values.commit(batch)
+                keys = added.select(F.substring_index("k", PART, 1).alias("k")).distinct()
+                of = values.read(touched).withColumn("_g", F.substring_index("k", PART, 1))
+                of = of.join(keys.withColumnRenamed("k", "_g"), "_g", "left_semi").drop("_g")
+                moved = keys.join(C.of_values(of, names, calls, given), "k", "left")
+                moved = C.against(moved, state.read(touched))
+        if not state.has(batch):
+            state.log(moved, batch)
+        moved = state.logged(batch)
+        state.commit(batch)
         if having:
             moved = C.filtered(moved, self._sums(having, calls, invertible))
         return C.projected(moved, [(self._sums(e, calls, invertible), n) for e, n in items])
@@ -291,81 +356,143 @@ class Engine:
                     text = re.sub(rf"\b{n}\b", f"if({n}_n = 0, null, {n})", text)
         return text
 
-    def _written(self, df: DataFrame, name: str, batch: int) -> DataFrame:
-        """The batch's changes of a table as first computed: read back if an attempt before wrote them."""
-        path = f"{self.folder}/changes/{name}/b{batch}"
-        fs, p = self.files._at(f"{path}/_SUCCESS")
-        if not fs.exists(p):
-            df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def _staged(self, df: DataFrame, name: str, batch: int) -> tuple[DataFrame, list[int]]:
+        """A step of the batch, written once, and the buckets of its keys."""
+        path = f"{self.folder}/changes/b{batch}/{name}"
+        if not self.files.exists(f"{path}/_SUCCESS"):
+            dealt(df, path, self.buckets)
+        touched = [int(n[7:]) for n, _ in self.files.names(path) if n.startswith("bucket=")]
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns), touched
 
     def _fill(self, t: Table, q: Query) -> None:
         batch, out = self._next(), None
         for i, b in enumerate(q.branches):
             parent = self.table(b.table)
-            if parent.options.get("transient") or not self.store(parent.name).manifest()["buckets"]:
+            if parent.options.get("transient") or not self.store(parent.name).manifest()["layers"]:
                 continue
             rows = self.store(parent.name).read()
             changes = rows.select("k", F.lit(None).cast(parent.struct()).alias("prev"), F.col("row").alias("curr"))
             part = self._through(t, i, b, changes, batch)
             out = part if out is None else out.unionByName(part)
         if out is not None:
-            self.store(t.name).commit(self._written(out, t.name, batch), batch)
+            table = self.store(t.name)
+            table.log(out, batch)
+            table.commit(batch)
 
     def ingest(self, source: str, batch_df: DataFrame, stream_batch: int | None = None, seq: list[str] | None = None, deleted: str | None = None) -> None:
         """One batch of a source's rows. ``seq``: columns that order arrivals; ``stream_batch``: id for exactly-once."""
-        t = self.table(source)
-        if t.kind != "source":
-            raise EngineError(UNSUPPORTED, f"{source} is no source")
-        last = self.streams.get(t.name)
-        if stream_batch is not None and last and stream_batch < last["id"]:
-            return
-        if stream_batch is not None and last and stream_batch == last["id"]:
-            batch = last["batch"]
-        else:
+        with self.lock:
+            self.finish()
+            t = self.table(source)
+            if t.kind != "source":
+                raise EngineError(UNSUPPORTED, f"{source} is no source")
+            if stream_batch is not None and stream_batch <= self.streams.get(t.name, -1):
+                return
             batch = self._next()
-            if stream_batch is not None:
-                self.streams[t.name] = {"id": stream_batch, "batch": batch}
+            self.pending = {"source": t.name, "id": stream_batch, "batch": batch}
             self.save()
+            self._changes(t, batch_df, batch, seq, deleted)
+            self.finish()
+
+    def finish(self) -> None:
+        """Completes the batch that is pending, or forgets it if its source's changes are not written whole."""
+        with self.lock:
+            if not (pending := self.pending):
+                return
+            batch, t = pending["batch"], self.tables.get(pending["source"])
+            if t and self.store(t.name).has(batch):
+                changes = self.store(t.name).logged(batch)
+                if not t.options.get("transient"):
+                    self.store(t.name).commit(batch)
+                self._propagate({t.name: changes}, batch)
+                if pending["id"] is not None:
+                    self.streams[t.name] = pending["id"]
+                if t.options.get("transient"):  # only the last batch's changes are there
+                    for name, path in self.files.names(f"{self.folder}/tables/{t.name}"):
+                        if name[0] == "b" and name != f"b{batch}":
+                            self.files.remove(path)
+            self.pending = None
+            self.save()
+            self._forget(batch)
+
+    def _changes(self, t: Table, rows: DataFrame, batch: int, seq: list[str] | None, deleted: str | None) -> None:
+        """Writes the batch's changes of its source."""
         if predicate := t.options.get("ingest_filter"):
-            batch_df = batch_df.where(F.expr(spark_text(_tokens(predicate), kind_in(batch_df))))
+            rows = rows.where(F.expr(spark_text(_tokens(predicate), kind_in(rows))))
         for k in t.keys:
-            batch_df = batch_df.withColumn(k, F.when(F.col(k).isNull(), F.raise_error(F.lit(f"E{NULL_KEY} - null in key column {k}")).cast(batch_df.schema[k].dataType)).otherwise(F.col(k)))
+            null = F.raise_error(F.lit(f"E{NULL_KEY} - null in key column {k}")).cast(rows.schema[k].dataType)
+            rows = rows.withColumn(k, F.when(F.col(k).isNull(), null).otherwise(F.col(k)))
         if not seq:
-            batch_df, seq = batch_df.withColumn("_arrival", F.monotonically_increasing_id()), ["_arrival"]
-        rows = C.latest(batch_df, t.keys, seq, t.struct().names, deleted)
-        rows = rows.select("k", F.when(F.col("curr").isNotNull(), F.struct(*[F.col(f"curr.`{f.name}`").cast(f.dataType).alias(f.name) for f in t.struct()])).alias("curr"))
+            rows, seq = rows.withColumn("_arrival", F.monotonically_increasing_id()), ["_arrival"]
+        rows = C.latest(rows, t.keys, seq, t.struct().names, deleted)
+        row = F.struct(*[F.col(f"curr.`{f.name}`").cast(f.dataType).alias(f.name) for f in t.struct()])
+        rows = rows.select("k", F.when(F.col("curr").isNotNull(), row).alias("curr"))
+        table = self.store(t.name)
         if t.options.get("transient"):
-            changes = rows.select("k", F.lit(None).cast(t.struct()).alias("prev"), "curr").where("curr is not null")
-            changes = self._written(changes, t.name, batch)
-        else:
-            state = self.store(t.name)
-            rows = self._written(rows, f"{t.name}__batch", batch)
-            touched = state.touched(rows)
-            changes = self._written(C.against(rows, state.read(touched)), t.name, batch)
-            state.commit(changes, batch, touched)
-        self._propagate({t.name: changes}, batch)
-        self._forget(batch)
+            table.log(rows.select("k", F.lit(None).cast(t.struct()).alias("prev"), "curr").where("curr is not null"), batch)
+            return
+        rows, touched = self._staged(rows, f"{t.name}__batch", batch)
+        table.log(C.against(rows, table.read(touched)), batch)
 
     def _propagate(self, changed: dict[str, DataFrame], batch: int) -> None:
         for t in self._order():
-            parts = []
-            branches = parse_select(t.query).branches
-            for i, b in enumerate(branches):
-                if b.table in changed:
-                    parts.append(self._through(t, i, b, changed[b.table], batch))
-            if not parts:
+            branches, table = parse_select(t.query).branches, self.store(t.name)
+            if not any(b.table in changed for b in branches):
                 continue
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            out = self._written(out, t.name, batch)
+            if not table.has(batch):
+                out = None
+                for i, b in enumerate(branches):
+                    if b.table in changed:
+                        part = self._through(t, i, b, changed[b.table], batch)
+                        out = part if out is None else out.unionByName(part)
+                table.log(out, batch)
             if t.kind == "sink":
-                if w := self.sink_writers.get(t.name):
-                    w(out, batch)
+                self._emit(t, batch)
             else:
-                self.store(t.name).commit(out, batch)
-                changed[t.name] = out
+                table.commit(batch)
+                changed[t.name] = table.logged(batch)
+
+    # -- sinks ---------------------------------------------------------------------------------------------------------
+    def _held(self, t: Table) -> tuple[Versions, dict]:
+        versions = Versions(self.files, f"{self.folder}/tables/{t.name}/_held")
+        return versions, json.loads(versions.read() or '{"batches": [], "rows": 0, "since": 0, "last": -1}')
+
+    def _emit(self, t: Table, batch: int | None, now: bool = False) -> None:
+        """Sends a sink's changes, of several batches the last of each key.
+
+        Changes are held back until ``max_rows`` of them wait or the first has waited ``emit_after`` seconds; without
+        either each batch is sent at once. What is held back stands in the folder, so a restart goes on with it.
+        """
+        versions, held = self._held(t)
+        if batch is not None and batch > held["last"]:
+            wait = t.options.get("emit_after") or t.options.get("max_rows")
+            rows = self.store(t.name).logged(batch).count() if wait else 0
+            held = {"batches": [*held["batches"], batch], "rows": held["rows"] + rows, "since": held["since"] or time.time(), "last": batch}
+        after, most = t.options.get("emit_after"), t.options.get("max_rows")
+        due = now or not (after or most) or (after and time.time() - held["since"] >= after) or (most and held["rows"] >= most)
+        if due and held["batches"]:
+            table = self.store(t.name)
+            out = None
+            for b in held["batches"]:
+                part = table.logged(b).withColumn("_batch", F.lit(b))
+                out = part if out is None else out.unionByName(part)
+            if len(held["batches"]) > 1:
+                first, last = F.min_by(F.struct("prev"), "_batch"), F.max_by(F.struct("curr"), "_batch")
+                out = out.groupBy("k").agg(first.alias("p"), last.alias("c")).select("k", F.col("p.prev").alias("prev"), F.col("c.curr").alias("curr"))
+                out = out.where("prev is not null or curr is not null")
+            if writer := self.sink_writers.get(t.name):
+                writer(out.select("k", "prev", "curr"), held["batches"][-1])
+            for b in [*held["batches"][:-1], held.get("sent", -1)]:
+                self.files.remove(f"{self.folder}/tables/{t.name}/b{b}")
+            held = {"batches": [], "rows": 0, "since": 0, "last": held["last"], "sent": held["batches"][-1]}
+        versions.write(json.dumps(held))
+
+    def emit_due(self, now: bool = False) -> None:
+        """Sends what sinks hold back and is due by the clock (``now``: all of it); to be called from a timer."""
+        with self.lock:
+            self.finish()
+            for t in [t for t in self.tables.values() if t.kind == "sink"]:
+                self._emit(t, None, now)
 
     def _order(self) -> list[Table]:
         """Views and sinks, parents first."""
@@ -378,21 +505,22 @@ class Engine:
             left = [t for t in left if t not in ready]
         return out
 
-    def _forget(self, batch: int, keep: int = 4) -> None:
-        """Old batches' changes go, a few stay for replays."""
-        for folder in self.files.folders(f"{self.folder}/changes") if batch > keep else []:
-            self.files.remove(f"{folder}/b{batch - keep}")
+    def _forget(self, batch: int) -> None:
+        """The steps of a batch go when all tables have taken it."""
+        self.files.remove(f"{self.folder}/changes/b{batch}")
 
-    # -- retention ---------------------------------------------------------------------------------------------------
+    # -- retention -----------------------------------------------------------------------------------------------------
     def reap(self, source: str) -> None:
         """Deletes rows past a source's retention time; views keep what they have of them."""
         t = self.table(source)
-        ttl = t.options.get("retention_s")
-        if ttl:
-            state = self.store(t.name)
-            old = state.read().where(f"row.row_time <= current_timestamp() - make_dt_interval(0, 0, 0, {float(ttl)})")
-            state.commit(self._written(old.select("k", F.col("row").alias("prev"), F.lit(None).cast(t.struct()).alias("curr")), f"{t.name}__reaped", self._next()), self.batch)
-            self.save()
+        if ttl := t.options.get("retention_s"):
+            with self.lock:
+                self.finish()
+                batch, table = self._next(), self.store(t.name)
+                old = table.read().where(f"row.row_time <= current_timestamp() - make_dt_interval(0, 0, 0, {float(ttl)})")
+                table.log(old.select("k", F.col("row").alias("prev"), F.lit(None).cast(t.struct()).alias("curr")), batch)
+                table.commit(batch)
+                self.save()
 
 
 def _tokens(text: str):
