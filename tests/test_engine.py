@@ -112,34 +112,132 @@ def test_initial_state(spark, tmp_path):
     assert rows_of(e.read("t")) == [(1, "x", 1)]
 
 
+PUT = [("k", 'meta("key").k0'), ("v", "v")]
+
+
 def test_sink_sends_the_last_row_of_each_key(spark, tmp_path):
-    from tideline.streaming.runner import buffered, sink_messages
+    from tideline.streaming.runner import sink_messages
 
     e, sent = Engine(spark, str(tmp_path / "e")), []
+    send = lambda df, b: sent.append({bytes(r.key).decode(): r.value and bytes(r.value).decode() for r in sink_messages(df, PUT).collect()})
     e.create_source("s", SCHEMA, ["id"])
-    e.create_sink("k", "select id, v from s where v > 1", buffered(lambda df, b: sent.append({r.key: r.value for r in sink_messages(df, ["id"], ["v"]).collect()}), 2))
+    e.create_sink("k", "select id as k, v from s where v > 1", send, max_rows=4)
     e.ingest("s", spark.createDataFrame([(1, "x", 5), (2, "x", 6)], SCHEMA), 0)
     e.ingest("s", spark.createDataFrame([(1, "x", 7), (2, "x", 0)], SCHEMA), 1)
     assert sent == [{'{"k0":1}': '{"v":7}'}]  # the second row came and went before anything was sent
     e.ingest("s", spark.createDataFrame([(1, "x", 0)], SCHEMA), 2)
-    e.ingest("s", spark.createDataFrame([(3, "x", 9)], SCHEMA), 3)
+    again = Engine(spark, str(tmp_path / "e"))  # what waits survives a restart
+    again.sink_writers["k"] = send
+    again.ingest("s", spark.createDataFrame([(3, "x", 9)], SCHEMA), 3)
+    assert sent[1:] == []
+    again.emit_due()  # not due
+    again.emit_due(now=True)
     assert sent[1:] == [{'{"k0":1}': None, '{"k0":3}': '{"v":9}'}]
     with pytest.raises(EngineError):
         e.create_sink("a", "select count(*) from s")
 
 
-def test_old_versions_go(spark, tmp_path, monkeypatch):
+def test_layers_merge_and_old_ones_go(spark, tmp_path, monkeypatch):
     from tideline.plans import store
 
     monkeypatch.setattr(store, "KEPT", 2)
     e = Engine(spark, str(tmp_path / "e"), buckets=1)
     e.create_source("s", SCHEMA, ["id"])
-    for b in range(7):
-        e.ingest("s", spark.createDataFrame([(1, "x", b)], SCHEMA), b)
-    assert rows_of(e.read("s")) == [(1, "x", 6)]
-    left = [p for p in (tmp_path / "e/tables/s").glob("v*/bucket=0")]
-    assert len(left) == 3  # the current one and two before
-    assert len(list((tmp_path / "e/changes/s").glob("b*"))) <= 5
+    for b in range(12):
+        e.ingest("s", spark.createDataFrame([(b % 5, "x", b), (100 + b, "y", b)], SCHEMA), b)
+    want = [(i, "x", max(b for b in range(12) if b % 5 == i)) for i in range(5)] + [(100 + b, "y", b) for b in range(12)]
+    assert rows_of(e.read("s")) == sorted(want, key=str)
+    assert len(e.store("s").manifest()["layers"]["0"]) <= store.LAYERS + 1
+    assert len(list((tmp_path / "e/tables/s").glob("[bm]*"))) <= store.LAYERS + 4
+    assert not list((tmp_path / "e/changes").glob("*"))
+
+
+def test_a_batch_writes_no_more_as_the_table_grows(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), buckets=2)
+    e.create_source("s", SCHEMA, ["id"])
+    e.ingest("s", spark.range(50_000).selectExpr("id", "'x' as grp", "id as v"), 0)
+    e.ingest("s", spark.createDataFrame([(7, "y", 1)], SCHEMA), 1)
+    first, second = e.store("s").files.size(f"{tmp_path}/e/tables/s/b1"), e.store("s").files.size(f"{tmp_path}/e/tables/s/b2")
+    assert second * 20 < first
+    assert e.read("s").where("id = 7").first().grp == "y" and e.read("s").count() == 50_000
+
+
+TWO = {"u": ("select id, v from a union all select id, v from b", "select id, v from a union all select id, v from b"), "m": ("select grp, sum(v) as t, max(v) as hi from a group by grp", "select grp, sum(v), max(v) from a group by grp")}
+
+
+@pytest.mark.parametrize("fails_at", [0, 1, 2, 4, 6, 8, 11])
+def test_a_crash_at_any_write(spark, tmp_path, monkeypatch, fails_at):
+    """The n-th write of a batch fails; another source's batch comes first, then the replay, in a new engine."""
+    from tideline.plans import engine, store
+
+    e = Engine(spark, str(tmp_path / "e"), buckets=1)
+    for s in "ab":
+        e.create_source(s, SCHEMA, ["id"])
+    for name, (sql, _) in TWO.items():
+        e.create_view(name, sql)
+    batches = [[(1, "x", 3), (2, "y", 4)], [(1, "y", 9), (3, "x", 1)], [(1, "x", 7)]]
+    e.ingest("a", spark.createDataFrame(batches[0], SCHEMA), 0)
+    left, plain, numbered = [fails_at], store.dealt, store.Versions.write
+
+    def counted(f):
+        def run(*args):
+            left[0] -= 1
+            if left[0] < 0:
+                raise OSError("lost")
+            return f(*args)
+
+        return run
+
+    with monkeypatch.context() as m:
+        for at in (store, engine):
+            m.setattr(at, "dealt", counted(plain))
+        m.setattr(store.Versions, "write", counted(numbered))
+        try:
+            e.ingest("a", spark.createDataFrame(batches[1], SCHEMA), 1)
+        except OSError:
+            pass
+    again = Engine(spark, str(tmp_path / "e"), buckets=1)
+    again.ingest("b", spark.createDataFrame(batches[2], SCHEMA), 0)
+    again.ingest("a", spark.createDataFrame(batches[1], SCHEMA), 1)
+    spark.createDataFrame([(1, "y", 9), (2, "y", 4), (3, "x", 1)], SCHEMA).createOrReplaceTempView("a")
+    spark.createDataFrame(batches[2], SCHEMA).createOrReplaceTempView("b")
+    for name, (_, sql) in TWO.items():
+        assert rows_of(again.read(name)) == rows_of(spark.sql(sql)), name
+
+
+def test_two_sources_at_once(spark, tmp_path):
+    import threading
+
+    e = Engine(spark, str(tmp_path / "e"), buckets=1)
+    for s in "ab":
+        e.create_source(s, SCHEMA, ["id"])
+    e.create_view("u", "select id, v from a union all select id, v from b")
+    run = lambda s: [e.ingest(s, spark.createDataFrame([(i, "x", i)], SCHEMA), i) for i in range(3)]
+    threads = [threading.Thread(target=run, args=(s,)) for s in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert rows_of(e.read("u")) == sorted([(i, i) for i in range(3)] * 2)
+
+
+def test_keys_differ_by_microseconds(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), buckets=1)
+    e.create_source("s", T.StructType([T.StructField("t", T.TimestampType()), T.StructField("v", T.LongType())]), ["t"])
+    rows = spark.sql("select timestamp'2020-01-01 00:00:00.123456' as t, 1L as v union all select timestamp'2020-01-01 00:00:00.123999', 2L")
+    e.ingest("s", rows, 0)
+    assert sorted(r.v for r in e.read("s").collect()) == [1, 2]
+
+
+def test_two_engines_cannot_write_one_folder(spark, tmp_path):
+    from tideline.plans.store import Files, Versions
+
+    v = Versions(Files(spark), str(tmp_path / "v"))
+    v.write("one")
+    stale = [(0, "")]
+    v._numbers = lambda: stale
+    with pytest.raises(EngineError, match="another engine"):
+        v.write("two")
 
 
 def test_common_types():

@@ -6,7 +6,7 @@ from tideline.sources.selectors import parse_selector
 
 SOURCE = """create source pay(payment_id varchar, customer bigint, amount decimal(10, 2), currency varchar, fraud double, ts timestamp(6), primary key (payment_id)) with (
   brokername = "b", topicname = "t", headerencoding = "stringbytes", keyencoding = "json", valueencoding = "json",
-  columnselectors = (meta("key").payment_id, customer_token, amount, currency, meta("header").fraud_score, meta("timestamp")))"""
+  columnselectors = (meta("key").payment_id, customer_id, amount, currency, meta("header").fraud_score, meta("timestamp")))"""
 
 
 def fed(spark, folder, total=120, rate=50):
@@ -53,6 +53,66 @@ def test_statements(spark, tmp_path):
     assert s.execute("show tables").count() == 0
 
 
+SINK = """create sink out with (brokername = "b", topicname = "o", headerencoding = "stringbytes", keyencoding = "{key}", valueencoding = "json",
+  properties = (path = "{path}"), injectors = (meta("key").id, meta("header").c, a.b)) as select customer, currency, amount from pay where amount > 900"""
+
+
+def test_a_sink_of_the_dialect_sends(spark, tmp_path):
+    s = Session(spark, str(tmp_path / "s"), buckets=2)
+    s.execute(SOURCE)
+    s.execute(SINK.format(key="int64be", path=tmp_path / "t"))
+    with pytest.raises(EngineError, match="say where"):
+        s.execute(SINK.replace("properties = (path = \"{path}\"),", "").replace("sink out", "sink none").format(key="json"))
+    s.execute("source set max rate pay 60")
+    q = s.start("pay", s.messages("pay", "generator", {"name": "payments", "total": "120"}), str(tmp_path / "c"))
+    s.execute("source set max rate pay 40")  # goes on at the new rate
+    q = s.streams[("default", "pay")]
+    q.processAllAvailable()
+    q.stop()
+    assert s.execute("select count(*) as n from pay").first().n == 120
+    got = spark.read.parquet(f"{tmp_path}/t/o").collect()
+    want = s.execute("select customer, currency, amount from pay where amount > 900").collect()
+    assert sorted((int.from_bytes(r.key, "big"), r.headers["c"], bytes(r.value).decode()) for r in got) == sorted((r.customer, r.currency, f'{{"a":{{"b":{r.amount}}}}}') for r in want)
+    assert Session(spark, str(tmp_path / "s"), buckets=2).engine.table("pay").options["max_rate"] == 40
+
+
+def test_reset_ddl_stops_a_fill(spark, tmp_path):
+    import threading
+    import time
+
+    s = Session(spark, str(tmp_path / "s"), buckets=2)
+    s.execute(SOURCE)
+    seen, plain = [], s.engine._fill
+
+    def slow(t, q):
+        plain(t, q)
+        spark.range(40).repartition(40).selectExpr("java_method('java.lang.Thread', 'sleep', 5000L) as x").collect()
+
+    s.engine._fill = slow
+
+    def create():
+        try:
+            s.execute("create materialized view v as select customer from pay")
+        except Exception as e:  # noqa: BLE001
+            seen.append(e)
+
+    t = threading.Thread(target=create)
+    t.start()
+    time.sleep(4)
+    s.execute("reset ddl default")
+    t.join(40)
+    assert seen and not t.is_alive()
+    assert [r[0] for r in s.execute("show tables").collect()] == ["pay"]
+
+
+def test_shapes_that_are_no_select(spark, tmp_path):
+    s = Session(spark, str(tmp_path / "s"))
+    for sql in ("select a from sys.dummy union select x, x from sys.dummy", "select x from sys.dummy limit x", "select x from (select x from sys.dummy)", "select x from sys.dummy where x > any (select 1)", "select x from sys.dummy order x", "select x collate nope from sys.dummy", "select x from sys.dummy left sys.dummy"):
+        with pytest.raises(Exception):  # noqa: B017
+            s.execute(sql).collect()
+    assert s.execute("select x, '{b}' as b from sys.dummy where x in (select x from sys.dummy) limit ? offset ?", [5, 0]).collect() == [(0, "{b}")]
+
+
 def test_errors(spark, tmp_path):
     s = Session(spark, str(tmp_path / "s"))
     s.execute(SOURCE)

@@ -42,7 +42,7 @@ def test_generator_and_integer_messages(spark):
     from tideline.types import ColumnType
 
     messages = read_messages(spark, "generator", {"name": "simple", "total": "1200"}, stream=False)
-    rows = parsed(messages, [("pk", ColumnType.parse("varchar"), 'meta("key").primary_key_col'), ("v", ColumnType.parse("bigint"), "bigint_col"), ("t", ColumnType.parse("timestamp(0)"), 'meta("timestamp")')])
+    rows = parsed(messages, [("pk", ColumnType.parse("varchar"), 'meta("key").primary_key_field'), ("v", ColumnType.parse("bigint"), "bigint_field"), ("t", ColumnType.parse("timestamp(0)"), 'meta("timestamp")')])
     assert rows.count() == 1200
     assert rows.where("pk = 'pk-1100'").first().v == 100
 

@@ -2,13 +2,12 @@
 
 ``json`` (selectors pick paths out of the text), ``stringbytes``, ``int16be/int32be/int64be``, ``float32be/float64be``,
 ``protobuf:<message>`` (needs descriptors and the ``protobuf`` package). Integers decode inside the JVM; floats and
-protobuf have no built-in decoder and run as Arrow-batched functions.
+protobuf have no built-in decoder and run as Arrow-batched functions. Sinks encode ``json``, ``stringbytes`` and integers.
 """
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import BAD_PROPERTY, EngineError
 
 INTEGERS = {"int16be": 2, "int32be": 4, "int64be": 8}
-FLOATS = {"float32be": ">f", "float64be": ">d"}
+FLOATS = {"float32be": ">f4", "float64be": ">f8"}
 NAMES = ("json", "stringbytes", *INTEGERS, *FLOATS)
 
 
@@ -30,11 +29,14 @@ def decode_integer(raw: Column, size: int) -> Column:
 
 
 def decode_float(raw: Column, form: str) -> Column:
-    size = struct.calcsize(form)
+    kind = np.dtype(form)
 
     @F.pandas_udf("double")
     def unpack(column: pd.Series) -> pd.Series:
-        return column.map(lambda b: struct.unpack(form, b)[0] if b is not None and len(b) == size else None).astype("float64")
+        whole = np.array([b is not None and len(b) == kind.itemsize for b in column], dtype=bool)
+        out = pd.Series([None] * len(column), dtype="Float64")
+        out[whole] = np.frombuffer(b"".join(column[whole]), dtype=kind).astype(np.float64)
+        return out
 
     return unpack(raw)
 
@@ -70,3 +72,30 @@ def decode(raw: Column, encoding: str, descriptors: bytes | None = None) -> Colu
             raise EngineError(BAD_PROPERTY, f"no descriptors registered for {encoding}")
         return decode_protobuf(raw, encoding.split(":", 1)[1], descriptors)
     raise EngineError(BAD_PROPERTY, f"unknown encoding {encoding!r}")
+
+
+def encode(placed: list[tuple[list[str], Column]], encoding: str) -> Column:
+    """Bytes of a sink's key or value from (path, column) pairs: one JSON object, or a single column's text or number."""
+    name = encoding.lower()
+    if name == "json":
+        return F.to_json(_nested(placed), {"ignoreNullFields": "false"}).cast("binary")
+    if len(placed) != 1:
+        raise EngineError(BAD_PROPERTY, f"{encoding} takes one column, not {len(placed)}")
+    column = placed[0][1]
+    if name == "stringbytes":
+        return column.cast("string").cast("binary")
+    if name in INTEGERS:
+        return F.unhex(F.right(F.lpad(F.hex(column.cast("bigint")), F.lit(16), F.when(column < 0, "F").otherwise("0")), F.lit(2 * INTEGERS[name])))
+    raise EngineError(BAD_PROPERTY, f"a sink can't encode {encoding}")
+
+
+def _nested(placed: list[tuple[list[str], Column]]) -> Column:
+    heads: dict[str, list[tuple[list[str], Column]]] = {}
+    for path, column in placed:
+        heads.setdefault(path[0] if path else "value", []).append((path[1:], column))
+    fields = []
+    for head, below in heads.items():
+        if len(below) > 1 and not all(path for path, _ in below):
+            raise EngineError(BAD_PROPERTY, f"two columns are put at {head}")
+        fields.append((below[0][1] if not below[0][0] else _nested(below)).alias(head))
+    return F.struct(*fields) if fields else F.named_struct()

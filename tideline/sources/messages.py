@@ -53,16 +53,16 @@ def read_messages(spark: SparkSession, kind: str, options: dict[str, str], strea
 
 
 # -- generators --------------------------------------------------------------------------------------------------------
+# Field names of the generated messages, kinds and currencies of payments.
 def simple_message(offset: int) -> tuple[dict, dict, dict]:
-    return {"primary_key_col": f"pk-{offset}"}, {"varchar_col": f"foo{offset}", "bigint_col": offset % 1000}, {}
+    return {"primary_key_field": f"pk-{offset}"}, {"varchar_field": f"foo{offset}", "bigint_field": offset % 1000}, {}
 
 
-# The kinds of payments that the generator makes.
 PAYMENT_TYPES, CURRENCIES = ("btc", "p2p", "other"), ("gbp", "usd", "eur", "aud")
 
 
 def payment_message(offset: int) -> tuple[dict, dict, dict]:
-    value = {"customer_token": offset % 17, "amount": f"{(offset * 7919) % 100000 / 100:.2f}", "payment_type": PAYMENT_TYPES[offset % 3], "currency": CURRENCIES[offset % 4]}
+    value = {"customer_id": offset % 17, "amount": f"{(offset * 7919) % 100000 / 100:.2f}", "payment_type": PAYMENT_TYPES[offset % 3], "currency": CURRENCIES[offset % 4]}
     return {"payment_id": f"payment{offset:06d}"}, value, {"fraud_score": f"{(offset * 31) % 100 / 100:.2f}"}
 
 

@@ -27,7 +27,8 @@ class Selector:
         return "$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in self.path[skip:])
 
 
-def parse_selector(text: str) -> Selector:
+def parse_selector(text: str, injecting: bool = False) -> Selector:
+    """``injecting``: the selector says where a sink puts a column, which needs a path within JSON keys."""
     anchor, rest = "value", text.strip()
     if m := _META.match(rest):
         anchor, rest = m[1].lower(), rest[m.end() :]
@@ -45,6 +46,8 @@ def parse_selector(text: str) -> Selector:
         raise EngineError(PARSE, 'meta("timestamp") takes no path')
     if (anchor == "header" and not path) or (anchor == "value" and not path):
         raise EngineError(PARSE, f"selector {text!r} names nothing")
+    if injecting and any(isinstance(p, int) for p in path):
+        raise EngineError(PARSE, f"selector {text!r}: a column can't be put into a list")
     return Selector(anchor, path)
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.engine import Engine
+from ..sources.codecs import encode
+from ..sources.selectors import parse_selector
 
 
 def start_source(engine: Engine, source: str, rows: DataFrame, checkpoint: str, seq: str = "_seq", once: bool = False):
@@ -17,22 +19,32 @@ def start_source(engine: Engine, source: str, rows: DataFrame, checkpoint: str,
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def sink_messages(changes: DataFrame, key: list[str], value: list[str], headers: list[str] = (), timestamp: str | None = None, partitions: int = 8) -> DataFrame:
-    """(key, value, headers, timestamp, partition) from a batch of changes: the last row of each key, deletes as null values.
+def sink_messages(changes: DataFrame, injectors: list[tuple[str, str]], key_encoding: str = "json", value_encoding: str = "json", partitions: int = 8) -> DataFrame:
+    """(key, value, headers, timestamp, partition) from a batch of changes; deletes have null values.
 
-    Of a batch's changes a key has one at most, so a sink that emits once a batch sends each key's last row.
+    ``injectors``: (column, selector) tells where a column goes: ``meta("key").a``, ``meta("header").h``,
+    ``meta("timestamp")`` or a path in the value. Keys, headers and times of deletes are those of the row that goes.
     """
+    places: dict[str, list[tuple[list, Column]]] = {"key": [], "value": [], "header": [], "timestamp": []}
     gone = F.col("curr").isNull()
-    pick = lambda c: F.coalesce(F.col(f"curr.`{c}`"), F.col(f"prev.`{c}`"))
-    k = F.to_json(F.struct(*[pick(c).alias(f"k{i}") for i, c in enumerate(key)]))
-    v = F.when(~gone, F.to_json(F.struct(*[F.col(f"curr.`{c}`").alias(c) for c in value])))
-    h = F.create_map(*[x for c in headers for x in (F.lit(c), pick(c).cast("string"))]) if headers else F.lit(None).cast("map<string,string>")
-    t = pick(timestamp).cast("timestamp") if timestamp else F.current_timestamp()
-    return changes.select(k.alias("key"), v.alias("value"), h.alias("headers"), t.alias("timestamp"), F.pmod(F.xxhash64(k), F.lit(partitions)).cast("int").alias("partition"))
+    for column, text in injectors:
+        selector = parse_selector(text, injecting=True)
+        kept = F.col(f"curr.`{column}`")
+        places[selector.anchor].append((selector.path, kept if selector.anchor == "value" else F.coalesce(kept, F.col(f"prev.`{column}`"))))
+    key = encode(places["key"], key_encoding)
+    headers = F.create_map(*[x for path, c in places["header"] for x in (F.lit(str(path[0])), c.cast("string"))]) if places["header"] else F.lit(None)
+    at = places["timestamp"][0][1].cast("timestamp") if places["timestamp"] else F.current_timestamp()
+    return changes.select(
+        key.alias("key"),
+        F.when(~gone, encode(places["value"], value_encoding)).alias("value"),
+        headers.cast("map<string,string>").alias("headers"),
+        at.alias("timestamp"),
+        F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int").alias("partition"),
+    )
 
 
 def folder_sink(path: str, **shape) -> Callable[[DataFrame, int], None]:
-    """A writer for ``Engine.create_sink``: one folder for each batch, overwritten when a batch is replayed."""
+    """A writer for ``Engine.create_sink``: one folder for each batch, overwritten when a batch is sent again."""
 
     def write(changes: DataFrame, batch: int) -> None:
         sink_messages(changes, **shape).write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -40,19 +52,14 @@ def folder_sink(path: str, **shape) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def buffered(writer: Callable[[DataFrame, int], None], batches: int) -> Callable[[DataFrame, int], None]:
-    """Holds back up to ``batches`` batches and emits the last change of each key at once."""
-    held: list[DataFrame] = []
+def kafka_sink(topic: str, options: dict[str, str], **shape) -> Callable[[DataFrame, int], None]:
+    """A writer to a topic; needs Spark's Kafka package. A batch sent again is there twice, as with any such writer."""
 
     def write(changes: DataFrame, batch: int) -> None:
-        held.append(changes.withColumn("_batch", F.lit(batch)))
-        if len(held) >= batches:
-            out = held[0]
-            for x in held[1:]:
-                out = out.unionByName(x)
-            last = out.groupBy("k").agg(F.min_by("prev", "_batch").alias("prev"), F.max_by(F.struct("curr"), "_batch").alias("c"))
-            writer(last.select("k", "prev", F.col("c.curr").alias("curr")).where("prev is not null or curr is not null"), batch)
-            held.clear()
+        out = sink_messages(changes, **shape)
+        headers = F.transform(F.map_entries("headers"), lambda h: F.struct(h["key"].alias("key"), h["value"].cast("binary").alias("value")))
+        out = out.select("key", "value", headers.alias("headers"), F.lit(topic).alias("topic"))
+        out.write.format("kafka").options(**options).option("includeHeaders", "true").save()
 
     return write
 
