@@ -197,6 +197,166 @@ def test_an_unclosed_element_keeps_the_rest_of_the_page(tag):
     assert html.main_text("<article><p>kept</p><script>no</article>") == "kept"
 
 
+ITALIAN = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita e tanto amara."
+CHINESE = "今天天气很好我们一起去公园散步看到了很多美丽的花朵和快乐的孩子们在草地上玩耍大家都很高兴然后我们回家吃晚饭。"
+FINNISH = "Mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan lajivirttä laulamahan."
+WRAPPED = {
+    f'<div class="layout with-sidebar"><article><p>{LONG}</p></article><div class="sidebar"><p>{LONG} x</p></div></div>': LONG,
+    f'<div id="page" class="has-header"><p>{LONG}</p><div class="header">{LONG[:80]}</div></div>': LONG,
+    f"<form action=x><div class=menu>Home</div><p>{LONG}</p></form>": LONG,
+    f"<form><nav>x</nav><article><h1>t</h1><p>{LONG}</p><form>in</form></article></form>": f"t\n{LONG}",
+    f"<div class=menu>Home</div><p>{ITALIAN}</p>": ITALIAN,
+    f"<div class=menu>首页</div><p>{CHINESE}</p>": CHINESE,
+    f"<div class=menu>Etusivu</div><p>{FINNISH}</p>": FINNISH,
+    f"<div class=comments><p>{LONG}</p></div><p>{LONG} x</p>": f"{LONG} x",
+    f"<article><p>Hi</p></article><div class=comments><article><p>{LONG}</p></article></div>": "Hi",
+    f"<div class=no-comments><article><p>{LONG}</p></article></div>": LONG,
+}
+
+
+@pytest.mark.parametrize("page", list(WRAPPED))
+def test_what_holds_the_article_is_no_boilerplate(page):
+    assert html.main_text(page) == WRAPPED[page]
+
+
+HOSTILE = ["<a ", '<a "', '<a x="', "<", "<!x", "<!--", "<head>", "<div>", "</p>", "<button>", "<svg", "<script>", "<p class=nav>", "&amp;", '<div class="ad">x', "<title>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    html.main_text(piece * (1_000_000 // len(piece)))
+    html.main_text("<div>" * 50_000 + piece * (250_000 // len(piece)))
+    assert time.process_time() - start < 12  # 1 MB in some seconds on a slow machine; quadratic time is hours
+
+
+def plain_text_of(page):
+    """The same rules over a tree, each question asked of the whole page anew."""
+    from html.parser import HTMLParser
+
+    class Node:
+        def __init__(self, tag, attrs, up):
+            self.tag, self.up, self.attrs = tag, up, attrs
+
+        def around(self):
+            return [self, *(self.up.around() if self.up else [])]
+
+        def why(self):
+            if self.tag in ("body", "html", "main"):
+                return ""
+            names = html.COMMENT_NAMES if self.tag == "article" else html.BAD_NAMES
+            found = {w.lower() for k, v in self.attrs if k in ("class", "id") for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", v or "") if w.lower() in names}
+            if found & html.READER_NAMES:
+                return "reader"
+            if self.tag in html.CONTAINERS and not (self.tag == "header" and any(a.tag in ("article", "main") for a in self.around()[1:])):
+                return "strict" if self.tag in html.STRICT_TAGS else "layout"
+            return "layout" if found else ""
+
+    blocks, state = [], {"at": None, "link": False, "text": []}
+
+    def flush():
+        text = " ".join("".join(t for t, _ in state["text"]).split())
+        if text:
+            linked = len(" ".join("".join(t for t, a in state["text"] if a).split()))
+            blocks.append((text, linked, state["at"].around() if state["at"] else []))
+        state["text"] = []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                state["link"] = True
+            elif tag in html.BLOCK_TAGS:
+                flush()
+                state["at"] = Node(tag, attrs, state["at"])
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                state["link"] = False
+            elif tag in html.BLOCK_TAGS:
+                flush()
+                state["at"] = state["at"].up
+
+        def handle_data(self, data):
+            state["text"].append((data, state["link"]))
+
+    Reader().feed(page)
+    flush()
+    article = lambda nodes: next((a for a in reversed(nodes) if a.tag in ("article", "main")), None)  # noqa: E731  the outermost
+    prose = lambda b: len(b[0]) if len(b[0]) >= 70 and b[1] <= 0.33 * len(b[0]) else 0
+    total = sum(map(prose, blocks))
+    mass = lambda a: sum(len(t) - n for t, n, nodes in blocks if article(nodes) is a)
+    articles = {article(nodes) for _, _, nodes in blocks} - {None}
+    flagged = lambda nodes: [n for n in nodes if n.why()]
+    clean = max((mass(a) for a in articles if not flagged(a.around())), default=0)
+    better = [a for a in articles if not a.why() and flagged(a.around()) and mass(a) > clean]
+    quiet = [a for a in better if not any(n.why() == "reader" for n in a.around())]
+    if quiet:
+        better = quiet
+    elif clean:
+        better = []
+    else:
+        better = [a for a in better if 2 * sum(prose(b) for b in blocks if flagged(a.around())[0] in b[2]) > total]
+    void = {n for a in better for n in a.around()}
+    if not clean and not better:
+        void = {n for _, _, nodes in blocks for n in nodes if n.why() == "layout" and 2 * sum(prose(b) for b in blocks if n in b[2]) > total}
+    bad = [any(n not in void for n in flagged(nodes)) for _, _, nodes in blocks]
+    marked = any(article(b[2]) and not x for b, x in zip(blocks, bad, strict=True))
+    groups = [article(b[2]) if marked else None for b in blocks]
+
+    def label(i, blind):
+        text, linked, _ = blocks[i]
+        if bad[i] or (marked and not groups[i]) or linked / len(text) > 0.33:
+            return -1
+        if len(text) < 70:
+            return 0
+        if blind:
+            return 0 if marked else 1
+        words = [w.strip(".,;:!?\"'()").lower() for w in text.split(" ")]
+        density = sum(w in html.ALL_STOP_WORDS for w in words) / len(words)
+        return 1 if density >= 0.15 else -1 if density < 0.05 else 0
+
+    n = len(blocks)
+    labels = [label(i, False) for i in range(n)]
+    known = {groups[i] for i in range(n) if labels[i] == 1}
+    labels = [labels[i] if groups[i] in known else label(i, True) for i in range(n)]
+    out = []
+    for i in range(n):
+        got = labels[i]
+        if got == 0:
+            sides = []
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < n and groups[j] is groups[i] and (labels[j] == 0 or (marked and bad[j] and article(blocks[j][2]))):
+                    j += step
+                inside = 0 <= j < n and groups[j] is groups[i]
+                sides.append((abs(i - j), labels[j] if inside else 1 if groups[i] else -1))
+            (a, x), (b, y) = sides
+            got = x if a < b else y if b < a else min(x, y)
+        if got == 1:
+            out.append(blocks[i][0])
+    return "\n".join(out)
+
+
+def test_pages_equal_the_plain_rules():
+    rnd = random.Random(12)
+    words = ["the", "of", "and", "house", "river", "walking", "stone", "green", "berlin", "madrid"]
+
+    def text():
+        return " ".join(rnd.choice(words[: rnd.choice([3, 10])] if rnd.random() < 0.7 else words[3:]) for _ in range(rnd.choice([1, 3, 8, 25, 60])))
+
+    def element(depth):
+        tag = rnd.choice(["div", "div", "section", "article", "main", "aside", "form", "nav", "header", "footer", "ul", "li", "h2"])
+        name = rnd.choice(["", "", "", ' class="has-sidebar"', ' class="comment-list"', ' id="page"', ' class="adBox"', ' class="reply"', ' id="menu"'])
+        inner = "".join(rnd.choice([lambda: f"<p>{text()}</p>", lambda: text(), lambda: f"<p><a href=x>{text()}</a> {rnd.choice(['', text()])}</p>", lambda: element(depth + 1) if depth < 5 else text()])() for _ in range(rnd.randint(1, 4)))
+        return f"<{tag}{name}>{inner}</{tag}>"
+
+    for _ in range(1500):
+        page = "".join(element(0) for _ in range(rnd.randint(1, 4)))
+        assert html.main_text(page) == plain_text_of(page), page
+
+
 def test_long_and_deep_pages():
     deep = "<article>" + "<div>" * 3000 + "<p>text here" + "</div>" * 3000 + "</article>"
     assert html.main_text(deep) == "text here"

@@ -1,18 +1,26 @@
 """Operator 1: main-text extraction from HTML by two-pass block rules.
 
-Pass 1 cuts a page into blocks (text between block-level tags) and classifies each by link density, length, stop-word
-density and its place: blocks of containers that hold no article text (menus, headers, footers, sidebars, forms,
-elements whose class or id says advert, notice, comments and the like) are bad; blocks full of links are bad; long
-blocks with enough stop words are good; the rest is ambiguous. Pass 2 gives each ambiguous block the label of the
-nearest decided block before or after it (a tie: good only if both are). Where a page marks its article (``article``
-or ``main``), blocks outside are bad and the ends of the article count as good neighbours, so that its short paragraphs
-and headings stay. Inside it both passes decide as elsewhere, with two differences: containers set into it (asides,
-comments, forms) are no neighbours of its text, and missing stop words count only if a block of the article has enough of
-them, since otherwise its language may be none of the lists'.
-
-Scripts, styles, comments and the head are no text. Character references are decoded, white space inside a block
-becomes one space, blocks are trimmed, empty ones dropped, and joined in page order by one newline. Null html gives
-the empty string. Nothing is capped: whole pages, any nesting, unclosed tags.
+Pass 1 cuts a page into blocks (text between block-level tags) and classifies each by its place, link density, length and
+stop-word density: blocks under flagged elements are bad, so are blocks full of links; long blocks with enough stop
+words are good, long ones without are bad; the rest is ambiguous. Pass 2 gives each ambiguous block the label of the
+nearest decided block before or after it (a tie: good only if both are). Where a page marks its article (``article`` or
+``main``), blocks outside are bad and the ends of the article count as good neighbours, so that its short paragraphs and
+headings stay; flagged elements set into it (asides, comments, forms) are no neighbours of its text.
+
+An element is flagged by its tag (menus, headers, footers, asides, forms), role, or a word of its class or id (advert,
+notice, sidebar and the like). Such words also stand on what wraps a whole page (``with-sidebar``), and some servers put
+whole pages into a form, so a flag is void if the element holds the article: an article element with more text than any
+article without flags around it, or, on a page that marks none, more than half of the page's prose. Flags of reader
+comments are only void for want of any other article.
+
+Stop words tell nothing about languages that have no list: blocks of other than Latin letters go by length and link
+density, and so do all long blocks of an article (or of a page without one) in which no block has enough stop words.
+
+Scripts, styles, comments and the head are no text. Character references are decoded, white space inside a block becomes
+one space, blocks are trimmed, empty ones dropped, and joined in page order by one newline. Null or empty html gives the
+empty string, an empty table no rows; null ids and urls and repeated rows pass through row by row; columns beyond
+page_id, url and html are ignored, whatever their names. Nothing is capped: whole pages, any nesting, unclosed tags, and
+the time is linear in a page's length. A tag that never ends is text.
 """
 
 from __future__ import annotations
@@ -42,7 +50,9 @@ BAD_NAMES = frozenset(
     "header login masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted recommended related "
     "replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-#: Of these, what an element that is itself called article may be.
+#: Of these, words for what readers wrote.
+READER_NAMES = frozenset("comment comments disqus replies reply respond".split())
+#: What an element that is itself called article may be.
 COMMENT_NAMES = frozenset("comment comments reply replies related promo sponsored".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 STOP_WORDS = {
@@ -50,59 +60,115 @@ STOP_WORDS = {
     "de": frozenset("der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split()),
     "fr": frozenset("de la le et les des en un du une que est pour qui dans par au sur ne se pas plus avec ce il sont aux cette ou son".split()),
     "es": frozenset("de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí".split()),
+    "it": frozenset("di che la il un e per una in con non del i le da si al come della è sono dei nel ma gli alla lo più anche ha".split()),
+    "pt": frozenset("de que o a e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua".split()),
+    "nl": frozenset("de het een van en in is dat op te zijn met voor niet aan er om ook als dan maar bij door uit naar over wordt".split()),
 }
 ALL_STOP_WORDS = frozenset().union(*STOP_WORDS.values())
 
 MAX_LINK_DENSITY, LONG_CHARS, LOW_STOPS, HIGH_STOPS = 0.33, 70, 0.05, 0.15
 GOOD, BAD, OPEN = 1, -1, 0
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Elements that stay flagged even if they hold most of a page without a marked article.
+STRICT_TAGS = CONTAINERS - {"form", "header"}
+
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STEP = re.compile(r">|=\s*([\"'])")
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
-_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
+_LETTERS = re.compile(r"[^\W\d_]")
+_NOT_LATIN = re.compile(r"[\u0370-\U0010FFFF]")
+_WIDE = re.compile(r"[\u2E80-\uD7FF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+
+
+def tags_of(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of every tag; comments and declarations have no name, and neither has what
+    elements of raw text hold. Each character is looked at a bounded number of times."""
+    out: list[tuple[int, int, str, bool, str]] = []
+    at, n = 0, len(page)
+    unclosed: set[str] = set()  # quotes and end tags that don't occur any more
+    while m := _OPEN.search(page, at):
+        start = m.start()
+        if m[0] == "<!--":
+            end = start + 5 if page.startswith(">", start + 4) else page.find("-->", start + 4) + 3
+            at = n if end == 2 else end
+            out.append((start, at, "", False, ""))
+            continue
+        pos, end = m.end(), 0
+        while step := _STEP.search(page, pos):
+            pos = step.end()
+            if not step[1]:
+                end = pos
+                break
+            if step[1] not in unclosed:
+                close = page.find(step[1], pos)
+                if close < 0:
+                    unclosed.add(step[1])
+                else:
+                    pos = close + 1
+        if not end:
+            break  # the rest is text
+        at = end
+        if m[0][1] in "!?":
+            out.append((start, end, "", False, ""))
+            continue
+        closing = m[0][1] == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        tag = name[0].lower()
+        out.append((start, end, tag, closing, page[name.end() : end - 1]))
+        if tag in TEXT_TAGS and not closing and page[end - 2] != "/":
+            close = None if tag in unclosed else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, end)
+            if not close:
+                unclosed.add(tag)
+            at = close.start() if close else end if tag == "title" else n  # a title ends with its head at the latest
+            out.append((end, at, "", False, ""))
+    return out
 
 
-def _bad_attributes(attributes: str, names: frozenset[str] = BAD_NAMES) -> bool:
+def _flag(tag: str, attributes: str, inside: bool) -> str:
+    """Why an element is flagged: ``reader``, ``strict``, ``layout``, or empty."""
+    if tag in ("body", "html", "main"):
+        return ""
+    names = COMMENT_NAMES if tag == "article" else BAD_NAMES
+    why = ""
     for m in _NAMES.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        name = m[1].lower()
-        if name == "role":
+        if m[1].lower() == "role":
             if value.strip().lower() in BAD_ROLES:
-                return True
-        elif name in ("class", "id"):
-            if any(w.lower() in names for w in _WORDS.findall(value)):
-                return True
-    return False
-
-
-def _ends(page: str, tag: str) -> dict[int, int]:
-    """Where each closed element of this tag ends, by the end of its start tag."""
-    out: dict[int, int] = {}
-    opened: list[int] = []
-    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page, re.I):
-        if not m[1] and not m[2].endswith("/"):
-            opened.append(m.end())
-        elif m[1] and opened:
-            out[opened.pop()] = m.end()
-    return out
+                why = why or "layout"
+            continue
+        for w in _WORDS.findall(value):
+            if w.lower() in names:
+                why = "reader" if w.lower() in READER_NAMES else why or "layout"
+    if why == "reader":
+        return why
+    if tag in CONTAINERS and not (tag == "header" and inside):
+        return "strict" if tag in STRICT_TAGS else "layout"
+    return why
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "article")
+    __slots__ = ("text", "linked", "flag", "article", "bad", "size")
+
+    def __init__(self, text: str, linked: int, flag: int, article: int):
+        self.text, self.linked, self.flag, self.article, self.bad = text, linked, flag, article, False
+        self.size = len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
 
-    def __init__(self, text: str, linked: int, bad: bool, article: int):
-        self.text, self.linked, self.bad, self.article = text, linked, bad, article
+    def prose(self) -> int:
+        return self.size if self.size >= LONG_CHARS and self.linked <= MAX_LINK_DENSITY * len(self.text) else 0
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order. ``article``: number of the enclosing article element, else 0."""
+    """The page's blocks in order. ``article``: number of the enclosing article element, else 0; ``bad``: flagged."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open block-level elements: tag, whether boilerplate, article
+    stack: list[tuple[str, int, int]] = []  # open block-level elements: tag, innermost flag (0: none), article
+    opened: dict[str, int] = {}  # how many of them by tag
     parts: list[tuple[str, bool]] = []  # pieces of the current block, whether in a link
-    links = articles = breaks = 0
-    skip: str | None = None
-    ends: dict[str, dict[int, int]] = {}
+    flags: list[tuple[str, int]] = [("", 0)]  # why, flag around it
+    articles: list[tuple[int, int]] = [(0, 0)]  # the element's own flag, the flag around it
+    links = breaks = 0
 
     def flush() -> None:
         nonlocal breaks
@@ -111,7 +177,7 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", _html.unescape("".join(p for p, _ in parts))).strip()
             if text:
                 linked = len(_SPACE.sub(" ", _html.unescape("".join(p for p, a in parts if a))).strip())
-                out.append(Block(text, linked, any(b for _, b, _ in stack), stack[-1][2] if stack else 0))
+                out.append(Block(text, linked, *(stack[-1][1:] if stack else (0, 0))))
             parts.clear()
 
     def add(text: str) -> None:
@@ -121,35 +187,37 @@ def blocks_of(page: str) -> list[Block]:
             if not text.isspace():
                 breaks = 0
 
-    at = 0
-    while True:
-        if skip:  # left out up to its end tag
-            if skip not in TEXT_TAGS:  # without an end tag of its own, only the start tag goes
-                if skip not in ends:
-                    ends[skip] = _ends(page, skip)
-                at, skip = ends[skip].get(at, at), None
-                continue
-            m = re.compile(rf"</{skip}\s*>", re.I).search(page, at)
-            if not m:
-                break
-            at, skip = m.end(), None
-            continue
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
+    def close(depth: int) -> None:
+        for tag, _, _ in stack[depth:]:
+            opened[tag] -= 1
+        del stack[depth:]
+
+    tags = tags_of(page)
+    ends: dict[int, int] = {}  # of elements that are left out whole: where their content ends, by number of the start tag
+    waiting: dict[str, list[int]] = {}
+    head_end = None
+    for i, (_, _, tag, closing, attributes) in enumerate(tags):
+        if tag in RAW_TAGS and tag not in TEXT_TAGS:
+            if not closing and not attributes.endswith("/"):
+                waiting.setdefault(tag, []).append(i)
+            elif closing and waiting.get(tag):
+                ends[waiting[tag].pop()] = i
+        elif head_end is None and ((tag == "head" and closing) or (tag == "body" and not closing)):
+            head_end = i
+    at = i = 0
+    while i < len(tags):
+        start, end, tag, closing, attributes = tags[i]
+        add(page[at:start])
+        at = end
+        i += 1
         if tag == "head":
-            if not closing and (end := _HEAD_END.search(page, at)):
-                at = end.start()
+            if not closing and head_end is not None and head_end >= i:
+                i, at = head_end, tags[head_end][0]
             continue
         if tag in RAW_TAGS:
-            if not closing and not m[3].endswith("/"):
-                skip = tag
+            if not closing and i - 1 in ends:  # without an end tag of its own, only the start tag goes
+                i = ends[i - 1] + 1
+                at = tags[i - 1][1]
             continue
         if tag == "a":
             links = max(0, links - 1) if closing else 1  # links don't nest
@@ -164,46 +232,85 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in BLOCK_TAGS:
             continue
         flush()
-        if tag in VOID_TAGS or tag == "hr":
+        if tag in VOID_TAGS:
             continue
         if closing:
             links = 0
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
-        if tag == "p":  # a paragraph ends the one before
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] != "p":
-                    break
-        inside = stack[-1][2] if stack else 0
+        if tag == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before
+            close(len(stack) - 1)
+        _, around, inside = stack[-1] if stack else ("", 0, 0)
+        own = 0
+        if why := _flag(tag, attributes, bool(inside)):
+            own = len(flags)
+            flags.append((why, around))
         if tag in ("article", "main") and not inside:
-            articles += 1
-            inside = articles
-        bad = tag not in ("body", "html", "main") and _bad_attributes(m[3], COMMENT_NAMES if tag == "article" else BAD_NAMES)
-        bad = bad or (tag in CONTAINERS and not (tag == "header" and inside))
-        stack.append((tag, bad, inside))
+            inside = len(articles)
+            articles.append((own, around))
+        stack.append((tag, own or around, inside))
+        opened[tag] = opened.get(tag, 0) + 1
+    add(page[at:])
     flush()
+    _judge(out, flags, articles)
     return out
 
 
-def first_pass(block: Block, marked: bool, low: float = LOW_STOPS) -> int:
+def _judge(blocks: list[Block], flags: list[tuple[str, int]], articles: list[tuple[int, int]]) -> None:
+    """Sets ``bad`` of blocks under a flag that isn't void. Flags stand after those around them."""
+    prose, of_article, total = [0] * len(flags), [0] * len(articles), 0
+    for b in blocks:
+        prose[b.flag] += b.prose()
+        of_article[b.article] += len(b.text) - b.linked
+        total += b.prose()
+    reader = [False] * len(flags)
+    for f in range(1, len(flags)):
+        reader[f] = flags[f][0] == "reader" or reader[flags[f][1]]
+    for f in range(len(flags) - 1, 0, -1):
+        prose[flags[f][1]] += prose[f]
+    void = [False] * len(flags)
+    clean = max((of_article[a] for a, (own, around) in enumerate(articles) if a and not own and not around), default=0)
+    void_for = [a for a, (own, around) in enumerate(articles) if a and not own and around and of_article[a] > clean]
+    if any(not reader[articles[a][1]] for a in void_for):
+        void_for = [a for a in void_for if not reader[articles[a][1]]]
+    elif clean:
+        void_for = []
+    else:  # all of them among readers' comments
+        void_for = [a for a in void_for if 2 * prose[articles[a][1]] > total]
+    for a in void_for:
+        f = articles[a][1]
+        while f and not void[f]:
+            void[f] = True
+            f = flags[f][1]
+    if not clean and not void_for:
+        for f in range(1, len(flags)):
+            void[f] = flags[f][0] == "layout" and 2 * prose[f] > total
+    live = [False] * len(flags)
+    for f in range(1, len(flags)):
+        live[f] = not void[f] or live[flags[f][1]]
+    for b in blocks:
+        b.bad = live[b.flag]
+
+
+def first_pass(block: Block, marked: bool, blind: bool = False) -> int:
+    """``blind``: stop words tell nothing here."""
     if block.bad or (marked and not block.article):
         return BAD
-    n = len(block.text)
-    if block.linked / n > MAX_LINK_DENSITY:
+    if block.linked / len(block.text) > MAX_LINK_DENSITY:
         return BAD
-    if n < LONG_CHARS:
+    if block.size < LONG_CHARS:
         return OPEN
+    if blind or (not block.text.isascii() and 2 * len(_NOT_LATIN.findall(block.text)) > len(_LETTERS.findall(block.text))):
+        return OPEN if marked else GOOD
     words = [w.strip(".,;:!?\"'()").lower() for w in block.text.split(" ")]
     density = sum(w in ALL_STOP_WORDS for w in words) / len(words)
     if density >= HIGH_STOPS:
         return GOOD
-    if density < low:
+    if density < LOW_STOPS:
         return BAD
     return OPEN
 
@@ -238,11 +345,11 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = blocks_of(page)
     marked = any(b.article and not b.bad for b in blocks)
+    groups = [b.article if marked else 0 for b in blocks]
     labels = [first_pass(b, marked) for b in blocks]
-    if marked:
-        known = {b.article for b, label in zip(blocks, labels, strict=True) if label == GOOD}
-        labels = [label if b.article in known else first_pass(b, marked, 0) for b, label in zip(blocks, labels, strict=True)]
-    labels = second_pass(labels, [b.article if marked else 0 for b in blocks], [marked and b.bad and b.article > 0 for b in blocks])
+    known = {g for g, label in zip(groups, labels, strict=True) if label == GOOD}
+    labels = [label if g in known else first_pass(b, marked, True) for b, g, label in zip(blocks, groups, labels, strict=True)]
+    labels = second_pass(labels, groups, [marked and b.bad and b.article > 0 for b in blocks])
     return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == GOOD)
 
 
