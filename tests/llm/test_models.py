@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+
 from tideline.llm import charlm, language, perplexity, quality_rules, urls
+from tideline.llm.common import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,13 +59,62 @@ def labelled(spark, good, bad):
     return docs, labels
 
 
-def test_proven_cutoffs_reject_junk_and_few_labels_prove_nothing(spark):
-    docs, labels = labelled(spark, 6000, 60)
-    got = quality_rules.quality_rules(docs, labels).groupBy((F.col("doc_id") < 6000).alias("good"), "base_failed", "kept").count().collect()
-    assert {(r.good, r.kept): r["count"] for r in got if not r.base_failed}.get((True, True)) == 6000
-    chosen = quality_rules.thresholds(quality_rules.measures(docs), labels).first()
-    assert "symbols" in chosen.cutoffs
-    few = quality_rules.thresholds(quality_rules.measures(docs), labels.where("doc_id % 100 = 0"))
+def plain_choice(rows, alpha=0.02, delta=0.05):
+    """Level chosen per language, from (lang, quality, reject level) of labelled documents, by exact fractions."""
+    strata = sorted({x for x, q, _ in rows if q == 1}, key=str)
+    out = {}
+    for lang in strata:
+        good, bad = ([r for x, q, r in rows if x == lang and q == k] for k in (1, 0))
+        best = None
+        for level in range(quality_rules.LEVELS):
+            k, n, p = sum(r <= level for r in good), len(good), Fraction(alpha)
+            if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > Fraction(delta) / len(strata):
+                break
+            hit = sum(r <= level for r in bad)
+            gain = hit / max(1, len(bad)) - quality_rules.WEIGHT * k / n
+            if hit and gain > 0 and (best is None or gain > best[0]):
+                best = (gain, level)
+        if best:
+            out[lang] = best[1]
+    return out
+
+
+def test_levels_equal_the_plain_choice(spark):
+    """Planted labels: enough and too few, good documents that a level rejects, languages with and without bad ones."""
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for lang, good, bad, noise in (("en", 400, 40, 0.002), ("de", 260, 20, 0.0), ("fr", 150, 30, 0.0), (None, 300, 0, 0.0), ("es", 500, 50, 0.05)):
+        for i in range(good + bad):
+            junk = i >= good or rnd.random() < noise
+            word = lambda: "w" + "#" * rnd.choice([0, 1, 2]) if junk else f"plain{rnd.randint(0, 99)}"  # noqa: B023, E731
+            rows.append((len(rows), " ".join(word() for _ in range(rnd.randint(21, 40))), lang))
+            labels.append((rows[-1][0], int(i < good)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    measured = quality_rules.judged(stored(quality_rules.measures(docs), "m")).select("doc_id", "lang", "base_failed", "reject_level").collect()
+    quality = dict(labels)
+
+    def level(text):
+        n_words, chars, symbols, dups, repeats = plain_measures(text)
+        lines = len([x for x in text.split("\n") if WORD.search(x)])
+        ratios = {"symbols": symbols / n_words, "bangs": text.count("!") / n_words, "capitals": sum("A" <= c <= "Z" for c in text) / chars, "digits": sum("0" <= c <= "9" for c in text) / chars, "dup_lines": dups / lines, "repeats": repeats / n_words, "long_words": chars / n_words}
+        return min(next((i for i, c in enumerate(quality_rules.RULES[r][1]) if x > c), quality_rules.LEVELS) for r, x in ratios.items())
+
+    assert {r.doc_id: r.reject_level for r in measured} == {i: level(t) for i, t, _ in rows}
+    want = plain_choice([(r.lang, quality[r.doc_id], r.reject_level) for r in measured if not r.base_failed])
+    assert set(want) == {"en", "de"}  # enough labels and few false rejections
+    got = quality_rules.thresholds(quality_rules.judged(stored(quality_rules.measures(docs), "m")), known).collect()
+    assert {r.lang: r.chosen for r in got} == want
+    out = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.quality_rules(docs, known).collect()}
+    assert out == {r.doc_id: (r.base_failed, not r.base_failed and r.reject_level > want.get(r.lang, -1)) for r in measured}
+    assert any(not failed and not kept for failed, kept in out.values())
+
+
+def test_proven_levels_reject_junk_and_few_labels_prove_nothing(spark):
+    docs, labels = labelled(spark, 300, 20)
+    got = quality_rules.quality_rules(docs, labels).groupBy((F.col("doc_id") < 300).alias("good"), "kept").count().collect()
+    assert {(r.good, r.kept): r["count"] for r in got} == {(True, True): 300, (False, False): 20}
+    few = quality_rules.thresholds(quality_rules.judged(stored(quality_rules.measures(docs), "m")), labels.where("doc_id % 3 = 0"))
     assert few.count() == 0
 
 

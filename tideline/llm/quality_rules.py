@@ -1,25 +1,31 @@
 """Operator 6: quality rules with risk-controlled thresholds. DataFrame and SQL functions only.
 
-Each rule is a ratio that grows with junk. For each rule and each stratum (language) a cutoff is chosen from a fixed
-grid by means of labelled documents: of the cutoffs whose false-rejection rate among documents labelled good is below
-``alpha / rules`` with confidence, the one with the best balance of rejected bad against rejected good documents.
-"With confidence" is exact: the binomial probability of seeing at most the observed number of false rejections, were
-the rate ``alpha / rules``, is at most ``delta`` divided by the number of all tests (Bonferroni over strata, rules and
-cutoffs). So with probability 1 - delta, in every stratum at once, the rules reject no more than ``alpha`` of the good
-documents. A stratum with too few labels to prove anything rejects nothing beyond the base rule.
+Each rule is a ratio that grows with junk. The rules' cutoffs tighten together, along one fixed sequence of levels from
+loose to strict (``RULES``), and a document is rejected from the first level on at which any ratio is above its cutoff.
+For each stratum (language) labelled documents choose a level: of the levels whose false-rejection rate among documents
+labelled good is below ``alpha`` with confidence, the one with the best balance of rejected bad against rejected good
+documents, and of equals the loosest. "With confidence" is exact: the binomial probability of seeing at most the
+observed number of false rejections, were the rate ``alpha``, is at most ``delta`` divided by the number of strata
+(Bonferroni). Within a stratum the levels are tested in their order and the first that fails ends the sequence, which
+needs no further correction, since the order doesn't depend on the labels. So with probability 1 - delta, in every
+stratum at once, the rules reject no more than ``alpha`` of the good documents. With the defaults and four strata that
+takes some 220 good labels a stratum, if none of them is rejected; a stratum with too few labels to prove anything
+rejects nothing beyond the base rule.
 
 Null texts have no words, null languages form a stratum of their own; a document labelled more than once counts with
-its lowest quality; repeated rows give repeated results.
+its lowest quality, labels without a doc_id or quality don't count; repeated rows give repeated results, ties (ratios
+equal to a cutoff) pass; texts are measured whole, however long; empty tables give no rows, without labels only the base
+rule rejects; other columns are ignored or, in ``keep_quality``, passed through, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bare, read, stored
+from .common import bare, discard, read, stored
 
 WINDOW = 8
 SPACES = "\t\n\x0b\x0c\r"
@@ -29,17 +35,17 @@ WEIGHT = 10.0
 #: Strata that are joined as a broadcast at most; beyond, the join shuffles.
 BROADCAST_STRATA = 10_000
 
-RATIO_GRID = [0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0]
-#: rule: (SQL of its ratio over the measures, cutoffs).
+#: rule: (SQL of its ratio over the measures, cutoffs from loose to strict, one for each level).
 RULES = {
-    "symbols": ("n_symbols / n_words", RATIO_GRID),
-    "bangs": ("n_bangs / n_words", RATIO_GRID),
-    "capitals": ("n_capitals / word_chars", RATIO_GRID),
-    "digits": ("n_digits / word_chars", RATIO_GRID),
-    "dup_lines": ("n_dup_lines / n_lines", RATIO_GRID),
-    "repeats": ("n_repeat_words / n_words", RATIO_GRID),
-    "long_words": ("word_chars / n_words", [6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0]),
+    "symbols": ("n_symbols / n_words", [1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02]),
+    "bangs": ("n_bangs / n_words", [1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02]),
+    "capitals": ("n_capitals / word_chars", [1.0, 0.75, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1]),
+    "digits": ("n_digits / word_chars", [1.0, 0.75, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]),
+    "dup_lines": ("n_dup_lines / n_lines", [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3]),
+    "repeats": ("n_repeat_words / n_words", [1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.28, 0.25]),
+    "long_words": ("word_chars / n_words", [20.0, 15.0, 12.0, 11.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0]),
 }
+LEVELS = 10
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -121,56 +127,68 @@ def log_binomial_tail(k: Column, n: Column, p: Column, terms: int = 2000) -> Col
     return F.when(k < n * p, peak + F.log(total)).otherwise(0.0)
 
 
+def reject_level() -> Column:
+    """The first level at which some rule rejects a document; LEVELS if none does."""
+
+
+    def first(rule: str) -> Column:  # the cutoffs that a ratio passes come first
+        ratio = _ratio(rule)
+        return sum(((ratio <= c).cast("int") for c in RULES[rule][1]), F.lit(0))
+
+    return F.least(*[first(rule) for rule in RULES])
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(lang, cutoffs map<rule, cutoff>): one row for each stratum with a proven cutoff.
+    """(lang, chosen, n_good, n_bad, good, bad): one row for each stratum with a proven level that is worth it.
 
-    ``measured(doc_id, lang, measures)``, ``labels(doc_id, quality)``: quality 1 is good, 0 bad, null no label.
+    ``measured(doc_id, lang, base_failed, reject_level)``, ``labels(doc_id, quality)``: quality 1 is good, 0 bad, null no
+    label. ``good`` and ``bad``: labelled documents that the chosen level rejects.
     """
     known = bare(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    held = measured.where(~base_failed()).join(known, "doc_id")
-    grid = [(rule, c) for rule, (_, cutoffs) in RULES.items() for c in cutoffs]
-    sums = [F.sum(((F.col("quality") == q) & (_ratio(rule) > c)).cast("bigint")).alias(f"{name}{i}") for i, (rule, c) in enumerate(grid) for name, q in (("g", 1), ("b", 0))]
-    seen = held.groupBy("lang").agg(F.sum((F.col("quality") == 1).cast("bigint")).alias("n_good"), F.sum((F.col("quality") == 0).cast("bigint")).alias("n_bad"), *sums)
-    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"g{i}").alias("good"), F.col(f"b{i}").alias("bad")) for i, (rule, c) in enumerate(grid)])
-    tests = seen.select("lang", "n_good", "n_bad", (F.count(F.lit(1)).over(_all()) * len(grid)).alias("n_tests"), F.inline(cells))
-    share = F.lit(alpha / len(RULES))
-    proven = tests.where("n_good > 0").where(log_binomial_tail(F.col("good"), F.col("n_good"), share) <= F.log(F.lit(delta) / F.col("n_tests")))
+    held = measured.where("not base_failed").select("doc_id", "lang", "reject_level").join(known, "doc_id")
+    n = lambda q, i=LEVELS: F.sum(((F.col("quality") == q) & (F.col("reject_level") <= i)).cast("bigint"))
+    sums = [n(q, i).alias(f"{name}{i}") for i in range(LEVELS) for name, q in (("g", 1), ("b", 0))]
+    seen = stored(held.groupBy("lang").agg(n(1).alias("n_good"), n(0).alias("n_bad"), *sums).where("n_good > 0"), "strata")  # a row for each stratum
+    strata = seen.count()
+    cells = F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"g{i}").alias("good"), F.col(f"b{i}").alias("bad")) for i in range(LEVELS)])
+    tests = seen.select("lang", "n_good", "n_bad", F.inline(cells))
+    passed = log_binomial_tail(F.col("good"), F.col("n_good"), F.lit(alpha)) <= math.log(delta / max(1, strata))
+    order = Window.partitionBy("lang").orderBy("level")  # LEVELS rows each
+    proven = tests.withColumn("passed", passed).withColumn("proven", F.min("passed").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("proven")
     gain = F.col("bad") / F.greatest("n_bad", F.lit(1)) - WEIGHT * F.col("good") / F.col("n_good")
-    best = proven.withColumn("gain", gain).where("bad > 0 and gain > 0").groupBy("lang", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
-    return best.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))  # at most one entry for each rule
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))  # over strata, which are as few as languages
+    best = proven.withColumn("gain", gain).where("bad > 0 and gain > 0")
+    pick = F.max_by(F.struct(F.col("level").alias("chosen"), "n_good", "n_bad", "good", "bad"), F.struct("gain", -F.col("level")))
+    out = stored(best.groupBy("lang").agg(pick.alias("x")).select("lang", "x.*"), "cutoffs")
+    discard(seen)
+    return out
 
 
 def passes(measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``measured`` with base_failed and kept."""
-    chosen = chosen.select(F.col("lang").alias("_lang"), F.col("cutoffs").alias("_cutoffs"))
+    """``measured`` with kept."""
+    chosen = chosen.select(F.col("lang").alias("_lang"), F.col("chosen").alias("_chosen"))
     if chosen.count() <= BROADCAST_STRATA:
         chosen = F.broadcast(chosen)
     joined = measured.join(chosen, measured["lang"].eqNullSafe(chosen["_lang"]), "left")
-    rejected = F.lit(False)
-    for rule in RULES:
-        rejected = rejected | F.coalesce(_ratio(rule) > F.col("_cutoffs")[rule], F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_lang", "_cutoffs")
+    rejected = F.coalesce(F.col("reject_level") <= F.col("_chosen"), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_lang", "_chosen")
+
+
+def judged(measured: DataFrame) -> DataFrame:
+    return measured.withColumn("base_failed", base_failed()).withColumn("reject_level", reject_level())
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(doc_id, lang, measures, base_failed, kept) of every row of ``docs(doc_id, text, lang)``."""
-    narrow = stored(measures(bare(docs, doc_id="bigint", text="string", lang="string")).drop("text"), "quality")
-    return passes(narrow, stored(thresholds(narrow, labels, alpha, delta), "cutoffs"))
+    narrow = judged(stored(measures(bare(docs, doc_id="bigint", text="string", lang="string")).drop("text"), "quality"))
+    return passes(narrow, thresholds(narrow, labels, alpha, delta))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. Measured once: rows and measures are written and reread."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     wide = docs.select(row, F.col("`doc_id`").cast("bigint").alias("doc_id"), F.col("`text`").cast("string").alias("text"), F.col("`lang`").cast("string").alias("lang"))
-    measured = stored(measures(wide).drop("text"), "quality")
-    chosen = stored(thresholds(measured.drop("_row"), labels, alpha, delta), "cutoffs")
-    return passes(measured, chosen).where("kept").select("_row.*")
+    measured = judged(stored(measures(wide).drop("text"), "quality"))
+    return passes(measured, thresholds(measured, labels, alpha, delta)).where("kept").select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +197,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    tests = ", ".join(f"('{r}', {c}::double)" for r, (_, cs) in RULES.items() for c in cs)
-    ratio = "case rule " + " ".join(f"when '{r}' then case when {s.split(' / ')[1]} > 0 then {s.split(' / ')[0]}::double / {s.split(' / ')[1]} else 0 end" for r, (s, _) in RULES.items()) + " end"
+    ratio = lambda sql: f"case when {sql.split(' / ')[1]} > 0 then {sql.split(' / ')[0]}::double / {sql.split(' / ')[1]} else 0 end"
+    level = "least(" + ", ".join(f"len(list_filter([{', '.join(f'{c}::double' for c in cutoffs)}], lambda c: {ratio(sql)} <= c))" for sql, cutoffs in RULES.values()) + ")"
     chars = r"[\x20\x09-\x0D]"
     return f"""
 with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
@@ -194,20 +212,21 @@ m as (select w.rid, doc_id, lang, len(ws)::bigint as n_words, length(regexp_repl
              coalesce(c.n, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines, length(regexp_replace(t, '[^!]+', '', 'g')) as n_bangs,
              length(regexp_replace(t, '[^A-Z]+', '', 'g')) as n_capitals, length(regexp_replace(t, '[^0-9]+', '', 'g')) as n_digits
       from w left join c on w.rid = c.rid),
-f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m),
+f as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, {level} as reject_level from m),
 q as (select doc_id, min(quality) as quality from labels where doc_id is not null and quality is not null group by doc_id),
-grid as (select * from (values {tests}) as v(rule, cutoff)),
-h as (select lang, rule, cutoff, count(*) filter (quality = 1) as n_good, count(*) filter (quality = 0) as n_bad,
-             count(*) filter (quality = 1 and {ratio} > cutoff) as good, count(*) filter (quality = 0 and {ratio} > cutoff) as bad
-      from (select f.*, quality from f join q on f.doc_id = q.doc_id where not base_failed) x, grid group by lang, rule, cutoff),
-t as (select *, count(*) over () as n_tests from h),
-p as (select *, case when good < n_good * {ALPHA / len(RULES)!r} then ln(list_sum(list_transform(range(0, good + 1),
-        lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({ALPHA / len(RULES)!r}) + (n_good - i) * ln(1 - {ALPHA / len(RULES)!r}))))) else 0 end as tail,
-        bad / greatest(n_bad, 1) - {WEIGHT!r} * good / n_good as gain from t where n_good > 0),
-b as (select lang, rule, arg_max(cutoff, struct_pack(a := gain, b := cutoff)) as cutoff from p where tail <= ln({DELTA!r} / n_tests) and bad > 0 and gain > 0 group by lang, rule),
-x as (select f.rid, count(*) as n from f join b on f.lang is not distinct from b.lang where {ratio} > cutoff group by f.rid)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and x.n is null as kept
-from f left join x on f.rid = x.rid"""
+h as (select lang, reject_level, quality from f join q on f.doc_id = q.doc_id where not base_failed),
+n as (select lang, count(*) filter (quality = 1) as n_good, count(*) filter (quality = 0) as n_bad from h group by lang having count(*) filter (quality = 1) > 0),
+t as (select n.lang, n_good, n_bad, level, (select count(*) from n) as strata,
+             (select count(*) from h where h.lang is not distinct from n.lang and quality = 1 and reject_level <= level) as good,
+             (select count(*) from h where h.lang is not distinct from n.lang and quality = 0 and reject_level <= level) as bad
+      from n, range(0, {LEVELS}) as r(level)),
+p as (select *, case when good < n_good * {ALPHA!r} then ln(list_sum(list_transform(range(0, good + 1),
+        lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({ALPHA!r}) + (n_good - i) * ln(1 - {ALPHA!r}))))) else 0 end <= ln({DELTA!r} / strata) as passed,
+        bad / greatest(n_bad, 1) - {WEIGHT!r} * good / n_good as gain from t),
+s as (select *, min(passed) over (partition by lang order by level) as proven from p),
+b as (select lang, arg_max(level, struct_pack(a := gain, b := -level)) as chosen from s where proven and bad > 0 and gain > 0 group by lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(reject_level > chosen, true) as kept
+from f left join b on f.lang is not distinct from b.lang"""
 
 
 ORACLE_SQL = _oracle()
