@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -16,15 +17,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, set here only if it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder that is set already.
+
+    Only a local master, whose executors are the driver's own process, may go without: it gets one of the machine's own.
+    """
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "/tmp/tideline-checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{tempfile.gettempdir()}/tideline-checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+#: Tables that ``stored`` wrote and that are still there, in order.
+_written: list[DataFrame] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -32,6 +42,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _written.append(out)
+    return out
+
+
+def stored_whole(make, name: str) -> DataFrame:
+    """The table that ``make()`` describes, stored; tables stored on the way there are removed, as nothing reads them any more."""
+    before = len(_written)
+    out = stored(make(), name)
+    discard(*_written[before:-1])
     return out
 
 
@@ -40,6 +59,8 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
         p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    gone = {t.stored_at for t in tables}
+    _written[:] = [t for t in _written if t.stored_at not in gone]
 
 
 def bare(df: DataFrame, **columns: str) -> DataFrame:

@@ -14,15 +14,17 @@ union, and the links' connected components are the groups.
    are dropped; the rest is confirmed on full sets. Links give first components.
 4. In buckets that still hold several components, the other members are compared in blocks of ``BLOCK`` rows: blocks
    of one and the same component are skipped, all others meet pairwise, first by signature and then, where that leaves
-   a chance, on full sets. A task holds two blocks at most and returns a spanning forest of the links it finds, never
-   the pairs. So no link between candidates is lost and nothing is capped, while a family of n copies costs about n.
+   a chance, on full sets. A task holds two blocks at most (a member of a large set counts as many, so that blocks are
+   bounded in bytes as well) and returns a spanning forest of the links it finds, never the pairs. So no link between candidates is lost and nothing is capped, while a family of n copies costs about n.
 5. Links of both steps give the components.
 
 There are as many bands as make the probability that a pair at the threshold shares none at most ``MISSED``: 27 bands
 of 4 rows at 0.8, 19 at 0.85. Texts move once to meet the classes whose full sets are asked for, whatever their number.
 
-Rows with a null doc_id are linked with nothing and kept; rows that repeat a doc_id are compared like others and
-get that doc_id's least component; null texts count as empty.
+Shingles are 64-bit hashes, so "full sets" are exact but for chance collisions of about n**2 / 2**64 in a pair's n
+shingles. Rows with a null doc_id are linked with nothing and kept; rows that repeat a doc_id are compared like others,
+each with its own text's component; null and empty texts are linked with nothing; ties (equal sets) are one class; very
+long texts are hashed whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bare, batches_of, discard, read, stored, text_buffers
@@ -43,6 +46,8 @@ PERMUTATIONS, BITS, ROWS = 256, 4, 4
 #: Most that a link at the threshold may be missed with, which sets the number of bands.
 MISSED = 1e-6
 SIGMAS, BLOCK = 5.0, 512
+#: Shingles of a member that counts once in its block.
+WEIGHT = 2048
 
 _rng = np.random.RandomState(6502)
 _MUL = _rng.randint(0, 2**31, (PERMUTATIONS, 1), dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -196,7 +201,7 @@ def _blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
     A component of BLOCK members or more has blocks of its own, by the members' hashes; the bucket's other components
     share blocks, each whole in one. Blocks hold some BLOCK members. Two blocks of one same component don't meet.
     """
-    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("key", "comp").agg(F.sum("weight").alias("n"))
     rest = sizes.where(F.col("n") < BLOCK).groupBy("key").agg(F.sum("n").alias("m"))
     dealt = sizes.join(rest, "key", "left").select("key", "comp", (F.col("n") >= BLOCK).alias("_own"), F.ceil(F.when(F.col("n") >= BLOCK, F.col("n")).otherwise(F.col("m")) / BLOCK).alias("_parts"))
     own = F.xxhash64("comp", F.pmod(F.xxhash64("cls"), "_parts"))
@@ -238,7 +243,7 @@ def _chances(run: list, sig: np.ndarray, least: float) -> np.ndarray:
 
 
 def _open_members(rows: DataFrame, least: float) -> DataFrame:
-    """(key, cls): members of ``rows(key, comp, cls, sig)`` that may be linked to another component of the bucket."""
+    """(key, cls): members of ``rows(key, comp, cls, sig, weight)`` that may be linked to another component of the bucket."""
 
     def run(batches):
         for r in _runs(batches, 7):
@@ -251,7 +256,7 @@ def _open_members(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, least: float, percent: int) -> DataFrame:
-    """(a, b): links between components within buckets of ``rows(key, comp, cls, sig, s)``, a forest for each task's run."""
+    """(a, b): links between components within buckets of ``rows(key, comp, cls, sig, weight, s)``, a forest for each task's run."""
 
     def run(batches):
         for r in _runs(batches, 8):
@@ -281,11 +286,15 @@ def _block_links(rows: DataFrame, least: float, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``."""
+    """(doc_id, n_shingles, component_id, kept, cls, component) of every row of ``docs(doc_id, text)``.
+
+    cls is what ``class_of`` gives, component names the group itself: where doc_ids repeat, two groups can have the same
+    least doc_id.
+    """
     least = least_estimate(percent)
     own = bare(docs, doc_id="bigint", text="string")
     seen = stored(features(own, k, bands_for(percent)), "minhash")
-    classes = stored(seen.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    classes = stored(seen.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "classes")
 
     # buckets of two or more, their hubs
     rows = classes.select("cls", F.explode("bands").alias("key"))
@@ -306,8 +315,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # buckets of three or more with several components: members other than the hub
     left = buckets.where("n > 2 and cls <> hub").join(first.select(F.col("node").alias("cls"), "component"), "cls", "left")
     left = left.select("key", "cls", F.coalesce("component", "cls").alias("comp"))
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n_shingles") / WEIGHT)).cast("bigint")
     mixed = left.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = stored(left.join(mixed, "key").join(signatures, "cls"), "left")
+    left = stored(left.join(mixed, "key").join(classes.select("cls", "sig", weight.alias("weight")), "cls"), "left")
     open_ = stored(_open_members(left, least), "open")
     narrowed = left.join(open_, ["key", "cls"])
     fresh = _sets_of(own, classes, open_.select("cls").distinct().join(known, "cls", "left_anti"), k)
@@ -328,17 +338,28 @@ def _sets_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, k: int, hin
 
 
 def labelled(seen: DataFrame, classes: DataFrame, final: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) from the classes' components."""
+    """(doc_id, n_shingles, component_id, kept, cls, component) from the classes' components."""
     of = classes.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = stored(of.join(least, "component").select("cls", "component_id"), "component-ids")
+    ids = stored(of.join(least, "component").select("cls", "component_id", "component"), "component-ids")
     joined = seen.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return joined.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"), "cls", ids["component"])
+
+
+def class_of(text: Column, k: int = 5) -> Column:
+    """The digest of a text's shingle set; null if it is empty."""
+
+    @F.pandas_udf("binary")
+    def digest(column: pd.Series) -> pd.Series:
+        raw, off = text_buffers(pa.Array.from_pandas(column, type=pa.large_string()))
+        return pd.Series([_digest(s) if len(s) else None for _, s in _sets(raw, off, k)], dtype=object)
+
+    return digest(text)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85).drop("cls", "component")
 
 
 #: All pairs that share a shingle, and the closure of their links: for small tables.

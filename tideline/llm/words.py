@@ -1,14 +1,20 @@
 """Vectorised words and word shingles over UTF-8 buffers.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 is the same as runs of those
-characters. A word's 64-bit hash is a polynomial over its bytes, taken from prefix sums modulo 2**64.
+characters. A word's 64-bit hash is a polynomial over its bytes, taken from prefix sums modulo 2**64. Words of more than
+``LONG`` bytes are hashed one by one by BLAKE2b: from about a thousand bytes on, there are words that such a polynomial
+can't tell apart, whatever its base.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
+#: Bytes up to which a word's hash is a polynomial.
+LONG = 255
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: White space and ASCII punctuation: separators where punctuation shouldn't tell words apart.
@@ -62,7 +68,11 @@ def words(raw: np.ndarray, off: np.ndarray, lower: bool = True, between: np.ndar
     sums = np.zeros(len(raw) + 1, dtype=U)
     letters = LOWER[raw] if lower else raw.astype(U)
     np.cumsum((letters + U(1)) * up[: len(raw)], out=sums[1:], dtype=U)
-    return row, start, end, mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        word = letters[start[i] : end[i]].astype(np.uint8).tobytes()
+        hashes[i] = U(int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"))
+    return row, start, end, hashes
 
 
 def shingle_hashes(row: np.ndarray, hashes: np.ndarray, k: int, n_rows: int):
