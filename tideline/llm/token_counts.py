@@ -8,8 +8,12 @@ own ancestors, however many pre-tokens pass through it. Terminal nodes give the
 Pieces come from a public rank file; their scores follow the rank by Zipf's law, log p = -log(rank + 2) up to the
 constant of normalisation, since the file has ranks and no frequencies. Every byte is a piece, so each text has a split.
 
-Distinct pre-tokens recur within and across the texts of a task: each task keeps one trie and empties it at
-``NODES`` nodes, which bounds memory and changes no result. Null texts count as empty (0 tokens).
+Distinct pre-tokens recur within and across the texts of a task: each task keeps one trie and empties it at ``NODES``
+nodes. Pre-tokens of more than ``LONG`` bytes, which hardly share prefixes, run through the same recurrence outside the
+trie, holding only the scores that a piece can still reach. Both bound memory and change no result.
+
+Null and empty texts have 0 tokens, an empty table no rows; repeated rows and null ids are counted row by row; splits of
+equal probability count the fewest tokens; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import _codec_source, ranks_of
 from .common import bare, read, texts
 
-#: Trie nodes that a task keeps at most.
-NODES = 400_000
+#: Trie nodes that a task keeps, and bytes of the longest pre-token that enters it.
+NODES, LONG = 400_000, 2048
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
@@ -37,56 +41,73 @@ def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
 SHIFT = 1 << 32
 
 
-class TrieCounter:
-    """Best splits of prefixes, one node for each distinct prefix of the inserted pre-tokens."""
+class TrieCounter(dict):
+    """Tokens by pre-token: best splits of prefixes, one node for each distinct prefix of the inserted pre-tokens."""
 
-    def __init__(self, scores: dict[bytes, float], most: int = NODES):
-        self.most = most
+    def __init__(self, scores: dict[bytes, float], most: int = NODES, long: int = LONG):
+        self.most, self.long = most, long
         self.computed = 0  # nodes whose score was computed, for tests
         # each piece's score, and None for bytes that only end a piece: what is in neither ends no piece, nor does more
         self.pieces: dict[bytes, int | None] = {}
+        self.reach = max(map(len, scores))
         for piece, score in scores.items():
             self.pieces[piece] = round(score * 1e9) * SHIFT - 1
             for i in range(1, len(piece)):
                 self.pieces.setdefault(piece[i:], None)
-        self.clear()
+        self.reset()
 
-    def clear(self) -> None:
+    def reset(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.best: list[int] = [0]
-        self.counts: dict[str, int] = {}
+        self.clear()
+
+    def _top(self, token: bytes, end: int, values, first: int = 0) -> int:
+        """Score of the best split of a prefix, whose own prefixes from ``first`` on have ``values``."""
+        pieces, top = self.pieces, None
+        for start in range(end - 1, -1, -1):
+            score = pieces.get(token[start:end], 0)
+            if score == 0:
+                break
+            if score is not None:
+                total = values[start - first] + score
+                if top is None or total > top:
+                    top = total
+        return top
 
     def insert(self, token: bytes) -> int:
         """Tokens of a pre-token; new nodes are computed on the way down, each from its own prefixes."""
-        nexts, best, pieces = self.next, self.best, self.pieces
+        nexts, best = self.next, self.best
         children, values, end = nexts[0], [0], 0
         for byte in token:
             end += 1
             child = children.get(byte)
             if child is None:
-                top = None
-                for start in range(end - 1, -1, -1):
-                    score = pieces.get(token[start:end], 0)
-                    if score == 0:
-                        break
-                    if score is not None:
-                        total = values[start] + score
-                        if top is None or total > top:
-                            top = total
                 child = children[byte] = len(nexts)
                 nexts.append({})
-                best.append(top)
+                best.append(self._top(token, end, values))
                 self.computed += 1
             children = nexts[child]
             values.append(best[child])
         return -values[-1] % SHIFT
 
-    def count(self, token: str) -> int:
-        n = self.counts.get(token)
-        if n is None:
-            if len(self.next) > self.most:
-                self.clear()
-            n = self.counts[token] = self.insert(token.encode("utf-8"))
+    def pass_through(self, token: bytes) -> int:
+        """The same without the trie, in memory that doesn't grow with the pre-token."""
+        values, first = [0], 0
+        for end in range(1, len(token) + 1):
+            values.append(self._top(token, end, values, first))
+            if len(values) > 4 * self.reach:
+                drop = len(values) - self.reach
+                del values[:drop]
+                first += drop
+        return -values[-1] % SHIFT
+
+    def __missing__(self, token: str) -> int:
+        raw = token.encode("utf-8")
+        if len(raw) > self.long:
+            return self.pass_through(raw)
+        if len(self.next) > self.most:
+            self.reset()
+        n = self[token] = self.insert(raw)
         return n
 
 
@@ -112,14 +133,7 @@ def token_counts(docs: DataFrame, ranks_path: str | None = None, pattern: str |
                 for text in texts(part.column(1)):
                     found = split.findall(text)
                     cells.append(len(found))
-                    known = counter.counts
-                    total = 0
-                    for t in found:
-                        n = known.get(t)
-                        total += counter.count(t) if n is None else n
-                        if n is None:
-                            known = counter.counts
-                    tokens.append(total)
+                    tokens.append(sum(map(counter.__getitem__, found)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(cells, dtype=np.int64)), pa.array(np.array(tokens, dtype=np.int64))], names=["doc_id", "n_pretokens", "n_tokens"])
 
     return bare(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint")
