@@ -5,10 +5,16 @@ where a keyword stands is the kind's regular expression tried, anchored at that
 embedded checksum or structure counts only if that holds. The kind ``hex`` has no keyword: its prefilter is the run
 length of the bytes themselves.
 
-Base kinds (in order): assign, access, hex. Added kinds, each validated: ``crc_token`` (prefix, 30 base-62 characters,
-then the CRC-32 of these in 6 base-62 characters), ``jwt`` (three base64url parts, the first a JSON object with "alg"),
-``pem_key`` (a private key block whose body is valid base64 of a DER sequence). Spans are code points, end exclusive.
-Null texts count as empty, repeated rows are scanned one by one, whole texts are scanned whatever their length.
+Base kinds (in order): assign, access, hex. Added kinds with an embedded checksum: ``crc_token`` (prefix, 30 base-62
+characters, then the CRC-32 of these in 6 base-62 characters), ``xprv`` (extended private key, base-58 with a double
+SHA-256), ``age_key`` (secret key in bech32). Added kinds with an embedded structure: ``jwt`` (three base64url parts, the
+first a JSON object with "alg"), ``pem_key`` (a private key block whose body is valid base64 of one DER sequence of just
+its length). Spans are code points, end exclusive; of one kind they don't overlap, the leftmost counts; ties in place go
+by the order of kinds.
+
+Null and empty texts have no spans, repeated rows and null ids are scanned row by row, an empty table gives no rows, other
+columns are ignored (or passed through by ``redact_secrets``), whatever their names. Texts are scanned whole, in time
+linear in their length: a keyword inside a run that its kind has failed on is not tried again.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import bare, read
 
-KINDS = ("assign", "access", "hex", "crc_token", "jwt", "pem_key")
+KINDS = ("assign", "access", "hex", "crc_token", "jwt", "pem_key", "xprv", "age_key")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
 # The contract's patterns and the public formats of tokens.
@@ -35,6 +41,12 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 CRC_TOKEN = re.compile(rb"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM_KEY = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+TOKEN_RUN = re.compile(rb"[A-Za-z0-9_-]*")
+XPRV = re.compile(rb"xprv[1-9A-HJ-NP-Za-km-z]{107,108}(?![1-9A-HJ-NP-Za-km-z])")
+AGE_KEY = re.compile(rb"AGE-SECRET-KEY-1([QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L]{58})(?![A-Z0-9])")
+BASE58 = b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+BECH32 = b"QPZRY9X8GF2TVDW0S3JN54KHCE6MUA7L"
+BECH32_STEPS = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 #: Keyword in lower case, the kind it opens.
@@ -54,6 +66,8 @@ KEYWORDS = [
     ("npm_", "crc_token"),
     ("eyj", "jwt"),
     ("-----begin ", "pem_key"),
+    ("xprv", "xprv"),
+    ("age-secret-key-1", "age_key"),
 ]
 
 
@@ -79,9 +93,37 @@ def _valid_jwt(m: re.Match) -> bool:
 
 def _valid_pem(m: re.Match) -> bool:
     try:
-        return base64.b64decode(re.sub(rb"\s", b"", m[2]), validate=True)[:1] == b"\x30"
+        der = base64.b64decode(re.sub(rb"\s", b"", m[2]), validate=True)
     except binascii.Error:
         return False
+    if len(der) < 2 or der[0] != 0x30:
+        return False
+    size = der[1] - 128 if der[1] > 128 else 0  # bytes of a long length
+    length = int.from_bytes(der[2 : 2 + size], "big") if size else der[1]
+    return len(der) == 2 + size + length
+
+
+def _valid_base58(m: re.Match) -> bool:
+    number = 0
+    for c in m[0]:
+        number = number * 58 + BASE58.index(c)
+    raw = number.to_bytes(82, "big") if number < 1 << 656 else b""
+    return raw[:1] == b"\x04" and hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
+def bech32_rest(prefix: bytes, values: list[int]) -> int:
+    """1 for values that end with their checksum."""
+    low = prefix.lower()
+    rest = 1
+    for v in [*(c >> 5 for c in low), 0, *(c & 31 for c in low), *values]:
+        top, rest = rest >> 25, (rest & 0x1FFFFFF) << 5 ^ v
+        for i, step in enumerate(BECH32_STEPS):
+            rest ^= step if top >> i & 1 else 0
+    return rest
+
+
+def _valid_bech32(m: re.Match) -> bool:
+    return bech32_rest(b"AGE-SECRET-KEY-", [BECH32.index(c) for c in m[1]]) == 1
 
 
 #: kind: pattern, what a match must fulfil.
@@ -91,6 +133,8 @@ RULES = {
     "crc_token": (CRC_TOKEN, lambda m: crc_base62(m[1][:30]) == m[1][30:]),
     "jwt": (JWT, _valid_jwt),
     "pem_key": (PEM_KEY, _valid_pem),
+    "xprv": (XPRV, _valid_base58),
+    "age_key": (AGE_KEY, _valid_bech32),
 }
 
 _automaton = None
@@ -122,6 +166,8 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
             done[kind] = m.end()
             if valid(m):
                 found.append((start, m.end(), kind))
+        elif kind == "jwt":  # no later start in this run has other dots behind it
+            done[kind] = TOKEN_RUN.match(raw, start).end()
     found.sort(key=lambda s: (s[0], _ORDER[s[2]], s[1]))
     if len(raw) != len(text):
         place, at, points = {}, 0, 0
