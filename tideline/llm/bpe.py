@@ -14,7 +14,9 @@ edge is proven in one of two ways:
   encoding by ranked merges.
 
 Decoding concatenates the tokens' bytes up the same tree. Null texts count as empty; an empty text has no tokens and
-the hashes of empty input. Every row of the input gives one row, repeated rows included.
+the hashes of empty input. Every row of the input gives one row, repeated rows and null ids included, an empty table
+none; other columns are ignored, whatever their names. Texts are encoded whole, however long; pairs of equal rank merge
+from the left.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bare, read, texts
 
 #: Characters that are encoded at once.
-LEAF = 8192
+LEAF = 512
 #: Tokens on either side of a boundary in the first window.
 WINDOW = 8
 
