@@ -4,11 +4,13 @@ Host, path, rules and features are columns. The trees are trained from labelled
 of its rule, and a row that no rule names counts as allowed with the weight ``UNLISTED``, since lists name what to
 block and leave out what is fine (trained on the listed alone, a suffix with nothing but block rules would lose all of
 its other URLs). At most ``SAMPLE`` distinct URLs train the model, on the driver: of each
-class (block, allow, unlisted) an equal part, those with the smallest hashes, weighted to all rows of the class. Its trees then become one column expression that scores all rows inside the JVM. The suffix statistics (share
-and blocked share of an address suffix) come from grouped aggregation over all rows.
+class (block, allow, unlisted) an equal part, those with the smallest hashes, weighted to all rows of the class. Its trees then become one column expression that scores all rows inside the JVM. The suffix statistics (share of all rows under an address suffix, hosts per row in it) come from grouped
+aggregation over all rows and hold no labels, which they would leak into what they help to predict.
 
-A null URL, or one without ``://``, has an empty host and path, no rule, and the verdict of the model on an empty
-string. Without labels of both classes the model allows everything. Every row gives one row.
+A null or empty URL, or one without ``://``, has an empty host and path, no rule, and the verdict of the model on it.
+Without labels of both classes the model allows everything; a probability of just one half blocks; rules of equal length
+can't both fit. Every row gives one row, repeated rows and null ids included, an empty table none; URLs are read whole,
+however long; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ BROADCAST_SUFFIXES = 10_000
 # The contract's rules.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "suffix_share", "suffix_blocked"]
+FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "suffix_share", "suffix_hosts"]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -69,10 +71,10 @@ def with_features(urls: DataFrame) -> DataFrame:
         .withColumn("entropy", F.round(entropy, 6))
         .withColumn("parameters", F.when(F.locate("?", url) > 0, count(url, "&") + 1).otherwise(0))
     )
-    counts = df.groupBy("suffix").agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("_ruled") == "block").cast("bigint")).alias("_b"), F.count(F.lit(1)).alias("_l"))
-    counts = stored(counts, "suffixes")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    stats = counts.select("suffix", (F.col("_n") / F.lit(max(total, 1))).alias("suffix_share"), ((F.coalesce("_b", F.lit(0)) + 1) / (F.col("_l") + 2)).alias("suffix_blocked"))
+    hosts = df.groupBy("suffix", "host").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts")), "suffixes")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    stats = counts.select("suffix", (F.col("n") / F.lit(total)).alias("suffix_share"), (F.col("hosts") / F.col("n")).alias("suffix_hosts"))
     if stats.count() <= BROADCAST_SUFFIXES:
         stats = F.broadcast(stats)
     return df.join(stats, "suffix", "left")
