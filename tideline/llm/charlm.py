@@ -1,9 +1,13 @@
 """Character n-gram counts and interpolated modified Kneser-Ney models over a fixed alphabet.
 
-Characters fall into 36 symbols: white space, 26 lower-case ASCII letters, and classes for capitals, other lower-case
-letters, digits, clause marks, other punctuation, ``!``, symbols, other letters and the rest. So an n-gram is a number
-below 36**n, and a model of order 4 has at most 36**4 + 36**3 + 36**2 + 36 entries per language: a bound that no
+Characters fall into 40 symbols: white space, 26 lower-case ASCII letters, and classes for capitals, digits, clause marks,
+other punctuation, ``!``, symbols and the rest; other lower-case letters and letters without case fall into three
+classes each, by their code points, so that order within words tells text from noise in any script. So an n-gram is a
+number below 40**n, and a model of order 4 has at most 40**4 + 40**3 + 40**2 + 40 entries per language: a bound that no
 corpus exceeds. Counts cover all of the given text; they are summed per task before the shuffle.
+
+The languages are those that the documents declare, by grouped aggregation over all of them: each with a share of
+``LEAST_SHARE`` at least, and of these the ``MOST_LANGUAGES`` most frequent, which bounds the models that a task holds.
 """
 
 from __future__ import annotations
@@ -12,16 +16,28 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, text_buffers
 
-SYMBOLS, ORDER = 36, 4
+SYMBOLS, ORDER = 40, 4
 #: Languages with a model of their own; other values and null share the model ``other``.
-LANGUAGES = ("en", "de", "fr", "es")
+MOST_LANGUAGES, LEAST_SHARE = 10, 0.01
 OTHER = "other"
-POOLS = (*LANGUAGES, OTHER)
+
+
+def declared_language(lang: Column) -> Column:
+    """The language of a tag such as en-US, in lower case; null if there is none."""
+    return F.nullif(F.lower(F.regexp_extract(lang.cast("string"), "^[A-Za-z]*", 0)), F.lit(""))
+
+
+def languages_of(docs: DataFrame) -> tuple[str, ...]:
+    """The declared languages of ``docs(lang)`` that get a model, the most frequent first."""
+    seen = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    known = seen.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_SHARE * total)).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    return tuple(r.lang for r in known.collect())
 
 
 def _class_of(c: str) -> int:
@@ -33,7 +49,7 @@ def _class_of(c: str) -> int:
     if kind in ("Lu", "Lt"):
         return 27
     if kind == "Ll":
-        return 28
+        return (28, 36, 37)[ord(c) % 3]
     if kind[0] == "N":
         return 29
     if c in ".,":
@@ -44,7 +60,7 @@ def _class_of(c: str) -> int:
         return 31
     if kind[0] in "SP":
         return 33
-    return 34 if kind[0] in "LM" else 35
+    return (34, 38, 39)[ord(c) % 3] if kind[0] in "LM" else 35
 
 
 _TABLE = np.array([_class_of(chr(i)) if not 0xD800 <= i < 0xE000 else 35 for i in range(0x10000)], dtype=np.uint8)
@@ -54,7 +70,7 @@ def symbols_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Symbols of UTF-8 rows and the rows' offsets into them; each row has white space before and after it."""
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     opens = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[off]
-    sym = np.where(points < 0x10000, _TABLE[np.minimum(points, 0xFFFF)], np.uint8(34))
+    sym = np.where(points < 0x10000, _TABLE[np.minimum(points, 0xFFFF)], (np.array([34, 38, 39], dtype=np.uint8))[points % 3])
     n = len(off) - 1
     out = np.zeros(len(sym) + (ORDER - 1 + 1) * n, dtype=np.int64)
     row = np.repeat(np.arange(n), np.diff(opens))
@@ -84,18 +100,18 @@ def gram_rows(raw: np.ndarray, off: np.ndarray):
         yield i, j, g, starts, ends - (ORDER - 1)
 
 
-def pool_of(lang: str | None) -> int:
-    return POOLS.index(lang) if lang in LANGUAGES else len(LANGUAGES)
+def pool_of(lang: str | None, languages: tuple[str, ...]) -> int:
+    return languages.index(lang) if lang in languages else len(languages)
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(pool, g, c): n-grams of ``docs(text, lang)`` in each language pool."""
+def count_grams(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(pool, g, c): n-grams of ``docs(text, lang)`` in each language's pool and that of the others."""
 
     def run(batches):
-        total = np.zeros((len(POOLS), SYMBOLS**ORDER), dtype=np.int32)
+        total = np.zeros((len(languages) + 1, SYMBOLS**ORDER), dtype=np.int32)
         for batch in batches:
             raw, off = text_buffers(batch.column(0))
-            pools = np.array([pool_of(x) for x in batch.column(1).to_pylist()])
+            pools = np.array([pool_of(x, languages) for x in batch.column(1).to_pylist()])
             for i, j, g, starts, ends in gram_rows(raw, off):
                 keep = np.zeros(len(g) + 1, dtype=np.int32)
                 np.add.at(keep, starts, 1)
@@ -148,11 +164,11 @@ def model_arrays(model: DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(t.column(c).to_numpy().astype(k) for c, k in (("n", np.int8), ("pool", np.int8), ("key", np.int32), ("value", np.float32)))
 
 
-def dense(arrays: tuple[np.ndarray, ...]) -> np.ndarray:
-    """log p of every n-gram in every pool, float32 of (pools, 36**4); a pool without text has the uniform law."""
+def dense(arrays: tuple[np.ndarray, ...], pools: int) -> np.ndarray:
+    """log p of every n-gram in every pool, float32 of (pools, 40**4); a pool without text has the uniform law."""
     n, pool, key, value = arrays
-    out = np.zeros((len(POOLS), SYMBOLS**ORDER), dtype=np.float32)
-    for p in range(len(POOLS)):
+    out = np.zeros((pools, SYMBOLS**ORDER), dtype=np.float32)
+    for p in range(pools):
         lower = np.full(1, 1.0 / SYMBOLS, dtype=np.float32)
         for k in range(1, ORDER + 1):
             here = (n == k) & (pool == p)

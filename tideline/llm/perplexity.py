@@ -3,38 +3,50 @@
 Trusted are documents labelled good and not toxic. Their character n-grams (order 4, see ``charlm``) are counted over
 whole texts and all trusted documents, so the model grows with the corpus until its alphabet is exhausted. Discounts,
 continuation counts and back-off weights come from count tables joined by (language, context). A document's perplexity
-is that of its language's model; it is kept if that is at most the language's ``quantile`` of the trusted documents.
+is that of its language's model; it is kept if that is at most the language's ``quantile`` of the trusted documents, to
+the next thousandth of its logarithm: quantiles are counted in such steps, over all trusted documents, and don't depend
+on how rows are dealt.
 
-Scores are looked up in a table whose size the alphabet bounds (36**4 entries a language) and which every task holds,
+Scores are looked up in a table whose size the alphabet bounds (40**4 entries a language) and which every task holds,
 rather than by shuffling each document's n-grams to their counts: that would move some 900 rows a document.
 
-Null or empty texts have no perplexity and aren't kept. A language outside the models' list shares one pooled model;
-without a threshold (no trusted text in its pool) all of its non-empty documents are kept. Repeated rows give repeated
-results; a document labelled more than once is trusted only if each label is good.
+Null or empty texts have no perplexity and aren't kept. Languages without a model of their own (see ``charlm``) and null
+share one pooled model; without a threshold (no trusted text in its pool) all of a pool's non-empty documents are kept.
+Repeated rows and null ids give results row by row, null ids are never trusted; a document labelled more than once is
+trusted only if each label is good; a perplexity equal to the threshold is kept. Texts are scored whole, however long;
+empty tables give no rows, without labels every non-empty document is kept; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .charlm import POOLS, count_grams, dense, gram_rows, kneser_ney, model_arrays, pool_of
+from .charlm import OTHER, count_grams, declared_language, dense, gram_rows, kneser_ney, languages_of, model_arrays, pool_of
 from .common import bare, discard, read, stored, text_buffers
 
 QUANTILE = 0.995
 
-_dense: dict[int, np.ndarray] = {}
+_dense: dict[str, np.ndarray] = {}
+
+
+def shared_model(model: DataFrame, pools: int):
+    """The model as a broadcast, under a name of its own, as workers outlive jobs and keep tables that they built."""
+    return model.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model_arrays(model), pools))
 
 
 def dense_of(shared) -> np.ndarray:
     """The worker's table of a broadcast model, built once."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _dense:
+    name, arrays, pools = shared.value
+    if name not in _dense:
         _dense.clear()
-        _dense[key] = dense(shared.value)
-    return _dense[key]
+        _dense[name] = dense(arrays, pools)
+    return _dense[name]
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -43,35 +55,45 @@ def trusted(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
 
 
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, model: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """(doc_id, pool, perplexity) of every row of ``docs(doc_id, text, lang)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model_arrays(model))
+    shared, names = shared_model(model, len(languages) + 1), [*languages, OTHER]
 
     def run(batches):
         table = dense_of(shared)
         for batch in batches:
             raw, off = text_buffers(batch.column(1))
-            pools = np.array([pool_of(x) for x in batch.column(2).to_pylist()], dtype=np.int32)
+            pools = np.array([pool_of(x, languages) for x in batch.column(2).to_pylist()], dtype=np.int32)
             out = np.full(len(pools), np.nan)
             for i, j, g, starts, ends in gram_rows(raw, off):
                 for r, (a, b) in enumerate(zip(starts, ends, strict=True), i):
                     if off[r] < off[r + 1]:
                         out[r] = np.exp(-table[pools[r]][g[a:b]].mean(dtype=np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([POOLS[p] for p in pools], pa.string()), pa.array(out, pa.float64(), mask=np.isnan(out))], names=["doc_id", "pool", "perplexity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[p] for p in pools], pa.string()), pa.array(out, pa.float64(), mask=np.isnan(out))], names=["doc_id", "pool", "perplexity"])
 
     return docs.mapInArrow(run, "doc_id bigint, pool string, perplexity double")
 
 
+def quantiles(values: DataFrame, quantile: float) -> DataFrame:
+    """(pool, threshold) of ``values(pool, perplexity)``: the least step of a thousandth (of the logarithm) that has so large a
+    share of a pool's values at or below it."""
+    steps = values.where("perplexity is not null").select("pool", F.ceil(F.log("perplexity") * 1000 - 1e-9).alias("step")).groupBy("pool", "step").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("pool").orderBy("step")  # some thousand steps, whatever the number of rows
+    ranked = steps.withColumn("below", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("pool")))
+    return ranked.where(F.col("below") >= quantile * F.col("all")).groupBy("pool").agg(F.exp(F.min("step") / 1000 + 1e-9).alias("threshold"))
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, pool, perplexity, threshold, kept) of every row of ``docs(doc_id, text, lang)``."""
-    own = bare(docs, doc_id="bigint", text="string", lang="string")
+    own = bare(docs, doc_id="bigint", text="string", lang="string").withColumn("lang", declared_language(F.col("lang")))
+    languages = languages_of(own)
     good = stored(trusted(labels), "trusted")
     learned = own.join(good.hint("merge"), "doc_id", "left_semi")  # the trusted grow with the corpus: no broadcast at any size
-    grams = stored(count_grams(learned), "grams")
+    grams = stored(count_grams(learned, languages), "grams")
     model = stored(kneser_ney(grams), "kneser-ney")
-    scored = stored(perplexities(own, model), "perplexity")
-    discard(grams, model)
-    limits = scored.join(good, "doc_id", "left_semi").groupBy("pool").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    scored = stored(perplexities(own, model, languages), "perplexity")
+    limits = stored(quantiles(scored.join(good, "doc_id", "left_semi"), quantile), "limits")
+    discard(grams, model, good)
     joined = scored.join(F.broadcast(limits), "pool", "left")  # a row for each pool
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select("doc_id", "pool", "perplexity", "threshold", kept.alias("kept"))
