@@ -95,6 +95,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_long_words_that_a_polynomial_confuses(spark):
+    """A Thue-Morse word and its complement: equal under any polynomial modulo 2**64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(1, a), (2, b), (3, a.upper())], "doc_id bigint, text string")
+    assert found(df, k=3, percent=85) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "WEIGHT", 8)
+    rows = [(k, f"c{c}", bytes([c, k]), bytes(8), 16) for k in range(2) for c in range(40)]
+    df = spark.createDataFrame([(k, c, bytearray(x), bytearray(s), w) for k, c, x, s, w in rows], "key bigint, comp string, cls binary, sig binary, weight bigint")
+    sizes = near_dedup._blocks(df, ["cls"]).groupBy("key", "x", "y").count().collect()
+    assert max(r["count"] for r in sizes) <= 12  # of weight 16 each, where a block may hold 16
+
+
+def test_classes_of_texts(spark, corpus):
+    df = spark.createDataFrame([*corpus[:60], *corpus[100:112]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = df.select("text", near_dedup.class_of(F.col("text"), 5).alias("c")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.c and bytes(r.c), set()).add(shingles(r.text, 5))
+    assert all(len(v) == 1 for v in by.values()) and by[None] == {frozenset()}
+
+
 def test_words_and_shingles():
     texts = ["A b  c", "", "one", "x\x0by\x1cz é", " lead", "trail \n"]
     raw = "".join(texts).encode()

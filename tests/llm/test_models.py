@@ -168,14 +168,14 @@ def plain_model(symbols):
 def test_model_equals_the_textbook(spark):
     texts = ["the cat sat on the mat", "the dog!", "", "a cat and a dog sat", "Ünï cödé 12, 13."]
     df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    table = charlm.dense(charlm.model_arrays(charlm.kneser_ney(charlm.count_grams(df))))
+    table = charlm.dense(charlm.model_arrays(charlm.kneser_ney(charlm.count_grams(df, ("de", "en")))), 3)
     lists = []
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         sym, bounds = charlm.symbols_of(raw, np.array([0, len(raw)]))
         lists.append(list(map(int, sym[: bounds[1]])))
     counts, p = plain_model(lists)
-    en = charlm.POOLS.index("en")
+    en = 1
     for g in [*counts, (1, 2, 3, 4), (0, 0, 0, 20), (5, 0, 3, 1)]:
         at = sum(s * charlm.SYMBOLS ** (3 - i) for i, s in enumerate(g))
         assert abs(table[en][at] - math.log(p(g))) < 1e-4, g
@@ -199,6 +199,40 @@ def test_junk_has_high_perplexity(spark, clashing, corpus):
     assert perplexity.quality_classifier(docs.limit(0), labels).count() == 0
 
 
+def test_perplexity_and_verdicts_equal_the_plain_model(spark):
+    """Perplexities by the textbook's model, thresholds by sorting, other scripts and a language of its own."""
+    rnd = random.Random(9)
+    pools = {"en": ["the", "and", "cat", "mat", "sat"], "ru": ["мир", "дом", "река", "лес", "это"], "zh": ["天气", "公园", "孩子", "草地"]}
+    rows = [(i, " ".join(rnd.choice(pools[x]) for _ in range(12)), x) for i, x in enumerate(["en", "ru", "zh"] * 12)]
+    rows += [(100, "".join(rnd.sample("абвгдежзиклмнопрсту", 15)), "ru"), (101, "", "ru"), (102, "cat!", "en-GB"), (103, "мир", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = docs.where("doc_id < 30").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = {r.doc_id: r for r in perplexity.quality_classifier(docs, labels, 0.9).collect()}
+
+    def symbols(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        sym, bounds = charlm.symbols_of(raw, np.array([0, len(raw)]))
+        return list(map(int, sym[: bounds[1]]))
+
+    want = {}
+    for lang in pools:
+        _, p = plain_model([symbols(t) for i, t, x in rows if x == lang and i < 30])
+        for i, t, x in rows:
+            if (x or "")[:2] == lang and t:
+                s = symbols(t)
+                n = len(s) - 3
+                want[i] = math.exp(-sum(math.log(p(tuple(s[j : j + 4]))) for j in range(n)) / n)
+        trusted = sorted(v for i, v in want.items() if i < 30 and rows[i][2] == lang)
+        limit = trusted[math.ceil(0.9 * len(trusted)) - 1]
+        for i, v in want.items():
+            if got[i].pool == lang:
+                assert abs(got[i].perplexity / v - 1) < 1e-3
+                if abs(v / limit - 1) > 0.003:
+                    assert got[i].kept == (v < limit), i
+    assert len(want) == 38 and got[100].perplexity > 1.5 * got[1].perplexity
+    assert not got[101].kept and got[103].pool == "other" and got[103].kept
+
+
 # -- language identification -----------------------------------------------------------------------------------------------
 def test_evidence_is_fused(spark):
     rnd = random.Random(2)
@@ -220,6 +254,45 @@ def test_evidence_is_fused(spark):
     assert language.identify_language(empty, spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_fused_posteriors_equal_the_plain_product(spark):
+    rnd = random.Random(5)
+    langs = ("aa", "bb", "cc")
+    rows = [(i, None, rnd.choice(["aa", "bb", "", "zz", None]), rnd.choice(["a.x.com", "b.x.com", "y.org", ""]), *[-abs(rnd.gauss(0, 3)) for _ in langs]) for i in range(60)]
+    rows += [rows[0], (60, None, "aa", "y.org", 0.0, 0.0, 0.0)]
+    scored = spark.createDataFrame(rows, "doc_id bigint, page_id bigint, declared string, host string, ll_aa double, ll_bb double, ll_cc double")
+    soft = [[math.exp(x) / sum(map(math.exp, r[4:])) for x in r[4:]] for r in rows]
+
+    def share(chosen, parents):
+        n = len(chosen)
+        return [(sum(s[k] for s in chosen) + language.STRENGTH * parents[k]) / (n + language.STRENGTH) for k in range(3)]
+
+    total = [sum(s[k] for s in soft) for k in range(3)]
+    top = [(t + language.SMOOTH) / (len(rows) + 3 * language.SMOOTH) for t in total]
+    part = lambda host, n: ".".join(host.split(".")[-n:])
+    want = {}
+    for r in rows:
+        of = lambda n: [s for s, q in zip(soft, rows, strict=True) if part(q[3], n) == part(r[3], n)]  # noqa: B023, E731
+        prior = share([s for s, q in zip(soft, rows, strict=True) if q[3] == r[3]], share(of(2), share(of(1), top)))  # noqa: B023
+        said = [s for s, q in zip(soft, rows, strict=True) if (q[2] or "") == (r[2] or "")]
+        post = [math.exp(r[4 + k]) * (sum(s[k] for s in said) + language.SMOOTH) / (total[k] + language.SMOOTH) * prior[k] for k in range(3)]
+        want[r[0]] = (langs[max(range(3), key=lambda k: post[k])], max(post) / sum(post))  # noqa: B023
+    got = language.fuse(scored, langs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang == want[r.doc_id][0] and abs(r.confidence - want[r.doc_id][1]) < 1e-5
+
+
+def test_held_out_languages(spark):
+    """Trained on some documents, judged on others without declaration or a host of their own; five languages."""
+    rnd = random.Random(7)
+    syllables = {"en": ["the", "and", "wh", "ing", "sh"], "de": ["sch", "ung", "der", "ein", "keit"], "it": ["zione", "gli", "che", "are", "tta"], "ru": ["ство", "ани", "что", "пере", "ого"], "zh": ["天", "气", "公", "园", "草"]}
+    text = lambda x: " ".join("".join(rnd.choice(syllables[x]) for _ in range(2)) for _ in range(25))
+    names = list(syllables)
+    docs = [(i, text(names[i % 5]), names[i % 5] if i < 200 else None, "s") for i in range(400)]
+    got = language.identify_language(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"), spark.createDataFrame([], "page_id bigint, url string, html string")).collect()
+    assert sum(r.lang == names[r.doc_id % 5] for r in got if r.doc_id >= 200) >= 196
+
+
 # -- URLs --------------------------------------------------------------------------------------------------------------------
 def plain_url(url, rules):
     host = path = ""

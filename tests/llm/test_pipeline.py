@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideline.llm import secrets
 from tideline.llm.common import stored
 
-from .test_dedup_and_leaks import plain_groups
+from .test_dedup_and_leaks import shingles
 
 
 def small(spark, folder, docs):
@@ -52,11 +52,34 @@ def test_secrets_leave_the_texts(spark, rows):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out)
 
 
-def test_duplicates_stage_keeps_the_least_of_each_group(spark, corpus, docs):
-    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").where("doc_id is not null").select("doc_id").collect())
-    groups = plain_groups(corpus, 5, 80)
-    gone = {i for i, _, least in groups if i != least}
-    assert got == sorted({i for i, _, _ in groups} - gone)
+def test_duplicates_stage_keeps_one_of_each_group(spark, corpus, docs):
+    """Also of rows that share a doc_id: rows with other texts are documents of their own."""
+    got = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.near_dedup(spark, docs, "").where("doc_id is not null").collect())
+    known = [r for r in corpus if r[0] is not None]
+    sets, want = [shingles(t, 5) for _, t, *_ in known], set()
+    linked = lambda a, b: a == b or (bool(a and b) and 5 * len(a & b) >= 4 * len(a | b))
+    for n, (i, _, *_) in enumerate(known):
+        group, todo = {n}, [n]
+        while todo:
+            x = todo.pop()
+            fresh = {m for m in range(len(known)) if m not in group and linked(sets[x], sets[m]) and (sets[x] or known[m][0] == i)}
+            group |= fresh
+            todo += fresh
+        if i == min(known[m][0] for m in group):
+            want.add((i, min((known[m][1] or "") for m in group if known[m][0] == i)))
+    assert got == sorted(want)
+    assert len([1 for i, _ in got if i == 7]) == 2  # two texts under one id
+
+
+def test_a_run_leaves_only_its_result(spark, tmp_path, rows):
+    import os
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "'s' as source", "length(text) as n_chars")
+    small(spark, str(tmp_path), docs)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+    assert len(set(os.listdir(folder)) - before) == 1
 
 
 def test_run_over_empty_documents(spark, tmp_path, rows):

@@ -83,7 +83,7 @@ def test_shared_prefixes_are_computed_once(ranks):
     counter = TrieCounter(scores)
     tokens = ["".join(rnd.choice("abcdeé nst") for _ in range(rnd.randint(1, 12))) for _ in range(300)]
     for t in tokens:
-        assert counter.count(t) == best_split(scores, t.encode())
+        assert counter[t] == best_split(scores, t.encode())
     assert counter.computed == len({t.encode()[:k] for t in tokens for k in range(1, len(t.encode()) + 1)})
 
 
@@ -91,7 +91,22 @@ def test_counts_do_not_depend_on_the_memory_bound(ranks):
     scores = zipf_scores(ranks)
     small, large = TrieCounter(scores, most=20), TrieCounter(scores)
     for t in ["hello", "help", " hello", "world", "wörld"] * 3:
-        assert small.count(t) == large.count(t)
+        assert small[t] == large[t]
+
+
+def test_long_pre_tokens_stay_out_of_the_trie(ranks):
+    import tracemalloc
+
+    scores, rnd = zipf_scores(ranks), random.Random(8)
+    counter, short = TrieCounter(scores), TrieCounter(scores, long=0)
+    for _ in range(200):
+        t = "".join(rnd.choice("abcdeé nst中") for _ in range(rnd.randint(1, 300)))
+        assert short[t] == counter[t] == short.pass_through(t.encode())
+    assert short.computed == 0
+    tracemalloc.start()
+    assert counter["ab" * 1_000_000] > 0
+    assert tracemalloc.get_traced_memory()[1] < 30e6  # the trie of 2 MB would take 600 MB
+    tracemalloc.stop()
 
 
 def test_token_counts_over_a_table(spark, corpus, clashing, ranks):
@@ -142,11 +157,44 @@ def test_checksums_decide():
     b64 = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     assert [s[2] for s in secrets.find_secrets(f"{b64({'alg': 'HS256', 'typ': 'JWT'})}.{b64({'a': 1})}.c2ln")] == ["jwt"]
     assert secrets.find_secrets("eyJabc.def.ghi") == []
-    key = base64.b64encode(b"\x30\x82" + b"x" * 40).decode()
+    key = base64.b64encode(b"\x30\x81\xc8" + b"x" * 200).decode()
     pem = f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----"
     assert secrets.find_secrets("a " + pem) == [(2, 2 + len(pem), "pem_key")]
 
 
+def test_embedded_checksums_of_keys():
+    def base58(raw):
+        n, out = int.from_bytes(raw, "big"), ""
+        while n:
+            n, r = divmod(n, 58)
+            out = chr(secrets.BASE58[r]) + out
+        return out
+
+    payload = bytes.fromhex("0488ade4") + bytes(range(74))
+    key = base58(payload + hashlib.sha256(hashlib.sha256(payload).digest()).digest()[:4])
+    assert secrets.find_secrets(f"key {key} ") == [(4, 4 + len(key), "xprv")]
+    assert secrets.find_secrets(key[:50] + ("a" if key[50] != "a" else "b") + key[51:]) == []
+    data = [i % 32 for i in range(52)]
+    rest = secrets.bech32_rest(b"AGE-SECRET-KEY-", [*data, *[0] * 6]) ^ 1
+    age = "AGE-SECRET-KEY-1" + "".join(chr(secrets.BECH32[v]) for v in [*data, *(rest >> 5 * (5 - i) & 31 for i in range(6))])
+    assert secrets.find_secrets("é" + age) == [(1, 1 + len(age), "age_key")]
+    assert secrets.find_secrets(age[:-1] + ("Q" if age[-1] != "Q" else "P")) == []
+    import base64
+
+    short = base64.b64encode(b"\x30\x81\xc8" + b"x" * 199).decode()
+    assert secrets.find_secrets(f"-----BEGIN PRIVATE KEY-----{short}-----END PRIVATE KEY-----") == []
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJa.", "token ", "token=", "AKIA", "ghp_", "-----BEGIN ", "-----BEGIN A", "xprv", "age-secret-key-1", "secret:'", "a1"])
+def test_hostile_texts_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    secrets.find_secrets(piece * (500_000 // len(piece)))
+    secrets.find_secrets(piece + "A" * 200_000 + piece * 50_000)
+    assert time.process_time() - start < 8
+
+
 def test_redaction():
     text = 'my password = "abcdefgh" and token: 0123456789abcdef0123456789abcdef end'
     assert secrets.redact(text, secrets.find_secrets(text)) == 'my [SECRET]" and [SECRET] end'
