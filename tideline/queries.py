@@ -551,18 +551,6 @@ def ext_join_left(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
 
 
-@_frame("ext_join_right", "select o_orderkey, c_name from (select * from customer where c_custkey < 50) right join orders on c_custkey = o_custkey")
-def ext_join_right(spark, d):
-    c, o = _table(spark, d, "customer").where("c_custkey < 50"), _table(spark, d, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "right").select("o_orderkey", "c_name")
-
-
-@_frame("ext_join_full", "select c_custkey, s_suppkey from (select * from customer where c_custkey < 20) full join (select * from supplier where s_suppkey > 3) on c_custkey = s_suppkey")
-def ext_join_full(spark, d):
-    c, s = _table(spark, d, "customer").where("c_custkey < 20"), _table(spark, d, "supplier").where("s_suppkey > 3")
-    return c.join(s, c.c_custkey == s.s_suppkey, "full").select("c_custkey", "s_suppkey")
-
-
 @_frame("ext_join_right_all", "select o_orderkey, c_name from customer right join orders on c_custkey = o_custkey")
 def ext_join_right_all(spark, d):
     c, o = _table(spark, d, "customer"), _table(spark, d, "orders")
@@ -593,13 +581,6 @@ def ext_join_anti(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
-@_frame("ext_join_range", "select p_partkey, b.lo from part join (select p_size as lo, p_size + 5 as hi from part where p_partkey % 10 = 0) b on p_retailprice % 60 >= b.lo and p_retailprice % 60 < b.hi")
-def ext_join_range(spark, d):
-    p = _table(spark, d, "part")
-    ranges = p.where("p_partkey % 10 = 0").select(F.col("p_size").alias("lo"), (F.col("p_size") + 5).alias("hi"))
-    return X.range_join(p.select("p_partkey", (F.col("p_retailprice") % 60).alias("x")), ranges, "x", "lo", "hi", 5).select("p_partkey", "lo")
-
-
 @_frame("ext_join_range_all", "select p_partkey, b.lo from part join (select p_size as lo, p_size + 5 as hi from part) b on p_retailprice % 60 >= b.lo and p_retailprice % 60 < b.hi")
 def ext_join_range_all(spark, d):
     p = _table(spark, d, "part")
@@ -727,20 +708,6 @@ def ext_udf(spark, d):
     return _table(spark, d, "part").select("p_partkey", square_plus_one("p_size").alias("y"))
 
 
-@_frame("ext_udtf", "select o_orderkey, p as part from orders, unnest(string_split(o_orderpriority, '-')) as t(p) where o_orderkey < 500")
-def ext_udtf(spark, d):
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="part string")
-    class Parts:
-        def eval(self, text: str):
-            for p in (text or "").split("-"):
-                yield (p,)
-
-    spark.udtf.register("parts_of", Parts)
-    return spark.sql("select o_orderkey, part from {o}, lateral parts_of(o_orderpriority)", o=_table(spark, d, "orders").where("o_orderkey < 500"))
-
-
 @_frame("ext_udtf_all", "select o_orderkey, p as part from orders, unnest(string_split(o_orderpriority, '-')) as t(p)")
 def ext_udtf_all(spark, d):
     from pyspark.sql.functions import udtf
