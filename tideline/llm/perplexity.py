@@ -8,7 +8,8 @@ the next thousandth of its logarithm: quantiles are counted in such steps, over
 on how rows are dealt.
 
 Scores are looked up in a table whose size the alphabet bounds (40**4 entries a language) and which every task holds,
-rather than by shuffling each document's n-grams to their counts: that would move some 900 rows a document.
+rather than by shuffling each document's n-grams to their counts: measured, that moves 1159 rows a document,
+4.9 times the input.
 
 Null or empty texts have no perplexity and aren't kept. Languages without a model of their own (see ``charlm``) and null
 share one pooled model; without a threshold (no trusted text in its pool) all of a pool's non-empty documents are kept.
