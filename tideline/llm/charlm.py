@@ -1,6 +1,6 @@
 """Character n-gram counts and interpolated modified Kneser-Ney models over a fixed alphabet.
 
-Characters fall into 40 symbols: white space, 26 lower-case ASCII letters, and classes for capitals, digits, clause marks,
+In ``CLASSES`` characters fall into 40 symbols: white space, 26 lower-case ASCII letters, and classes for capitals, digits, clause marks,
 other punctuation, ``!``, symbols and the rest; other lower-case letters and letters without case fall into three
 classes each, by their code points, so that order within words tells text from noise in any script. So an n-gram is a
 number below 40**n, and a model of order 4 has at most 40**4 + 40**3 + 40**2 + 40 entries per language: a bound that no
@@ -13,6 +13,9 @@ The languages are those that the documents declare, by grouped aggregation over
 from __future__ import annotations
 
 import unicodedata
+import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +66,25 @@ def _class_of(c: str) -> int:
     return (34, 38, 39)[ord(c) % 3] if kind[0] in "LM" else 35
 
 
+class Alphabet(NamedTuple):
+    """``size`` symbols; ``of`` maps code points to them, white space to 0. A number of ORDER symbols fits 63 bits."""
+
+    size: int
+    of: Callable[[np.ndarray], np.ndarray]
+
+
 _TABLE = np.array([_class_of(chr(i)) if not 0xD800 <= i < 0xE000 else 35 for i in range(0x10000)], dtype=np.uint8)
 
 
-def symbols_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+_CASELESS = np.array([34, 38, 39], dtype=np.uint8)
+CLASSES = Alphabet(SYMBOLS, lambda points: np.where(points < 0x10000, _TABLE[np.minimum(points, 0xFFFF)], _CASELESS[points % 3]))
+
+
+def symbols_of(raw: np.ndarray, off: np.ndarray, alphabet: Alphabet = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of UTF-8 rows and the rows' offsets into them; each row has white space before and after it."""
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     opens = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[off]
-    sym = np.where(points < 0x10000, _TABLE[np.minimum(points, 0xFFFF)], (np.array([34, 38, 39], dtype=np.uint8))[points % 3])
+    sym = alphabet.of(points)
     n = len(off) - 1
     out = np.zeros(len(sym) + (ORDER - 1 + 1) * n, dtype=np.int64)
     row = np.repeat(np.arange(n), np.diff(opens))
@@ -78,23 +92,23 @@ def symbols_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, opens + np.arange(n + 1) * ORDER
 
 
-def grams_of(sym: np.ndarray) -> np.ndarray:
+def grams_of(sym: np.ndarray, size: int = SYMBOLS) -> np.ndarray:
     """The n-gram that ends at each position from ORDER - 1 on."""
     g = np.zeros(max(0, len(sym) - ORDER + 1), dtype=np.int64)
     for j in range(ORDER):
-        g = g * SYMBOLS + sym[j : len(sym) - ORDER + 1 + j]
+        g = g * size + sym[j : len(sym) - ORDER + 1 + j]
     return g
 
 
-def gram_rows(raw: np.ndarray, off: np.ndarray):
+def gram_rows(raw: np.ndarray, off: np.ndarray, alphabet: Alphabet = CLASSES):
     """Per chunk of rows: (first row, last row, n-grams of the chunk, bounds of each row's n-grams).
 
     A row of n characters has n + 1 n-grams, each character's and the closing white space's; an empty row has none
     worth counting but keeps its one.
     """
     for i, j in batches_of(off):
-        sym, bounds = symbols_of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-        g = grams_of(sym)
+        sym, bounds = symbols_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], alphabet)
+        g = grams_of(sym, alphabet.size)
         ends = bounds[1:]
         starts = bounds[:-1]
         yield i, j, g, starts, ends - (ORDER - 1)
@@ -131,7 +145,7 @@ def count_grams(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     return part.groupBy("pool", "g").agg(F.sum("c").alias("c"))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def kneser_ney(counts: DataFrame, size: int = SYMBOLS) -> DataFrame:
     """(n, pool, key, alpha, gamma): what modified Kneser-Ney smoothing needs, from ``counts(pool, g, c)``.
 
     Of order n, ``key`` is an n-gram with its discounted share ``alpha`` of the context, or, negative, -1 - context with
@@ -140,7 +154,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """
     levels, level = [], counts.select("pool", F.col("g").cast("bigint").alias("g"), "c")
     for n in range(ORDER, 0, -1):
-        own = level.withColumn("ctx", F.expr(f"g div {SYMBOLS}"))
+        own = level.withColumn("ctx", F.expr(f"g div {size}"))
         of = own.groupBy("pool").agg(*[F.sum((F.col("c") == k).cast("bigint")).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
         cut = lambda a, b, k: F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(b) / F.greatest(F.col(a), F.lit(1.0))))
@@ -151,7 +165,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         discount = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         alpha = own.join(ctx, ["pool", "ctx"]).select(F.lit(n).alias("n"), "pool", F.col("g").alias("key"), ((F.col("c") - discount) / F.col("total")).alias("value"))
         levels += [alpha, ctx.select(F.lit(n).alias("n"), "pool", (-1 - F.col("ctx")).alias("key"), gamma.alias("value"))]
-        level = level.groupBy("pool", F.expr(f"g % {SYMBOLS ** (n - 1)}").alias("g")).agg(F.count(F.lit(1)).alias("c"))
+        level = level.groupBy("pool", F.expr(f"g % {size ** (n - 1)}L").alias("g")).agg(F.count(F.lit(1)).alias("c"))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionAll(x)
@@ -164,6 +178,23 @@ def model_arrays(model: DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(t.column(c).to_numpy().astype(k) for c, k in (("n", np.int8), ("pool", np.int8), ("key", np.int32), ("value", np.float32)))
 
 
+_dense: dict[str, np.ndarray] = {}
+
+
+def shared_model(model: DataFrame, pools: int):
+    """The model as a broadcast, under a name of its own, as workers outlive jobs and keep tables that they built."""
+    return model.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model_arrays(model), pools))
+
+
+def dense_of(shared) -> np.ndarray:
+    """The worker's table of a broadcast model, built once."""
+    name, arrays, pools = shared.value
+    if name not in _dense:
+        _dense.clear()
+        _dense[name] = dense(arrays, pools)
+    return _dense[name]
+
+
 def dense(arrays: tuple[np.ndarray, ...], pools: int) -> np.ndarray:
     """log p of every n-gram in every pool, float32 of (pools, 40**4); a pool without text has the uniform law."""
     n, pool, key, value = arrays

@@ -46,6 +46,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_in_buckets(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """As ``stored``, dealt by ``column`` without a shuffle: joins and groups by it read the table where it lies."""
+    spark = df.sparkSession
+    table = f"tideline_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at, out.stored_as = path, table
+    _written.append(out)
+    return out
+
+
 def stored_whole(make, name: str) -> DataFrame:
     """The table that ``make()`` describes, stored; tables stored on the way there are removed, as nothing reads them any more."""
     before = len(_written)
@@ -57,6 +69,8 @@ def stored_whole(make, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Removes tables that ``stored`` wrote and that no later result reads."""
     for t in tables:
+        if hasattr(t, "stored_as"):
+            t.sparkSession.sql(f"drop table if exists {t.stored_as}")
         p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
         p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
     gone = {t.stored_at for t in tables}

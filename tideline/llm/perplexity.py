@@ -1,15 +1,17 @@
 """Operator 5: quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Trusted are documents labelled good and not toxic. Their character n-grams (order 4, see ``charlm``) are counted over
-whole texts and all trusted documents, so the model grows with the corpus until its alphabet is exhausted. Discounts,
-continuation counts and back-off weights come from count tables joined by (language, context). A document's perplexity
-is that of its language's model; it is kept if that is at most the language's ``quantile`` of the trusted documents, to
-the next thousandth of its logarithm: quantiles are counted in such steps, over all trusted documents, and don't depend
-on how rows are dealt.
-
-Scores are looked up in a table whose size the alphabet bounds (40**4 entries a language) and which every task holds,
-rather than by shuffling each document's n-grams to their counts: measured, that moves 1159 rows a document,
-4.9 times the input.
+Trusted are documents labelled good and not toxic. N-grams are of order 4 over characters as they stand, of any script
+(white space counts as one character, digits as another, code points from ``FOLD`` on share the symbols above it), and
+are counted over whole texts and all trusted documents, so the model grows with the corpus. A document's perplexity is
+that of its language's model; it is kept if that is at most the language's ``quantile`` of the trusted documents, to the
+next thousandth of its logarithm: quantiles are counted in such steps, over all trusted documents, and don't depend on
+how rows are dealt.
+
+Counts and scores meet as tables, sharded by n-gram or context; no task and no driver holds a model. What moves is not
+each document's n-grams but those of blocks of some ``BLOCK`` bytes of text, each once: documents are written in blocks,
+bucketed by them; a block asks for its distinct n-grams (which also carry their counts in the block's trusted texts), the
+shares of all n-grams asked for are computed once, order by order, and the answers go back to the block, whose texts are
+read where they lie and scored. Texts themselves are never shuffled.
 
 Null or empty texts have no perplexity and aren't kept. Languages without a model of their own (see ``charlm``) and null
 share one pooled model; without a threshold (no trusted text in its pool) all of a pool's non-empty documents are kept.
@@ -21,33 +23,25 @@ names.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .charlm import OTHER, count_grams, declared_language, dense, gram_rows, kneser_ney, languages_of, model_arrays, pool_of
-from .common import bare, discard, read, stored, text_buffers
+from .charlm import ORDER, OTHER, Alphabet, declared_language, gram_rows, kneser_ney, languages_of, pool_of
+from .common import bare, discard, read, stored, stored_in_buckets, text_buffers
 
 QUANTILE = 0.995
+BLOCK = 1 << 24  # bytes of text that ask for their n-grams together; a longer text stands with what is left of its block
+MOST_BUCKETS = 100_000  # the most that Spark allows
+FOLD, SIZE = 54_000, 55_000  # SIZE**4 < 2**63
 
-_dense: dict[str, np.ndarray] = {}
-
-
-def shared_model(model: DataFrame, pools: int):
-    """The model as a broadcast, under a name of its own, as workers outlive jobs and keep tables that they built."""
-    return model.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model_arrays(model), pools))
-
-
-def dense_of(shared) -> np.ndarray:
-    """The worker's table of a broadcast model, built once."""
-    name, arrays, pools = shared.value
-    if name not in _dense:
-        _dense.clear()
-        _dense[name] = dense(arrays, pools)
-    return _dense[name]
+_PLAIN = np.arange(FOLD, dtype=np.int64)
+_PLAIN[[i for i in range(FOLD) if chr(i).isspace()]] = 0
+_PLAIN[48:58] = 48
+CHARACTERS = Alphabet(SIZE, lambda points: np.where(points < FOLD, _PLAIN[np.minimum(points, FOLD - 1)], FOLD + points.astype(np.int64) % (SIZE - FOLD)))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -56,23 +50,110 @@ def trusted(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
 
 
-def perplexities(docs: DataFrame, model: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(doc_id, pool, perplexity) of every row of ``docs(doc_id, text, lang)``."""
-    shared, names = shared_model(model, len(languages) + 1), [*languages, OTHER]
+def blocks(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(block, doc_id, pool, text) of ``docs(doc_id, text, lang)``: a block is consecutive rows of one task."""
 
     def run(batches):
-        table = dense_of(shared)
+        first, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            raw, off = text_buffers(batch.column(1))
-            pools = np.array([pool_of(x, languages) for x in batch.column(2).to_pylist()], dtype=np.int32)
-            out = np.full(len(pools), np.nan)
-            for i, j, g, starts, ends in gram_rows(raw, off):
-                for r, (a, b) in enumerate(zip(starts, ends, strict=True), i):
-                    if off[r] < off[r + 1]:
-                        out[r] = np.exp(-table[pools[r]][g[a:b]].mean(dtype=np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([names[p] for p in pools], pa.string()), pa.array(out, pa.float64(), mask=np.isnan(out))], names=["doc_id", "pool", "perplexity"])
-
-    return docs.mapInArrow(run, "doc_id bigint, pool string, perplexity double")
+            text = pc.fill_null(batch.column(1), "")
+            ends = held + np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.concatenate(([held], ends))
+            held = int(starts[-1])
+            pools = pa.array([pool_of(x, languages) for x in batch.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(first + starts[:-1] // BLOCK), batch.column(0), pools, text], names=["block", "doc_id", "pool", "text"])
+
+    return docs.mapInArrow(run, "block bigint, doc_id bigint, pool int, text string")
+
+
+def _chunks(table: pa.Table):
+    """Per chunk of a block's texts: (rows, each n-gram's row, n-grams, each n-gram's pool), empty texts without n-grams."""
+    raw, off = text_buffers(table["text"])
+    pools = table["pool"].to_numpy()
+    for i, j, g, starts, ends in gram_rows(raw, off, CHARACTERS):
+        row = np.repeat(np.arange(j - i), np.diff(np.append(starts, len(g))))
+        inside = (np.arange(len(g)) < ends[row]) & (np.diff(off[i : j + 1]) > 0)[row]
+        row = row[inside] + i
+        yield slice(i, j), row, g[inside], pools[row]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(keys, return_inverse=True)
+    return own, np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
+
+
+def requests(texts: DataFrame, good: DataFrame) -> DataFrame:
+    """(block, pool, g, c): each block's n-grams and their counts in its trusted texts, of ``good(block, doc_id)``."""
+
+    def run(texts: pa.Table, good: pa.Table) -> pa.Table:
+        ids = texts["doc_id"]
+        trust = pc.fill_null(pc.is_in(ids, value_set=good["doc_id"].combine_chunks()), False).to_numpy().astype(np.float64) if len(good) else np.zeros(len(ids))
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for _, row, g, pool in _chunks(texts):
+            for p in np.unique(pool).tolist():
+                of = pool == p
+                keys, counts = _summed(g[of], trust[row[of]])
+                if p in held:
+                    keys, counts = _summed(np.concatenate((held[p][0], keys)), np.concatenate((held[p][1], counts)))
+                held[p] = keys, counts
+        n = sum(len(k) for k, _ in held.values())
+        block = texts["block"][0].as_py() if len(texts) else 0
+        nothing = np.zeros(0, dtype=np.int64)
+        return pa.table(
+            {
+                "block": pa.array(np.full(n, block, dtype=np.int64)),
+                "pool": pa.array(np.concatenate([nothing, *[np.full(len(k), p) for p, (k, _) in held.items()]]).astype(np.int32)),
+                "g": pa.array(np.concatenate([nothing, *[k for k, _ in held.values()]])),
+                "c": pa.array(np.concatenate([nothing, *[c for _, c in held.values()]])),
+            }
+        )
+
+    return texts.groupBy("block").cogroup(good.groupBy("block")).applyInArrow(run, "block bigint, pool int, g bigint, c bigint")
+
+
+def shares(seen: DataFrame, model: DataFrame) -> DataFrame:
+    """(pool, g, p): the interpolated probability of each n-gram of ``seen(pool, g)``, order by order from the uniform law.
+
+    ``model`` has the rows of ``kneser_ney``; an n-gram it lacks has its context's weight of the order below, and all of
+    that where it lacks the context too.
+    """
+    lower = None
+    for n in range(1, ORDER + 1):
+        need = seen.select("pool", "g") if n == ORDER else seen.select("pool", F.expr(f"g % {SIZE**n}L").alias("g")).distinct()
+        of = model.where(F.col("n") == n)
+        alpha = of.where("key >= 0").select("pool", F.col("key").alias("g"), F.col("value").alias("alpha"))
+        gamma = of.where("key < 0").select("pool", (-1 - F.col("key")).alias("ctx"), F.col("value").alias("gamma"))
+        own = need.withColumn("ctx", F.expr(f"g div {SIZE}")).withColumn("rest", F.expr(f"g % {SIZE ** (n - 1)}L"))
+        own = own.join(alpha, ["pool", "g"], "left").join(gamma, ["pool", "ctx"], "left")
+        own = own.withColumn("back", F.lit(1.0 / SIZE)) if lower is None else own.join(lower.select("pool", F.col("g").alias("rest"), F.col("p").alias("back")), ["pool", "rest"])
+        lower = own.select("pool", "g", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("back")).alias("p"))
+    return lower
+
+
+def perplexities(texts: DataFrame, answers: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(doc_id, pool, perplexity) of every row of the blocks, by ``answers(block, pool, g, score)``."""
+    names = pa.array([*languages, OTHER], pa.string())
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        pool_of_answer, keys, scores = (answers[c].to_numpy() for c in ("pool", "g", "score"))
+        known = {}
+        for p in np.unique(pool_of_answer).tolist():
+            at = np.flatnonzero(pool_of_answer == p)
+            at = at[np.argsort(keys[at])]
+            known[p] = keys[at], scores[at]
+        total, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for rows, row, g, pool in _chunks(texts):
+            value = np.zeros(len(g))
+            for p in np.unique(pool).tolist():
+                of = np.flatnonzero(pool == p)
+                value[of] = known[p][1][np.searchsorted(known[p][0], g[of])]
+            size = rows.stop - rows.start
+            total[rows] = np.bincount(row - rows.start, weights=value, minlength=size)
+            n[rows] = np.bincount(row - rows.start, minlength=size)
+        out = np.exp(-total / np.maximum(n, 1))
+        return pa.table({"doc_id": texts["doc_id"], "pool": names.take(texts["pool"].combine_chunks()), "perplexity": pa.array(out, pa.float64(), mask=n == 0)})
+
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id bigint, pool string, perplexity double")
 
 
 def quantiles(values: DataFrame, quantile: float) -> DataFrame:
@@ -88,13 +169,17 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     """(doc_id, pool, perplexity, threshold, kept) of every row of ``docs(doc_id, text, lang)``."""
     own = bare(docs, doc_id="bigint", text="string", lang="string").withColumn("lang", declared_language(F.col("lang")))
     languages = languages_of(own)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = stored_in_buckets(blocks(own, languages), "blocks", min(MOST_BUCKETS, max(32, -(-size // BLOCK))), "block")
     good = stored(trusted(labels), "trusted")
-    learned = own.join(good.hint("merge"), "doc_id", "left_semi")  # the trusted grow with the corpus: no broadcast at any size
-    grams = stored(count_grams(learned, languages), "grams")
-    model = stored(kneser_ney(grams), "kneser-ney")
-    scored = stored(perplexities(own, model, languages), "perplexity")
+    learned = stored(texts.select("block", "doc_id").join(good, "doc_id", "left_semi"), "learned")
+    asked = stored(requests(texts, learned), "asked")
+    seen = stored(asked.groupBy("pool", "g").agg(F.sum("c").alias("c")), "seen")
+    model = stored(kneser_ney(seen.where("c > 0"), SIZE), "kneser-ney")
+    answers = asked.join(shares(seen, model), ["pool", "g"]).select("block", "pool", "g", F.log("p").alias("score"))
+    scored = stored(perplexities(texts, answers, languages), "perplexity")
     limits = stored(quantiles(scored.join(good, "doc_id", "left_semi"), quantile), "limits")
-    discard(grams, model, good)
+    discard(texts, learned, asked, seen, model, good)
     joined = scored.join(F.broadcast(limits), "pool", "left")  # a row for each pool
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.select("doc_id", "pool", "perplexity", "threshold", kept.alias("kept"))
