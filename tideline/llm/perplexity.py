@@ -24,6 +24,7 @@ names.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -41,7 +42,17 @@ FOLD, SIZE = 54_000, 55_000  # SIZE**4 < 2**63
 _PLAIN = np.arange(FOLD, dtype=np.int64)
 _PLAIN[[i for i in range(FOLD) if chr(i).isspace()]] = 0
 _PLAIN[48:58] = 48
-CHARACTERS = Alphabet(SIZE, lambda points: np.where(points < FOLD, _PLAIN[np.minimum(points, FOLD - 1)], FOLD + points.astype(np.int64) % (SIZE - FOLD)))
+
+
+def _characters(points: np.ndarray) -> np.ndarray:
+    out = _PLAIN[np.minimum(points, FOLD - 1)]
+    high = points >= FOLD
+    if high.any():
+        out[high] = FOLD + points[high].astype(np.int64) % (SIZE - FOLD)
+    return out
+
+
+CHARACTERS = Alphabet(SIZE, _characters)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def _chunks(table: pa.Table):
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, at = np.unique(keys, return_inverse=True)
+    at, own = pd.factorize(keys)
     return own, np.bincount(at, weights=counts, minlength=len(own)).astype(np.int64)
 
 
@@ -139,14 +150,13 @@ def perplexities(texts: DataFrame, answers: DataFrame, languages: tuple[str, ...
         known = {}
         for p in np.unique(pool_of_answer).tolist():
             at = np.flatnonzero(pool_of_answer == p)
-            at = at[np.argsort(keys[at])]
-            known[p] = keys[at], scores[at]
+            known[p] = pd.Index(keys[at]), scores[at]
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
         for rows, row, g, pool in _chunks(texts):
             value = np.zeros(len(g))
             for p in np.unique(pool).tolist():
                 of = np.flatnonzero(pool == p)
-                value[of] = known[p][1][np.searchsorted(known[p][0], g[of])]
+                value[of] = known[p][1][known[p][0].get_indexer(g[of])]
             size = rows.stop - rows.start
             total[rows] = np.bincount(row - rows.start, weights=value, minlength=size)
             n[rows] = np.bincount(row - rows.start, minlength=size)
