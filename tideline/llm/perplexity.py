@@ -2,10 +2,11 @@
 
 Trusted are documents labelled good and not toxic. N-grams are of order 4 over characters as they stand, of any script
 (white space counts as one character, digits as another, code points from ``FOLD`` on share the symbols above it), and
-are counted over whole texts and all trusted documents, so the model grows with the corpus. A document's perplexity is
-that of its language's model; it is kept if that is at most the language's ``quantile`` of the trusted documents, to the
-next thousandth of its logarithm: quantiles are counted in such steps, over all trusted documents, and don't depend on
-how rows are dealt.
+are counted over whole texts and all trusted documents but one in ``HELD``, so the model grows with the corpus. Those held
+out, by a hash of doc_id, set the thresholds: a text that a model has learned from is no measure of texts that are new to
+it. A document's perplexity is that of its language's model; it is kept if that is at most the language's ``quantile`` of
+the documents held out, to the next thousandth of its logarithm: quantiles are counted in such steps, over all of these,
+and don't depend on how rows are dealt.
 
 Counts and scores meet as tables, sharded by n-gram or context; no task and no driver holds a model. What moves is not
 each document's n-grams but those of blocks of some ``BLOCK`` bytes of text, each once: documents are written in blocks,
@@ -14,7 +15,7 @@ shares of all n-grams asked for are computed once, order by order, and the answe
 read where they lie and scored. Texts themselves are never shuffled.
 
 Null or empty texts have no perplexity and aren't kept. Languages without a model of their own (see ``charlm``) and null
-share one pooled model; without a threshold (no trusted text in its pool) all of a pool's non-empty documents are kept.
+share one pooled model; without a threshold (no text of its pool held out) all of a pool's non-empty documents are kept.
 Repeated rows and null ids give results row by row, null ids are never trusted; a document labelled more than once is
 trusted only if each label is good; a perplexity equal to the threshold is kept. Texts are scored whole, however long;
 empty tables give no rows, without labels every non-empty document is kept; other columns are ignored, whatever their
@@ -28,13 +29,14 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .charlm import ORDER, OTHER, Alphabet, declared_language, gram_rows, kneser_ney, languages_of, pool_of
 from .common import bare, discard, read, stored, stored_in_buckets, text_buffers
 
 QUANTILE = 0.995
+HELD = 5
 BLOCK = 1 << 24  # bytes of text that ask for their n-grams together; a longer text stands with what is left of its block
 MOST_BUCKETS = 100_000  # the most that Spark allows
 FOLD, SIZE = 54_000, 55_000  # SIZE**4 < 2**63
@@ -61,6 +63,10 @@ def trusted(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id")
 
 
+def held_out() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+
+
 def blocks(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """(block, doc_id, pool, text) of ``docs(doc_id, text, lang)``: a block is consecutive rows of one task."""
 
@@ -182,13 +188,13 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = stored_in_buckets(blocks(own, languages), "blocks", min(MOST_BUCKETS, max(32, -(-size // BLOCK))), "block")
     good = stored(trusted(labels), "trusted")
-    learned = stored(texts.select("block", "doc_id").join(good, "doc_id", "left_semi"), "learned")
+    learned = stored(texts.select("block", "doc_id").join(good.where(~held_out()), "doc_id", "left_semi"), "learned")
     asked = stored(requests(texts, learned), "asked")
     seen = stored(asked.groupBy("pool", "g").agg(F.sum("c").alias("c")), "seen")
     model = stored(kneser_ney(seen.where("c > 0"), SIZE), "kneser-ney")
     answers = asked.join(shares(seen, model), ["pool", "g"]).select("block", "pool", "g", F.log("p").alias("score"))
     scored = stored(perplexities(texts, answers, languages), "perplexity")
-    limits = stored(quantiles(scored.join(good, "doc_id", "left_semi"), quantile), "limits")
+    limits = stored(quantiles(scored.join(good.where(held_out()), "doc_id", "left_semi"), quantile), "limits")
     discard(texts, learned, asked, seen, model, good)
     joined = scored.join(F.broadcast(limits), "pool", "left")  # a row for each pool
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
