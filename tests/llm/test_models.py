@@ -294,6 +294,49 @@ def test_held_out_languages(spark):
     assert sum(r.lang == names[r.doc_id % 5] for r in got if r.doc_id >= 200) >= 196
 
 
+def test_every_declared_language_is_told(spark):
+    """More languages than are held at a time, one of them rare: all get a model, and texts without declaration find theirs."""
+    rnd = random.Random(8)
+    names = [f"l{chr(97 + k)}" for k in range(13)]
+    syllables = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for x in names}
+    text = lambda x: " ".join("".join(rnd.choice(syllables[x]) for _ in range(2)) for _ in range(25))
+    rare = names[-1]
+    docs = [(i, text(x), x, "s") for i, x in enumerate(names[:-1] * 40)] + [(500 + i, text(rare), rare, "s") for i in range(3)]
+    docs += [(1000 + i, text(x), None, "s") for i, x in enumerate(names * 3)] + [(2000, "", "zz", "s"), (2001, None, None, None)]
+    assert sum(x == rare for *_, x, _ in docs) < 0.01 * len(docs)
+    want = {i: x for i, _, x, _ in docs[:483]} | {1000 + i: x for i, x in enumerate(names * 3)}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", f"<html><body><article><p>{text(x)}</p></article>") for i, x in enumerate(names)], "page_id bigint, url string, html string")
+    got = language.identify_language(df, pages).collect()
+    assert len(got) == len(docs) + len(names)
+    by_doc = {r.doc_id: r for r in got if r.page_id is None}
+    assert {i: by_doc[i].lang for i in want} == want
+    assert {r.page_id: r.lang for r in got if r.page_id is not None} == dict(enumerate(names))
+    assert by_doc[2000].lang in names and by_doc[2001].lang in names  # no text comes with zz
+    assert all(0 < r.confidence <= 1 for r in got)
+
+
+def test_counts_and_models_of_many_languages_equal_those_of_one(spark):
+    """Pools beyond those with dense counts, in runs that are sent on early; blocks of models."""
+    rnd = random.Random(3)
+    names = tuple(f"l{chr(97 + k)}" for k in range(14))
+    rows = [(" ".join("".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(rnd.randint(0, 12))), x) for x in [*names, "zz"] * 5]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(2)
+    want = Counter()
+    for t, x in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        sym, _ = charlm.symbols_of(raw, np.array([0, len(raw)]))
+        want.update((names.index(x) if x in names else len(names), g) for g in charlm.grams_of(sym).tolist())
+    counts = stored(charlm.count_grams(df, names, most_held=100), "counts")
+    assert {(r.pool, r.g): r.c for r in counts.collect()} == want == {(r.pool, r.g): r.c for r in charlm.count_grams(df, names).collect()}
+    blocks = charlm.shared_models(charlm.kneser_ney(counts), len(names) + 1)
+    assert [(b.first, b.pools) for b in blocks] == [(0, 5), (5, 5), (10, 5)]
+    for p in (0, 4, 5, 14):
+        own = charlm.dense(charlm.model_arrays(charlm.kneser_ney(counts.where(f"pool = {p}").withColumn("pool", F.lit(0)))), 1)[0]
+        block = blocks[p // 5]
+        assert np.allclose(charlm.dense(block.arrays.value, block.pools)[p - block.first], own)
+
+
 # -- URLs --------------------------------------------------------------------------------------------------------------------
 def plain_url(url, rules):
     host = path = ""

@@ -6,8 +6,9 @@ classes each, by their code points, so that order within words tells text from n
 number below 40**n, and a model of order 4 has at most 40**4 + 40**3 + 40**2 + 40 entries per language: a bound that no
 corpus exceeds. Counts cover all of the given text; they are summed per task before the shuffle.
 
-The languages are those that the documents declare, by grouped aggregation over all of them: each with a share of
-``LEAST_SHARE`` at least, and of these the ``MOST_LANGUAGES`` most frequent, which bounds the models that a task holds.
+The languages are all that the documents declare, by grouped aggregation over all of them. ``AT_ONCE`` bounds the models
+that a task or the driver holds at a time, not their number: models are broadcast in blocks of so many, and counts of
+pools beyond the first so many are summed in sorted runs.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, text_buffers
 
 SYMBOLS, ORDER = 40, 4
-#: Languages with a model of their own; other values and null share the model ``other``.
-MOST_LANGUAGES, LEAST_SHARE = 10, 0.01
+#: Models that are held at a time, and n-grams that a task holds of the pools that have no dense counts.
+AT_ONCE, MOST_HELD = 5, 1 << 20
+#: The pool of the values, and of null, that have no model of their own.
 OTHER = "other"
 
 
@@ -36,11 +39,9 @@ def declared_language(lang: Column) -> Column:
 
 
 def languages_of(docs: DataFrame) -> tuple[str, ...]:
-    """The declared languages of ``docs(lang)`` that get a model, the most frequent first."""
-    seen = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    known = seen.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_SHARE * total)).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    return tuple(r.lang for r in known.collect())
+    """All declared languages of ``docs(lang)``, the most frequent first."""
+    seen = docs.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return tuple(r.lang for r in seen.orderBy(F.desc("n"), "lang").collect())  # a row for each language
 
 
 def _class_of(c: str) -> int:
@@ -118,11 +119,31 @@ def pool_of(lang: str | None, languages: tuple[str, ...]) -> int:
     return languages.index(lang) if lang in languages else len(languages)
 
 
-def count_grams(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(pool, g, c): n-grams of ``docs(text, lang)`` in each language's pool and that of the others."""
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of runs of (keys, counts), sorted, with the sums of their counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in runs]), return_inverse=True)
+    counts = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(counts, at, np.concatenate([c for _, c in runs]))
+    return keys, counts
+
+
+def _count_rows(pool: np.ndarray, g: np.ndarray, c: np.ndarray):
+    for at in range(0, len(g), 100_000):
+        s = slice(at, at + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(pool[s].astype(np.int32)), pa.array(g[s].astype(np.int32)), pa.array(c[s].astype(np.int64))], names=["pool", "g", "c"])
+
+
+def count_grams(docs: DataFrame, languages: tuple[str, ...], most_held: int = MOST_HELD) -> DataFrame:
+    """(pool, g, c): n-grams of ``docs(text, lang)`` in each language's pool and that of the others.
+
+    A task counts the ``AT_ONCE`` most frequent pools in dense arrays, those beyond in runs of distinct n-grams, which it
+    sends on, as partial sums, when they hold more than ``most_held``.
+    """
+    dense_pools, grams = min(len(languages) + 1, AT_ONCE), SYMBOLS**ORDER
 
     def run(batches):
-        total = np.zeros((len(languages) + 1, SYMBOLS**ORDER), dtype=np.int32)
+        total = np.zeros((dense_pools, grams), dtype=np.int32)
+        runs, held = [], 0
         for batch in batches:
             raw, off = text_buffers(batch.column(0))
             pools = np.array([pool_of(x, languages) for x in batch.column(1).to_pylist()])
@@ -133,13 +154,26 @@ def count_grams(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
                 inside = np.cumsum(keep[:-1]) > 0
                 pool = np.repeat(pools[i:j], np.diff(np.append(starts, len(g))))
                 for p in np.unique(pools[i:j]):
+                    if p >= dense_pools:
+                        continue
                     got = g[inside & (pool == p)]
                     if len(got):
-                        total[p] += np.bincount(got, minlength=SYMBOLS**ORDER).astype(np.int32)
+                        total[p] += np.bincount(got, minlength=grams).astype(np.int32)
+                late = inside & (pool >= dense_pools)
+                if late.any():
+                    runs.append(np.unique(pool[late] * grams + g[late], return_counts=True))
+                    held += len(runs[-1][0])
+                if held > most_held:
+                    runs = [_merged(runs)]
+                    held = len(runs[0][0])
+                    if held > most_held // 2:
+                        yield from _count_rows(runs[0][0] // grams, runs[0][0] % grams, runs[0][1])
+                        runs, held = [], 0
         p, g = np.nonzero(total)
-        for at in range(0, len(g), 100_000):
-            s = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(p[s].astype(np.int32)), pa.array(g[s].astype(np.int32)), pa.array(total[p[s], g[s]].astype(np.int64))], names=["pool", "g", "c"])
+        yield from _count_rows(p, g, total[p, g])
+        if runs:
+            keys, counts = _merged(runs)
+            yield from _count_rows(keys // grams, keys % grams, counts)
 
     part = docs.select("text", "lang").mapInArrow(run, "pool int, g int, c bigint")
     return part.groupBy("pool", "g").agg(F.sum("c").alias("c"))
@@ -173,7 +207,7 @@ def kneser_ney(counts: DataFrame, size: int = SYMBOLS) -> DataFrame:
 
 
 def model_arrays(model: DataFrame) -> tuple[np.ndarray, ...]:
-    """The model's rows on the driver, for a broadcast; their number is bounded by alphabet, order and pools."""
+    """The model's rows on the driver, for a broadcast; their number is bounded by alphabet, order and pools (``AT_ONCE`` in a block)."""
     t = model.toArrow()
     return tuple(t.column(c).to_numpy().astype(k) for c, k in (("n", np.int8), ("pool", np.int8), ("key", np.int32), ("value", np.float32)))
 
@@ -181,18 +215,33 @@ def model_arrays(model: DataFrame) -> tuple[np.ndarray, ...]:
 _dense: dict[str, np.ndarray] = {}
 
 
-def shared_model(model: DataFrame, pools: int):
-    """The model as a broadcast, under a name of its own, as workers outlive jobs and keep tables that they built."""
-    return model.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model_arrays(model), pools))
+class Shared(NamedTuple):
+    """Models of pools ``first`` to ``first + pools - 1``, broadcast; a name of their own, as workers outlive jobs and keep a table that they built."""
+
+    name: str
+    first: int
+    pools: int
+    arrays: Broadcast
+
+
+def shared_models(model: DataFrame, pools: int) -> list[Shared]:
+    """The models of all pools, in blocks of ``AT_ONCE``, of which the driver holds one at a time."""
+    out = []
+    for first in range(0, pools, AT_ONCE):
+        n = min(AT_ONCE, pools - first)
+        own = model.where(F.col("pool").between(first, first + n - 1)).withColumn("pool", F.col("pool") - first)
+        out.append(Shared(uuid.uuid4().hex, first, n, model.sparkSession.sparkContext.broadcast(model_arrays(own))))
+    return out
 
 
-def dense_of(shared) -> np.ndarray:
-    """The worker's table of a broadcast model, built once."""
-    name, arrays, pools = shared.value
-    if name not in _dense:
+def dense_of(shared: Shared) -> np.ndarray:
+    """The worker's table of a block of models, built when the block before it was another."""
+    if shared.name not in _dense:
         _dense.clear()
-        _dense[name] = dense(arrays, pools)
-    return _dense[name]
+        _dense[shared.name] = dense(shared.arrays.value, shared.pools)
+        if hasattr(shared.arrays, "_path"):  # can be read again: a worker would hold the arrays of all blocks
+            vars(shared.arrays).pop("_value", None)
+    return _dense[shared.name]
 
 
 def dense(arrays: tuple[np.ndarray, ...], pools: int) -> np.ndarray:

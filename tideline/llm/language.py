@@ -10,8 +10,11 @@ A row's posterior over languages is the product of
 
 The counts behind the last two are sums of the text-only posteriors, by grouped aggregation over all rows.
 
-The languages are those that the documents declare (see ``charlm``): a row in any other gets the nearest of them. Without
-a single declared language all rows are ``und``.
+The languages are all that documents with text declare, however many and however rare: a row in any other gets the nearest
+of them; a tag that no text comes with can't be told by text. Without a single declared language all rows are ``und``. A
+task scores its rows by the models of one block of languages after another (see ``charlm``); likelihoods, sums and priors
+are arrays with an element for each language, summed as rows by element. So work and stored likelihoods grow with rows
+times languages, and what a task or the driver holds does not, but for arrays of one number a language.
 
 Rows without text go by declaration and host alone; null or unknown declarations and hosts are values like others
 (none); ties go to the first language of the list. Every row gives one row, null ids included; repeated rows count as
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .charlm import count_grams, declared_language, dense_of, gram_rows, kneser_ney, languages_of, shared_model
+from .charlm import Shared, count_grams, declared_language, dense_of, gram_rows, kneser_ney, languages_of, shared_models
 from .common import bare, discard, read, stored, text_buffers
 from .html import main_text
 
@@ -51,68 +54,70 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return own.select("page_id", "text", "declared", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)).alias("host"))
 
 
-def likelihoods(rows: DataFrame, shared, languages: tuple[str, ...]) -> DataFrame:
-    """``rows(doc_id, page_id, text, declared, host)`` with tempered log-likelihoods instead of the text."""
+def likelihoods(rows: DataFrame, models: list[Shared], languages: tuple[str, ...]) -> DataFrame:
+    """``rows(doc_id, page_id, text, declared, host)`` with tempered log-likelihoods ``ll``, one a language, instead of the text."""
     n = len(languages)
-    logs = [f"ll_{x}" for x in languages]
 
     def run(batches):
-        table = dense_of(shared)
         for batch in batches:
             raw, off = text_buffers(batch.column(2))
             out = np.zeros((batch.num_rows, n))
-            for i, j, g, starts, ends in gram_rows(raw, off):
-                scores = [table[p][g] for p in range(n)]
-                for r, (a, b) in enumerate(zip(starts, ends, strict=True), i):
-                    if off[r] < off[r + 1]:
-                        weight = min(WEIGHT, b - a)
-                        out[r] = [s[a:b].mean(dtype=np.float64) * weight for s in scores]
+            for shared in models:
+                table = dense_of(shared)
+                for i, j, g, starts, ends in gram_rows(raw, off):
+                    at = np.column_stack((starts, ends)).ravel()[:-1]  # the last row ends with the n-grams
+                    size = ends - starts
+                    weight = np.where(np.diff(off[i : j + 1]) > 0, np.minimum(WEIGHT, size), 0) / size
+                    for p in range(shared.pools):
+                        out[i:j, shared.first + p] = np.add.reduceat(table[p][g], at, dtype=np.float64)[::2] * weight
             out -= out.max(axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), *[pa.array(out[:, k]) for k in range(n)]], names=["doc_id", "page_id", "declared", "host", *logs])
+            ll = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), ll], names=["doc_id", "page_id", "declared", "host", "ll"])
 
-    return rows.mapInArrow(run, "doc_id bigint, page_id bigint, declared string, host string, " + ", ".join(f"{x} double" for x in logs))
+    return rows.mapInArrow(run, "doc_id bigint, page_id bigint, declared string, host string, ll array<double>")
 
 
-def _greatest(columns: list) -> Column:
-    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+def _log_total(logs: Column) -> Column:
+    """log of the sum of exponentials; the greatest goes along, as an expression inside a lambda is evaluated for each element."""
+    start = F.struct(F.array_max(logs).alias("top"), F.lit(0.0).alias("sum"))
+    return F.aggregate(logs, start, lambda a, x: F.struct(a["top"].alias("top"), (a["sum"] + F.exp(x - a["top"])).alias("sum")), lambda a: a["top"] + F.log(a["sum"]))
 
 
-def _posterior(logs: list) -> list:
-    top = _greatest(logs)
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _summed(elements: DataFrame, *keys: str) -> DataFrame:
+    """Vectors ``v`` whose elements are, in each group, sums of ``elements(_k, _x)``."""
+    by_element = elements.groupBy(*keys, "_k").agg(F.sum("_x").alias("_x"))
+    return by_element.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", "_x"))).alias("v")).select(*keys, F.col("v._x").alias("v"))
 
 
 def fuse(scored: DataFrame, langs: tuple[str, ...], strength: float = STRENGTH) -> DataFrame:
-    """Adds lang, confidence and text_lang to ``scored``, the output of ``likelihoods``."""
-    logs = [f"ll_{x}" for x in langs]
-    soft = [p.alias(f"r_{x}") for x, p in zip(langs, _posterior([F.col(c) for c in logs]), strict=True)]
-    df = scored.withColumn("declared", F.coalesce("declared", F.lit("")))
-    df = df.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)).select("*", *soft)
-    sums = [F.sum(f"r_{x}").alias(f"r_{x}") for x in langs]
-    hosts = stored(df.groupBy("host", "domain", "suffix").agg(*sums, F.count(F.lit(1)).alias("n")), "hosts")
-    level = lambda *keys: hosts.groupBy(*keys).agg(*sums, F.sum("n").alias("n"))
-    total = hosts.agg(*sums, F.sum("n").alias("n")).first()  # one row
-    rows = float(total["n"] or 0)
-    prior = [F.lit(((total[f"r_{x}"] or 0.0) + SMOOTH) / (rows + SMOOTH * len(langs))) for x in langs]
-
-    def smoothed(table, parents, names):
-        return [((F.col(f"r_{x}") + strength * p) / (F.col("n") + strength)).alias(f"{names}_{x}") for x, p in zip(langs, parents, strict=True)]
-
-    suffixes = level("suffix").select("suffix", *smoothed(None, prior, "s"))
-    domains = level("domain", "suffix").join(suffixes, "suffix").select("domain", "suffix", *smoothed(None, [F.col(f"s_{x}") for x in langs], "d"))
-    priors = hosts.join(domains, ["domain", "suffix"]).select("host", *smoothed(None, [F.col(f"d_{x}") for x in langs], "h"))
-    declared = df.groupBy("declared").agg(*[(F.sum(f"r_{x}") + SMOOTH).alias(f"c_{x}") for x in langs])
-    shares = [(F.col(f"c_{x}") / F.lit((total[f"r_{x}"] or 0.0) + SMOOTH)).alias(f"c_{x}") for x in langs]
-    joined = df.join(stored(declared.select("declared", *shares), "declared"), "declared").join(stored(priors, "priors"), "host")
-    post = _posterior([F.col(f"ll_{x}") + F.log(f"c_{x}") + F.log(f"h_{x}") for x in langs])
-    best = _greatest([F.struct(p.alias("p"), F.lit(-k).alias("k")) for k, p in enumerate(post)])
-    text_best = _greatest([F.struct(F.col(c).alias("p"), F.lit(-k).alias("k")) for k, c in enumerate(logs)])
-    name = lambda s: F.element_at(F.array(*[F.lit(x) for x in langs]), 1 - s["k"])
-    has_text = sum((F.col(c) for c in logs[1:]), F.col(logs[0])) != 0
-    return joined.withColumn("_b", best).select(
-        "doc_id", "page_id", name(F.col("_b")).alias("lang"), F.round(F.col("_b.p"), 6).alias("confidence"), F.nullif("declared", F.lit("")).alias("declared"), F.when(has_text, name(text_best)).alias("text_lang")
+    """Adds lang, confidence and text_lang to ``scored``, the output of ``likelihoods``; these may also be columns ``ll_<language>``."""
+    if "ll" not in scored.columns:
+        scored = scored.withColumn("ll", F.array(*[F.col(f"ll_{x}") for x in langs]))
+    df = scored.select("doc_id", "page_id", F.coalesce("declared", F.lit("")).alias("declared"), "host", "ll")
+    soft = df.withColumn("all", _log_total(F.col("ll"))).withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    # a row's vector: 1 for the row itself, then its text-only posteriors
+    soft = soft.select("host", "domain", "suffix", "declared", "all", F.posexplode(F.concat(F.array("all"), "ll")).alias("_k", "_x")).withColumn("_x", F.exp(F.col("_x") - F.col("all")))
+    hosts = stored(_summed(soft, "host", "domain", "suffix"), "hosts")
+    sums = hosts.select("host", "domain", "suffix", F.posexplode("v").alias("_k", "_x"))
+    rows, *total = _summed(sums).first()["v"] or [0.0] * (1 + len(langs))  # one row
+    prior = F.array(*[F.lit((t + SMOOTH) / (rows + SMOOTH * len(langs))) for t in total])
+
+    def smoothed(parents: Column) -> Column:
+        return F.zip_with(F.slice("v", 2, len(langs)), parents, lambda x, p: (x + strength * p) / (F.col("v")[0] + strength))
+
+    suffixes = _summed(sums, "suffix").select("suffix", smoothed(prior).alias("s"))
+    domains = _summed(sums, "domain", "suffix").join(suffixes, "suffix").select("domain", "suffix", smoothed(F.col("s")).alias("d"))
+    priors = hosts.join(domains, ["domain", "suffix"]).select("host", F.transform(smoothed(F.col("d")), lambda x: F.log(x)).alias("h"))
+    shares = F.zip_with(F.slice("v", 2, len(langs)), F.array(*[F.lit(t + SMOOTH) for t in total]), lambda x, t: F.log((x + SMOOTH) / t))
+    declared = _summed(soft, "declared").select("declared", shares.alias("c"))
+    joined = df.join(stored(declared, "declared"), "declared").join(stored(priors, "priors"), "host")
+    joined = joined.withColumn("post", F.zip_with(F.zip_with("ll", "c", lambda x, y: x + y), "h", lambda x, y: x + y))
+    joined = joined.withColumn("best", F.array_max("post"))
+    name = lambda logs, best: F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position(logs, best).cast("int"))
+    confidence = F.exp(F.col("best") - _log_total(F.col("post")))
+    has_text = F.exists("ll", lambda x: x != 0)
+    return joined.select(
+        "doc_id", "page_id", name("post", F.col("best")).alias("lang"), F.round(confidence, 6).alias("confidence"), F.nullif("declared", F.lit("")).alias("declared"), F.when(has_text, name("ll", F.array_max("ll"))).alias("text_lang")
     )
 
 
@@ -122,14 +127,16 @@ def identify_language(docs: DataFrame, pages: DataFrame) -> DataFrame:
     A document's declared language is its column ``lang``, its host its ``source``.
     """
     own = bare(docs, doc_id="bigint", text="string", lang="string", source="string").withColumn("lang", declared_language(F.col("lang")))
-    languages = languages_of(own) or ("und",)
+    languages = languages_of(own.where(F.col("text").rlike(r"\S"))) or ("und",)
     grams = stored(count_grams(own.where(F.col("lang").isin(*languages)), languages), "grams")
     model = stored(kneser_ney(grams), "language-models")
-    shared = shared_model(model, len(languages) + 1)
+    models = shared_models(model, len(languages))
     a = own.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", F.col("lang").alias("declared"), F.lower(F.coalesce("source", F.lit(""))).alias("host"))
     b = page_texts(pages).select(F.lit(None).cast("bigint").alias("doc_id"), "page_id", "text", "declared", "host")
-    scored = stored(likelihoods(a, shared, languages).unionByName(likelihoods(b, shared, languages)), "likelihoods")
+    scored = stored(likelihoods(a, models, languages).unionByName(likelihoods(b, models, languages)), "likelihoods")
     discard(grams, model)
+    for shared in models:
+        shared.arrays.destroy()
     return fuse(scored, languages)
 
 

@@ -14,7 +14,7 @@ bucketed by them; a block asks for its distinct n-grams (which also carry their
 shares of all n-grams asked for are computed once, order by order, and the answers go back to the block, whose texts are
 read where they lie and scored. Texts themselves are never shuffled.
 
-Null or empty texts have no perplexity and aren't kept. Languages without a model of their own (see ``charlm``) and null
+Null or empty texts have no perplexity and aren't kept. Languages without a model of their own (see ``pools_of``) and null
 share one pooled model; without a threshold (no text of its pool held out) all of a pool's non-empty documents are kept.
 Repeated rows and null ids give results row by row, null ids are never trusted; a document labelled more than once is
 trusted only if each label is good; a perplexity equal to the threshold is kept. Texts are scored whole, however long;
@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .charlm import ORDER, OTHER, Alphabet, declared_language, gram_rows, kneser_ney, languages_of, pool_of
+from .charlm import ORDER, OTHER, Alphabet, declared_language, gram_rows, kneser_ney, pool_of
 from .common import bare, discard, read, stored, stored_in_buckets, text_buffers
 
 QUANTILE = 0.995
+#: Languages with a model of their own; other values and null share the model ``other``.
+MOST_LANGUAGES, LEAST_SHARE = 10, 0.01
 HELD = 5
 BLOCK = 1 << 24  # bytes of text that ask for their n-grams together; a longer text stands with what is left of its block
 MOST_BUCKETS = 100_000  # the most that Spark allows
@@ -57,6 +59,14 @@ def _characters(points: np.ndarray) -> np.ndarray:
 CHARACTERS = Alphabet(SIZE, _characters)
 
 
+def pools_of(docs: DataFrame) -> tuple[str, ...]:
+    """The declared languages of ``docs(lang)`` that get a model of their own, the most frequent first."""
+    seen = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    known = seen.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST_SHARE * total)).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    return tuple(r.lang for r in known.collect())
+
+
 def trusted(labels: DataFrame) -> DataFrame:
     known = bare(labels, doc_id="bigint", quality="int", toxic="int").where("doc_id is not null")
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
@@ -184,7 +194,7 @@ def quantiles(values: DataFrame, quantile: float) -> DataFrame:
 def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, pool, perplexity, threshold, kept) of every row of ``docs(doc_id, text, lang)``."""
     own = bare(docs, doc_id="bigint", text="string", lang="string").withColumn("lang", declared_language(F.col("lang")))
-    languages = languages_of(own)
+    languages = pools_of(own)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     texts = stored_in_buckets(blocks(own, languages), "blocks", min(MOST_BUCKETS, max(32, -(-size // BLOCK))), "block")
     good = stored(trusted(labels), "trusted")
