@@ -47,6 +47,14 @@ def test_timestamp_plus_time(row):
     assert row.selectExpr(to_spark("timestamp(t, '01:30:00')", kind_in(row))).first()[0] == datetime.datetime(2020, 3, 1, 2, 41, 0, 654321)
 
 
+def test_spans_of_a_hundred_hours_and_more(row):
+    cases = {
+        "sec_to_time(359999)": "99:59:59", "sec_to_time(360000)": "100:00:00", "sec_to_time(-445566)": "-123:46:06", "sec_to_time(6000000)": "1666:40:00", "sec_to_time(null)": None, "maketime(120, 1, 2)": "120:01:02",
+        "timediff('2008-12-31 23:59:59', '2008-12-01 00:00:00')": "743:59:59", "time_to_sec(sec_to_time(445566))": 445566,
+    }
+    assert row.selectExpr(*[to_spark(text, kind_in(row)) for text in cases]).first()[:] == tuple(cases.values())
+
+
 def test_all_names_of_the_dialect_are_there():
     want = "coalesce isnull greatest least interval abs acos asin atan atan2 ceil ceiling conv cos cot crc32 degrees exp floor ln log log2 log10 pi pow power radians rand round sign sin sqrt tan truncate year month day hour minute second microsecond date_format unix_timestamp from_unixtime timestamp ascii bin concat concat_ws convert elt export_set field format from_base64 insert instr lcase left right length load_file locate lower lpad ltrim make_set mid oct octet_length ord position quote repeat replace reverse rtrim space strcmp substring substr substring_index to_base64 trim upper ucase hex unhex rpad bit_length char char_length character_length find_in_set weight_string if ifnull mod"
     assert not set(want.split()) - set(FUNCTIONS)
