@@ -7,7 +7,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tideline.operators import extensions as X
 from tideline.queries import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TIDELINE_TEST_DATA", "/root/testdata/sf0.001")
@@ -58,12 +60,24 @@ def test_joins_and_table_functions_over_whole_tables(spark):
         assert sorted(map(tuple, QUERIES[name](spark, DATA).collect()), key=str) == sorted(pairs, key=str), name
 
 
+def test_range_join_deals_its_pairs_out(spark, monkeypatch):
+    """Equal ranges count as often as they occur, also beyond one row's copies; no task has more than a small part of the pairs."""
+    monkeypatch.setattr(X, "COPIES", 7)
+    low = [0.0] * 50 + [1.5] * 8 + [3.0] + [None] * 2
+    points = spark.range(400, numPartitions=1).selectExpr("id", "if(id % 10 = 9, null, id % 10 / 2) as x")
+    ranges = spark.createDataFrame([(v, None if v is None else v + 2) for v in low], "lo double, hi double").coalesce(1)
+    got = X.range_join(points, ranges, "x", "lo", "hi", 2).withColumn("task", F.spark_partition_id()).collect()
+    want = [(i, v) for i in range(400) if i % 10 != 9 for v in low if v is not None and v <= i % 10 / 2 < v + 2]
+    assert sorted((r.id, r.lo) for r in got) == sorted(want)
+    assert max(sum(r.task == k for r in got) for k in range(200)) < len(want) / 4
+
+
 def test_entry_imports_without_the_corpus_operators(spark, monkeypatch):
     import importlib
     import sys
 
     monkeypatch.setitem(sys.modules, "tideline.llm", None)
-    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
     entry = importlib.import_module("__spark_entry__")
     assert not [n for n in entry.queries() if n.startswith("op")]
     assert set(entry.oracle_sql()) <= set(entry.queries())
