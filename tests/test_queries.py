@@ -72,6 +72,45 @@ def test_range_join_deals_its_pairs_out(spark, monkeypatch):
     assert max(sum(r.task == k for r in got) for k in range(200)) < len(want) / 4
 
 
+@pytest.fixture
+def dealt(spark):
+    """Small tables go to as many tasks as large ones and are not broadcast."""
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_ranks_of_large_groups_are_dealt_out(spark, dealt, monkeypatch, tmp_path):
+    """Ties, NULLs, a group of one row and one of nearly all, over many bins: plain windows say the same, and no task gets a group."""
+    monkeypatch.setattr(X, "BIN", 7, raising=False)
+    columns = ["id as o_orderkey", "case when id = 5 then 'P' when id % 50 = 3 then null else 'F' end as o_orderstatus", "if(id % 9 = 0, null, id % 41) as o_custkey", "if(id % 11 = 0, null, if(id % 7 = 0, double('nan'), id % 4 / 2)) as o_totalprice"]
+    spark.range(600).selectExpr(*columns).write.parquet(f"{tmp_path}/orders.parquet")
+    w, w2 = "(partition by o_orderstatus order by o_totalprice, o_orderkey)", "(partition by o_orderstatus order by o_custkey)"
+    names = {"rn": f"row_number() over {w}", "rk": f"rank() over {w2}", "dr": f"dense_rank() over {w2}", "nt": f"ntile(4) over {w}", "pr": f"round(percent_rank() over {w2}, 6)", "cd": f"round(cume_dist() over {w2}, 6)"}
+    want = spark.read.parquet(f"{tmp_path}/orders.parquet").selectExpr("o_orderkey", *[f"{v} as {k}" for k, v in names.items()])
+    df = QUERIES["ext_window_rank"](spark, str(tmp_path))
+    assert df.dtypes == want.dtypes
+    got = df.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r[:-1] for r in got) == sorted(map(tuple, want.collect()))
+    assert max(sum(r.task == k for r in got) for k in range(200)) < 150
+
+
+def test_running_sums_take_a_few_bins_into_a_task(spark, dealt, monkeypatch):
+    monkeypatch.setattr(X, "BIN", 10, raising=False)
+    rows = spark.range(500).selectExpr("id", "if(id < 3, id, null) as g", "id * 37 % 500 as t")
+    got = X.running_sums(rows, ["g"], ["t"], {"n": F.lit(1), "s": F.col("id")}, 500).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 500
+    for r in got:
+        peers = [x for x in got if x.g == r.g]
+        assert (r.n, r.s, r.n_all, r.s_all) == (sum(x.t <= r.t for x in peers), sum(x.id for x in peers if x.t <= r.t), len(peers), sum(x.id for x in peers))
+    assert max(sum(r.task == k for r in got) for k in range(200)) < 125
+    assert not X.running_sums(rows.where("id < 0"), ["g"], ["t"], {"n": F.lit(1)}, 0).collect()
+
+
 def test_entry_imports_without_the_corpus_operators(spark, monkeypatch):
     import importlib
     import sys
